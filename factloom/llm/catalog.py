@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, jaccard_join, token_counts
+from factloom.llm import byte_bpe, decontamination, jaccard_join, oracles, token_counts
 from factloom.session import ship_package, table
 
 
@@ -26,6 +26,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _shipped(query):
     """The query, after this package has been sent to the executors."""
 
@@ -37,5 +41,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op5_jaccard_join, op7_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op5_jaccard_join, op6_decontamination, op7_byte_bpe)}
+ORACLES = {"op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6}
