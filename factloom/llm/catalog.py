@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, decontamination, jaccard_join, oracles, token_counts
+from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, token_counts
 from factloom.session import ship_package, table
 
 
@@ -30,6 +30,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     """The query, after this package has been sent to the executors."""
 
@@ -41,5 +45,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op5_jaccard_join, op6_decontamination, op7_byte_bpe)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch)}
 ORACLES = {"op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6}
