@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from factloom.llm.pretokens import Splitter, pattern_sources
+from factloom.llm.pretokens import Splitter, kept, pattern_sources
 
-REMEMBERED = 400_000
+#: Pre-tokens whose ids a worker remembers; the memory is emptied when full.
+REMEMBERED = 150_000
 SLICE_ROWS = 128
 
 
@@ -110,6 +111,15 @@ class Codec:
         return b"".join(map(self.token_bytes.__getitem__, _unpacked(packed)))
 
 
+def worker_codec(made_from: tuple) -> Codec:
+    """The codec of this Python worker, built once and kept for later tasks."""
+
+    def build_codec() -> Codec:
+        return Codec(*made_from)
+
+    return kept(hash(made_from), build_codec)
+
+
 def decode_text(pieces: list[bytes]) -> str:
     """Characters of token bytes in order; bytes are joined first, and what is no UTF-8 becomes U+FFFD."""
     return b"".join(pieces).decode(errors="replace")
@@ -146,7 +156,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     shared = _shared(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = worker_codec(shared.value)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
@@ -170,7 +180,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     shared = _shared(encoded, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = worker_codec(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)

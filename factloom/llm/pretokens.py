@@ -92,3 +92,15 @@ class Splitter:
                 yield block
                 block = []
         yield block
+
+
+_kept: dict = {}
+
+
+def kept(key: object, build):
+    """An object that a Python worker keeps from task to task; one for each kind, so that memory stays bounded."""
+    name = build.__qualname__
+    if _kept.get(name, (None,))[0] != key:
+        _kept.pop(name, None)
+        _kept[name] = (key, build())
+    return _kept[name][1]
