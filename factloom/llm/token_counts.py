@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from factloom.llm.pretokens import Splitter, pattern_sources
+from factloom.llm.pretokens import Splitter, kept, pattern_sources
 
 #: Pre-tokens that a worker remembers beyond the proven ones; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 OVER_LIMIT = 512
 #: Rows handled at once within an Arrow batch.
 SLICE_ROWS = 256
@@ -110,7 +110,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast((definition, sources, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(*shared.value)
+        definition, sources, whole = shared.value
+
+        def build_counter() -> Counter:
+            return Counter(definition, sources, whole)
+
+        counter = kept(hash((definition, sources, len(whole))), build_counter)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
