@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, token_counts
+from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, token_counts, url_filter
 from factloom.session import ship_package, table
 
 
@@ -34,6 +34,19 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [
+    url_filter.Rule("org/", "allow"),
+    url_filter.Rule("example.org/es/", "block"),
+    url_filter.Rule("example.org/en/1", "block"),
+    url_filter.Rule("com/fr/", "allow"),
+    url_filter.Rule("com/de/", "block"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def _shipped(query):
     """The query, after this package has been sent to the executors."""
 
@@ -45,5 +58,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op10_url_filter)}
 ORACLES = {"op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6}
