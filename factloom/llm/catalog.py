@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, token_counts, url_filter
+from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, token_counts, url_filter, warc
 from factloom.session import ship_package, table
 
 
@@ -22,6 +22,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
@@ -58,5 +62,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op10_url_filter)}
-ORACLES = {"op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op3_warc, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op10_url_filter)}
+ORACLES = {"op3_warc": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6}

@@ -44,3 +44,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), h AS (SELECT page_id, strlen(html)::BIGINT AS n, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first FROM p
+), d AS (
+  SELECT page_id, n, first, string_agg(translate(to_base(('0x' || x[k:k + 9])::BIGINT, 32, 8),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'), '' ORDER BY k) AS digest
+  FROM h, (SELECT unnest([1, 11, 21, 31]) AS k) GROUP BY ALL
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
