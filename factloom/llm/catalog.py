@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, token_counts, url_filter, warc
+from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, quality, token_counts, url_filter, warc
 from factloom.session import ship_package, table
 
 
@@ -22,6 +22,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
 
@@ -62,5 +67,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op3_warc, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op10_url_filter)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op2_quality, op3_warc, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op10_url_filter)}
 ORACLES = {"op3_warc": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6}
