@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, quality, token_counts, url_filter, warc
+from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, quality, secrets, token_counts, url_filter, warc
 from factloom.session import ship_package, table
 
 
@@ -31,6 +31,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("value").alias("length"), F.sha2("secret", 256).alias("secret_sha256"), "probability", "is_secret")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
@@ -67,5 +72,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op2_quality, op3_warc, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op10_url_filter)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op2_quality, op3_warc, op4_secrets, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op10_url_filter)}
 ORACLES = {"op3_warc": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6}
