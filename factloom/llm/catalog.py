@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, quality, secrets, token_counts, url_filter, warc
+from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, passages, quality, secrets, token_counts, url_filter, warc
 from factloom.session import ship_package, table
 
 
@@ -48,6 +48,10 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [
     url_filter.Rule("org/", "allow"),
     url_filter.Rule("example.org/es/", "block"),
@@ -72,5 +76,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op2_quality, op3_warc, op4_secrets, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op10_url_filter)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op2_quality, op3_warc, op4_secrets, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op9_compact_windows, op10_url_filter)}
 ORACLES = {"op3_warc": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6}
