@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.sqltext import bitmap, in_bitmap, words
+from factloom.llm.sqltext import bitmap, in_bitmap, without_ids, words
 from factloom.session import stored
 
 WINDOW = 13
@@ -148,3 +148,9 @@ def decontaminate(
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * SHARE >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows whose id belongs to a contaminated text."""
+    judged = decontaminate(docs, items, id_col, text_col, **how)
+    return without_ids(docs, judged.where("contaminated").select(id_col), id_col)

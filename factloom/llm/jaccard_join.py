@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from factloom.graph import connected_components
 from factloom.llm.shingles import WIDTH, mix, shingle_set, words_of
+from factloom.llm.sqltext import without_ids
 from factloom.session import stored
 
 #: Classes that share a block are paired up to this number, and above it tied to one of them.
@@ -398,7 +399,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names their component; further rows of that id are dropped."""
-    kept = components.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").select(docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each component: that whose id names it.
+
+    Rows with a null id stay if nothing with an id is linked with them. An id stays once
+    if one of its rows names a component; further rows of it go.
+    """
+    found = stored(similar_components(docs, id_col, text_col, **how), "components")
+    names = F.col(id_col).eqNullSafe(F.col("component_id"))
+    ids = stored(found.groupBy(id_col).agg(F.max(names).alias("keep"), F.count("*").alias("rows")), "component-ids")
+    kept = without_ids(docs, ids.where("not keep"), id_col)
+    repeated = ids.where(F.col("keep") & (F.col("rows") > 1) & F.col(id_col).isNotNull())
+    if repeated.isEmpty():
+        return kept
+    rest = without_ids(kept, repeated, id_col)
+    return rest.unionByName(kept.join(repeated.select(id_col), id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))

@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.sqltext import split_by_ids
 from factloom.session import ensure_checkpoint_dir, stored
 
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
@@ -192,7 +193,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     found = scan(docs, id_col, text_col, labelled).where("is_secret and secret <> ''")
     # bounded by the candidates of one document
     per_doc = found.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set("secret"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
-    x = docs.join(stored(per_doc, "secrets"), docs[id_col].eqNullSafe(F.col("_id")), "left")
+    per_doc = stored(per_doc, "secrets")
+    clear, maybe = split_by_ids(docs, per_doc.select(F.col("_id").alias(id_col)), id_col, "secret-slots")
+    x = maybe.join(per_doc, maybe[id_col].eqNullSafe(F.col("_id")), "left")
     masked = F.aggregate("_secrets", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(MASK)))
     text = F.when(F.col("_secrets").isNotNull() & F.col(text_col).isNotNull(), masked).otherwise(F.col(text_col))
-    return x.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return clear.unionByName(x.select(*[text.alias(c) if c == text_col else maybe[c] for c in docs.columns]))

@@ -44,3 +44,27 @@ def in_bitmap(hash_: Column, slots: Column, bits: int) -> Column:
     at = F.shiftrightunsigned(hash_.bitwiseAND(F.lit(bits - 1)), 6).cast("int")
     # a shift by a column is only in SQL; multiplying by a power is not exact for the sign bit
     return F.call_function("shiftrightunsigned", slots[at], hash_.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+#: Slots of the bitmap that tells most rows apart from listed ids without a join.
+ID_BITS = 1 << 20
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame, col: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``col`` is surely not among ``ids``, and the others, which a join has to decide.
+
+    A bitmap of fixed size does this, so rows that no id concerns are not shuffled. With
+    more ids than slots, all rows are left to the join.
+    """
+    slots = bitmap(ids.select(F.xxhash64(col).alias("h")), "h", ID_BITS, label).scalar()
+    marked = rows.select("*", slots.alias("_slots"))
+    maybe = in_bitmap(F.xxhash64(col), F.col("_slots"), ID_BITS)
+    return marked.where(~maybe).drop("_slots"), marked.where(maybe).drop("_slots")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """``rows`` whose ``col`` is not in the column of that name in ``ids``; null is an id like any other."""
+    ids = stored(ids.select(col).distinct(), "listed-ids")
+    clear, maybe = split_by_ids(rows, ids, col, "listed-slots")
+    listed = ids.select(F.col(col).alias("_id"))
+    return clear.unionByName(maybe.join(listed, maybe[col].eqNullSafe(F.col("_id")), "left_anti"))
