@@ -1,7 +1,232 @@
-"""Every query of the core library with its DuckDB counterpart."""
+"""Every query of the core library, by name, with its DuckDB counterpart."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom import projection as P
+from factloom.functions import exprs as X
+from factloom.functions import text as T
+from factloom.operators import detect, remember, versions
+from factloom.plans import oracles
+from factloom.rules import RuleContext
+from factloom.session import table
+
 FLAGSHIP = "conflict_scored"
+CTX = RuleContext()
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _conflicts(s: SparkSession, d: str, ctx: RuleContext = CTX) -> DataFrame:
+    return detect.conflicts(P.facts(s, d), P.documents(s, d), ctx)
+
+
+def _stale(s: SparkSession, d: str) -> DataFrame:
+    return detect.stale(P.facts(s, d), P.documents(s, d), CTX)
+
+
+def _superseded(s: SparkSession, d: str) -> DataFrame:
+    return detect.superseded(P.documents(s, d), CTX)
+
+
+@query
+def conflict_pairs(s, d):
+    return _conflicts(s, d).select("subject_id", "old_fact_id", "new_fact_id", "old_value", "new_value")
+
+
+@query
+def conflict_scored(s, d):
+    return _conflicts(s, d)
+
+
+@query
+def conflict_multi_valued_excluded(s, d):
+    return _conflicts(s, d, RuleContext(multi_valued=frozenset({"qty_r"})))
+
+
+@query
+def superseded_docs(s, d):
+    return _superseded(s, d)
+
+
+@query
+def chain_components(s, d):
+    return versions.components(P.documents(s, d))
+
+
+@query
+def chain_heads(s, d):
+    return versions.heads(P.documents(s, d))
+
+
+@query
+def chain_distance(s, d):
+    return versions.distances(P.documents(s, d))
+
+
+@query
+def confirmed_stale(s, d):
+    return _stale(s, d).where("drift_type = 'confirmed_stale'")
+
+
+@query
+def possibly_stale_inferred(s, d):
+    return _stale(s, d).where("reason = 'inferred_validity_expired'")
+
+
+@query
+def possibly_stale_age(s, d):
+    return _stale(s, d).where("reason = 'age_over_threshold'")
+
+
+@query
+def document_self_declared_expired(s, d):
+    return detect.expired_documents(P.facts(s, d).where("valid_to is not null"), P.documents(s, d), CTX)
+
+
+@query
+def reused_stale_value(s, d):
+    return detect.reused_values(P.facts(s, d), P.documents(s, d), CTX)
+
+
+@query
+def holders_df(s, d):
+    return detect.holders(P.entity_facts(s, d))
+
+
+@query
+def shared_fact_pairs(s, d):
+    return detect.shared_fact_pairs(P.entity_facts(s, d))
+
+
+@query
+def duplicate_findings(s, d):
+    return detect.duplicates(P.entities(s, d), P.entity_facts(s, d)).where("recall = 'exact_normalized_name'")
+
+
+@query
+def duplicate_findings_all_recall(s, d):
+    return detect.duplicates(P.entities(s, d), P.entity_facts(s, d), least_cosine=0.3)
+
+
+@query
+def known_suppression(s, d):
+    found = _conflicts(s, d)
+    return remember.new_findings(found, found.where("severity = 'critical'")).groupBy("subject_id").agg(F.count("*").alias("new_findings"))
+
+
+@query
+def second_scan_zero(s, d):
+    found = _superseded(s, d)
+    return remember.new_findings(found, found).agg(F.count("*").alias("new_findings"))
+
+
+def _statuses(s, d):
+    """Findings with a decision log: fingerprints from 0 to 4 are ignored, from 5 to 9 resolved, others open."""
+    found = _superseded(s, d)
+    first = F.substring("fingerprint", 1, 1)
+    log = found.where(first <= "9").select("fingerprint", F.lit(1).alias("at"), F.when(first >= "5", "resolve").otherwise("ignore").alias("action"), F.when(first >= "5", "accept_newer").alias("decision"))
+    return remember.latest_status(found, log)
+
+
+@query
+def drift_status_latest(s, d):
+    return _statuses(s, d).select("fingerprint", "status", "decision")
+
+
+@query
+def ci_gate(s, d):
+    return remember.blocking(_statuses(s, d), "critical")
+
+
+@query
+def by_type_rollup(s, d):
+    return remember.counts_by(_stale(s, d).select("drift_type").unionAll(_superseded(s, d).select("drift_type")), "drift_type")
+
+
+@query
+def drift_list_order(s, d):
+    """The first page of the list: 50 findings."""
+    page = remember.ordered(_superseded(s, d), 50)
+    w = Window.orderBy(X.severity_rank(F.col("severity")).desc(), F.col("effective_at").asc_nulls_first(), "fingerprint")
+    return page.select("fingerprint", "severity", F.row_number().over(w).alias("place"))
+
+
+@query
+def snapshot_membership(s, d):
+    return remember.snapshot_membership(P.facts(s, d))
+
+
+@query
+def knowledge_hash(s, d):
+    return remember.knowledge_hash(P.facts(s, d))
+
+
+@query
+def stale_rollup_groups(s, d):
+    return remember.stale_groups(_stale(s, d))
+
+
+@query
+def evidence_dedup(s, d):
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("chunk_id"), F.col("text").alias("quote"), F.col("turn").alias("ord"))
+    return remember.first_evidence(c)
+
+
+@query
+def token_estimate(s, d):
+    return table(s, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def fact_hash(s, d):
+    return P.facts(s, d).select("fact_id", "subject_id", "canon_object")
+
+
+@query
+def suite_metrics(s, d):
+    x = table(s, d, "documents").join(table(s, d, "labels"), "doc_id")
+    return remember.rates(x.select("source", (F.col("quality") == 1).alias("expected"), (F.col("n_chars") > 400).alias("found")), ["source"])
+
+
+@query
+def measure_compare(s, d):
+    x = table(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("number"), F.when(F.col("l_returnflag") == "A", " Box").when(F.col("l_returnflag") == "R", "unit").alias("unit"), F.when(F.col("l_linestatus") == "O", "EUR").alias("currency"), F.lit("unknown").alias("tax")
+    )
+    side = lambda a: {c: F.col(f"{a}.{c}") for c in ("number", "unit", "currency", "tax")}
+    both = x.alias("x").join(x.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.n") < F.col("y.n")))
+    return both.select("x.k", F.col("x.n").alias("n1"), F.col("y.n").alias("n2"), X.measure_compare(side("x"), side("y"))["verdict"].alias("verdict"))
+
+
+@query
+def normalize_number(s, d):
+    shown = F.concat(F.lit(" "), F.format_number(F.round(F.col("value") * 100).cast("bigint") / 100, 2), F.lit(" "))
+    return table(s, d, "events").select("event_id", X.normalize_number(shown).alias("number"))
+
+
+@query
+def paragraphs(s, d):
+    return T.paragraphs(table(s, d, "documents"))
+
+
+@query
+def chunk_greedy(s, d):
+    return T.chunk_lines(table(s, d, "documents"))
+
+
+@query
+def long_line_windows(s, d):
+    return T.long_line_windows(table(s, d, "documents"))
+
+
+ORACLES: dict[str, str] = oracles.ORACLES
