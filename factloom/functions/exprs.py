@@ -190,3 +190,8 @@ def reject_reason(fact: dict[str, Column]) -> Column:
         .when((kind == "date") & ~value.rlike(r"^\d{4}-\d{2}-\d{2}$"), "not_a_date")
         .when(F.coalesce(fact["valid_to"] < fact["valid_from"], F.lit(False)), "window_reversed")
     )
+
+
+def normalize_date(text: Column) -> Column:
+    """A date written as YYYY-MM-DD; anything else is null."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom import projection as P
 from factloom.functions import exprs as X
 from factloom.functions import text as T
-from factloom.operators import detect, remember, versions
+from factloom.operators import attributes, detect, evaluate, extract, remember, versions
 from factloom.plans import oracles
 from factloom.rules import RuleContext
 from factloom.session import table
@@ -214,6 +214,79 @@ def normalize_number(s, d):
     return table(s, d, "events").select("event_id", X.normalize_number(shown).alias("number"))
 
 
+def _pricing_facts(s, d):
+    """Facts of pricing documents, which attribute review is for."""
+    return P.facts(s, d).join(P.documents(s, d).where("source_type = 'pricing'").select("doc_id"), "doc_id", "left_semi")
+
+
+@query
+def conflict_channels_identity_a(s, d):
+    return attributes.same_predicate_channels(_pricing_facts(s, d))
+
+
+@query
+def cross_attribute_scan(s, d):
+    return attributes.cross_attribute_channels(_pricing_facts(s, d))
+
+
+def _order_facts(s, d):
+    """A candidate fact for each order, with a quote that may name its date in one of three ways."""
+    o = table(s, d, "orders")
+    day = F.col("o_orderdate").cast("date")
+    k = F.col("o_orderkey") % 3
+    quote = F.when(k == 0, F.concat(F.lit("valid until "), F.date_format(day, "yyyy / MM/dd"))).when(k == 1, F.lit("see the notice")).otherwise(F.lit("no date"))
+    text = F.when(k == 1, F.concat(F.lit("ends on "), F.date_format(day, "yyyy年M月d日"))).otherwise(F.lit("general terms"))
+    return o.select(F.col("o_orderkey").alias("doc_id"), day.alias("valid_to"), quote.alias("quote"), text.alias("text"), "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query
+def valid_to_anchor_class(s, d):
+    x = _order_facts(s, d)
+    return extract.with_anchor(x.select("doc_id", "valid_to", "quote"), x.select("doc_id", "text").dropDuplicates(["doc_id"])).select("doc_id", "valid_to", "valid_to_anchor")
+
+
+@query
+def evidence_anchor(s, d):
+    """Conversation turns as quotes, their texts without white space as chunks of the same turn."""
+    c = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("text"), "role")
+    chunks = c.select("chunk_id", F.concat(F.lit("x "), F.regexp_replace("text", " ", "\n"), F.lit(" y")).alias("text")).dropDuplicates(["chunk_id"])
+    facts = c.select("chunk_id", F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat("text", F.lit("?!"))).alias("quote"))
+    return extract.with_evidence(facts, chunks).groupBy("quote_warning").agg(F.count("*").alias("n"))
+
+
+@query
+def fact_dedup(s, d):
+    """Orders as facts by customer, status and priority; finished ones are known."""
+    x = _order_facts(s, d).select("o_custkey", "o_orderstatus", "o_orderpriority")
+    key = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    return extract.new_facts(x, x.where("o_orderstatus = 'F'"), key)
+
+
+@query
+def entity_ladder(s, d):
+    """Parts as mentions: names fold to entities within a class of types."""
+    p = table(s, d, "part")
+    raw = p.select(F.col("p_partkey").alias("chunk_id"), F.lit(0).alias("ord"), F.concat(F.lit(" "), F.initcap("p_name"), F.lit("  ")).alias("name"), F.when(F.col("p_size") < 20, "Product").when(F.col("p_size") < 40, "plan").otherwise("team").alias("type"))
+    return extract.resolve_entities(raw).select("chunk_id", "entity_id")
+
+
+@query
+def match_findings(s, d):
+    """Conversations as cases: expectations are user turns, findings assistant turns."""
+    c = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("case_id"), "turn", "role")
+    null = {n: F.lit(None).cast("string") for n in evaluate.LOCATORS}
+    e = c.where("role = 'user'").select("case_id", F.format_string("%05d", "turn").alias("expected_id"), F.lit("conflict").alias("drift_type")).withColumns(null).dropDuplicates(["case_id", "expected_id"])
+    f = c.where("role <> 'user'").select("case_id", F.format_string("%05d", "turn").alias("finding_id"), F.lit("conflict").alias("drift_type")).withColumns(null).dropDuplicates(["case_id", "finding_id"])
+    return evaluate.match_findings(e, f)
+
+
+@query
+def hcr_score(s, d):
+    """Labelled documents as reported findings: good ones are confirmed, those that are not toxic actionable."""
+    x = table(s, d, "documents").join(table(s, d, "labels"), "doc_id")
+    return evaluate.confirmed_rate(x.select(F.col("lang").alias("drift_type"), F.when(F.col("quality") == 1, "confirmed").alias("verdict"), (F.col("toxic") == 0).alias("actionable")))
+
+
 @query
 def paragraphs(s, d):
     return T.paragraphs(table(s, d, "documents"))

@@ -140,6 +140,20 @@ ORACLES = {
       SELECT x.k, x.n AS n1, y.n AS n2, CASE WHEN x.u IS NULL AND y.u IS NULL THEN 'not_measure' WHEN x.u IS NULL OR y.u IS NULL THEN 'missing' WHEN x.u <> y.u OR coalesce(x.c <> y.c, false) THEN 'conflict' ELSE 'consistent' END AS verdict
       FROM (SELECT *, row_number() OVER () AS r FROM a) x JOIN a y ON x.k = y.k AND x.n < y.n""",
     "normalize_number": "SELECT event_id, round(value * 100)::BIGINT / 100.0::DOUBLE AS number FROM events",
+    "conflict_channels_identity_a": f"""{_BASE}, f AS (SELECT k.* FROM kfact k JOIN kdoc d USING (doc_id) WHERE d.source_type = 'pricing')
+      SELECT a.subject_id, a.fact_id AS fact_a, b.fact_id AS fact_b, CASE WHEN a.dim <> b.dim THEN 'cross_attribute_review' ELSE 'conflict' END AS kind, CASE WHEN a.dim <> b.dim THEN 'measure_anchor_conflict' END AS reason
+      FROM f a JOIN f b ON a.subject_id = b.subject_id AND a.pred_fold = b.pred_fold AND a.fact_id < b.fact_id AND a.doc_id <> b.doc_id WHERE a.dim <> b.dim OR a.num <> b.num""",
+    "cross_attribute_scan": f"""{_BASE}, f AS (SELECT k.* FROM kfact k JOIN kdoc d USING (doc_id) WHERE d.source_type = 'pricing')
+      SELECT a.subject_id, a.fact_id AS fact_a, b.fact_id AS fact_b, 'cross_attribute_review' AS kind, CASE WHEN a.dim <> b.dim THEN 'measure_anchor_conflict_split' ELSE 'same_unit_different_value_not_comerged' END AS reason
+      FROM f a JOIN f b ON a.subject_id = b.subject_id AND a.pred_fold < b.pred_fold AND a.doc_id <> b.doc_id WHERE a.dim <> b.dim OR a.num <> b.num""",
+    "valid_to_anchor_class": "SELECT o_orderkey AS doc_id, o_orderdate::DATE AS valid_to, CASE o_orderkey % 3 WHEN 0 THEN 'quoted' WHEN 1 THEN 'document_scope' ELSE 'calendar_derived' END AS valid_to_anchor FROM orders",
+    "evidence_anchor": "SELECT role <> 'user' AS quote_warning, count(*) AS n FROM conversations GROUP BY 1",
+    "fact_dedup": "SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'",
+    "entity_ladder": "SELECT p_partkey AS chunk_id, sha256(lower(trim(p_name)) || '|' || CASE WHEN p_size < 40 THEN 'offering' ELSE 'team' END) AS entity_id FROM part",
+    "match_findings": """WITH c AS (SELECT DISTINCT conv_id::VARCHAR AS case_id, printf('%05d', turn) AS t, role = 'user' AS u FROM conversations),
+      r AS (SELECT *, row_number() OVER (PARTITION BY case_id, u ORDER BY t) AS k FROM c)
+      SELECT e.case_id, e.t AS expected_id, f.t AS finding_id FROM r e LEFT JOIN r f ON e.case_id = f.case_id AND e.k = f.k AND NOT f.u WHERE e.u""",
+    "hcr_score": "SELECT lang AS drift_type, count(*) AS reported, count(*) FILTER (quality = 1) AS confirmed, avg((coalesce(quality, 0) = 1)::INT::DOUBLE) AS confirmed_rate, avg((toxic = 0)::INT::DOUBLE) AS actionable_rate FROM documents JOIN labels USING (doc_id) GROUP BY 1",
 }
 # a measure without currency counts as having none, so tax alone decides between missing and consistent
 ORACLES["measure_compare"] = ORACLES["measure_compare"].replace("ELSE 'consistent'", "ELSE 'missing'")
