@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.sqltext import bitmap, in_bitmap, words
+from factloom.llm.sqltext import bitmap, bound, in_bitmap, words
 
 #: The band of inverse document frequencies ln(N / n): terms in 1 of 5 to 1 of 500 texts.
 IDF_BAND = (math.log(5), math.log(500))
@@ -62,11 +62,10 @@ def _short(hashes: Column) -> Column:
 
 def with_hashes(docs: DataFrame, text_col: str, slots: DataFrame, name: str) -> DataFrame:
     """``docs`` with the subset hashes of a text column."""
-    x = docs.withColumn("_slots", slots.scalar()).withColumn("_terms", F.array_sort(F.filter(term_hashes(F.col(text_col)), lambda h: in_bitmap(h, F.col("_slots"), SLOTS))))
-    per_density = {f"_s{d}": _drawn(F.col("_terms"), d) for d in DENSITIES}
-    x = x.drop("_slots").withColumns(per_density)
-    hashes = F.concat(*[_each(F.col(c)) for c in per_density])
-    return x.withColumn(name, hashes).drop("_terms", *per_density)
+    x = docs.withColumn("_slots", slots.scalar())
+    terms = F.array_sort(F.filter(term_hashes(F.col(text_col)), lambda h: in_bitmap(h, F.col("_slots"), SLOTS)))
+    hashes = bound(terms, lambda t: F.concat(*[bound(_drawn(t, d), _each) for d in DENSITIES]))
+    return x.withColumn(name, hashes).drop("_slots")
 
 
 def _drawn(terms: Column, density: int) -> Column:

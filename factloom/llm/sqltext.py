@@ -24,6 +24,15 @@ def words(text: Column, pattern: str = ALNUM_WORD) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(pattern), F.lit(0))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda in ``use`` reads it.
+
+    A column of an earlier projection would be put back into the lambda by the
+    optimizer, which counts its mentions and not its evaluations.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def bitmap(hashes: DataFrame, col: str, bits: int, label: str) -> DataFrame:
     """One row, one array of ``bits / 64`` longs: a slot is set for each 64-bit hash in ``col``.
 
