@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.sqltext import split_by_ids
+from factloom.llm.sqltext import bound, split_by_ids
 from factloom.session import ensure_checkpoint_dir, stored
 
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
@@ -51,17 +51,21 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     x = x.withColumn("m", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("m") > 0)
     x = x.withColumn("gaps", F.split("text", CANDIDATE, -1)).drop("text")
     step = 64
-    x = x.withColumn("lens", F.zip_with("gaps", F.concat("m", F.array(F.lit(""))), lambda g, m: F.length(g) + F.length(m)))
+    lens = F.zip_with("gaps", F.concat("m", F.array(F.lit(""))), lambda g, m: F.length(g) + F.length(m))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
     blocks = F.sequence(F.lit(0), F.floor((F.size("m") - 1) / step).cast("int"))
-    x = x.withColumn("sums", F.transform(blocks, lambda b: total(F.slice("lens", b * step + 1, F.lit(step)))))
 
-    def one(value: Column, i: Column) -> Column:
-        block = F.floor(i / step).cast("int")
-        start = total(F.slice("sums", F.lit(1), block)) + total(F.slice("lens", block * step + 1, i - block * step)) + F.length(F.col("gaps")[i])
-        return F.struct(start.alias("start"), value.alias("value"), F.right(F.col("gaps")[i], F.lit(CONTEXT)).alias("before"), F.left(F.col("gaps")[i + 1], F.lit(CONTEXT)).alias("after"))
+    def located(lens: Column, sums: Column) -> Column:
+        def one(value: Column, i: Column) -> Column:
+            block = F.floor(i / step).cast("int")
+            start = total(F.slice(sums, F.lit(1), block)) + total(F.slice(lens, block * step + 1, i - block * step)) + F.length(F.col("gaps")[i])
+            return F.struct(start.alias("start"), value.alias("value"), F.right(F.col("gaps")[i], F.lit(CONTEXT)).alias("before"), F.left(F.col("gaps")[i + 1], F.lit(CONTEXT)).alias("after"))
 
-    return x.select("id", F.explode(F.transform("m", one)).alias("c")).select("id", "c.*")
+        return F.transform("m", one)
+
+    # lengths and their sums by block are computed once for a text
+    found = bound(lens, lambda n: bound(F.transform(blocks, lambda b: total(F.slice(n, b * step + 1, F.lit(step)))), lambda s: located(n, s)))
+    return x.select("id", F.explode(found).alias("c")).select("id", "c.*")
 
 
 def _head(value: Column) -> Column:
