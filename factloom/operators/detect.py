@@ -122,6 +122,15 @@ def stale(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
     )
 
 
+def is_statement(ctx: RuleContext) -> Column:
+    """Whether a fact states the end of its own document: its object is the date on which its validity ends."""
+    named = F.lit(False)
+    for prefix in ctx.statement_prefixes:
+        named = named | F.col("pred_fold").startswith(prefix)
+    ends = F.coalesce(F.regexp_extract("canon_object", r"^scalar\|(?:date|string)\|(\d{4}-\d{2}-\d{2})$", 1) == F.date_format("valid_to", "yyyy-MM-dd"), F.lit(False))
+    return named & ends & X.expired_before(F.col("valid_to"), F.lit(ctx.as_of)) & _trusted(F.col("valid_to_anchor"))
+
+
 def expired_documents(statements: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
     """Documents that declare their own expiry and have no successor: one card each, for the first statement by id.
 

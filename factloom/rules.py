@@ -24,6 +24,8 @@ class RuleContext:
     severity: dict[str, str] = field(default_factory=lambda: {"pricing_change": "critical", "policy_change": "medium"})
     multi_valued: frozenset[str] = frozenset()
     immutable: frozenset[str] = frozenset()
+    #: Folded predicates that begin so state when a document itself ends.
+    statement_prefixes: tuple[str, ...] = ("valid until", "expires", "expiry date", "end of validity")
 
     @property
     def pricing_days(self) -> int:
