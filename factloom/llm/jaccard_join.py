@@ -54,6 +54,8 @@ FREQUENT = 48
 BITMAP_BITS = 1 << 23
 #: Blocks for each shingle of the smallest set of a band.
 BLOCKS = 0.75
+#: Keys that one task of the join works off.
+TASK_KEY_BYTES = 24 << 20
 TILE_BYTES = 8 << 20
 TILE_ROWS = 512
 
@@ -208,58 +210,69 @@ def _sketched(docs: DataFrame, num: int, den: int, width: int, frequent: np.ndar
     return docs.mapInArrow(run, f"id {kind}, n bigint, cid bigint, sketch binary, keys binary, ties binary")
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cid, n, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-        each = np.array([len(k) // 8 for k in keys], np.int64)
-        flat = np.frombuffer(b"".join(keys), np.int64)
-        for s in range(0, len(flat), 1 << 18):
-            own = np.repeat(np.arange(len(each)), each)[s : s + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[s : s + (1 << 18)]), pa.array(cid[own]), pa.array(n[own].astype(np.int32))], names=["k", "cid", "n"])
-
-
-def _meet(num: int, den: int):
-    """Pairs of classes that offer the same key, smaller class digest first."""
+def _packed(parts: int):
+    """Keys of many classes, packed for each of ``parts`` targets: class digests, numbers of keys, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if not got:
-            return
-        key, cid, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((cid, key))
-        key, cid, n = key[order], cid[order], n[order]
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])))
-        key, cid, n = key[fresh], cid[fresh], n[fresh]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        count = np.diff(np.append(first, len(key)))
-        left, right, tie = [], [], []
-        for g in range(2, SMALL_GROUP + 1):
-            base = first[count == g]
-            for i in range(g):
-                for j in range(i + 1, g):
-                    a, b = base + i, base + j
-                    ok = np.minimum(n[a], n[b]).astype(np.int64) * den >= np.maximum(n[a], n[b]).astype(np.int64) * num
-                    left.append(cid[a[ok]]), right.append(cid[b[ok]]), tie.append(np.zeros(int(ok.sum()), bool))
-        for base, g in zip(first[count > SMALL_GROUP], count[count > SMALL_GROUP], strict=True):
-            left.append(np.repeat(cid[base], g - 1)), right.append(cid[base + 1 : base + g]), tie.append(np.ones(g - 1, bool))
-        if not left:
-            return
-        a, b, t = map(np.concatenate, (left, right, tie))
-        order = np.lexsort((t, b, a))
-        a, b, t = a[order], b[order], t[order]
-        keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (t[1:] != t[:-1])))[: len(a)]
-        a, b, t = a[keep], b[keep], t[keep]
-        for s in range(0, len(a), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 18)]) for x in (a, b, t)], names=["a", "b", "tie"])
+        for batch in batches:
+            cid, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            flat = np.frombuffer(b"".join(keys), np.uint64)
+            own = np.repeat(np.arange(len(keys)), [len(k) // 8 for k in keys])
+            to = (flat % _U(parts)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            flat, own, to = flat[order], own[order], to[order]
+            first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
+            rows = []
+            for lo, hi in zip(first, np.append(first[1:], len(to)), strict=True):
+                who, count = np.unique(own[lo:hi], return_counts=True)
+                rows.append(len(who).to_bytes(8, "little") + cid[who].tobytes() + count.astype(np.int32).tobytes() + flat[lo:hi].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(to[first]), pa.array(rows, pa.binary())], names=["p", "pack"])
 
     return run
 
 
+def _unpacked(pack: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(pack[:8], "little")
+    cid = np.frombuffer(pack, np.int64, n, 8)
+    count = np.frombuffer(pack, np.int32, n, 8 + 8 * n)
+    return np.frombuffer(pack, np.int64, -1, 8 + 12 * n), np.repeat(cid, count)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that offer the same key, smaller class digest first."""
+    got = [_unpacked(pack) for b in batches for pack in b.column(1).to_pylist()]
+    if not got:
+        return
+    key, cid = (np.concatenate(x) for x in zip(*got, strict=True))
+    del got
+    order = np.lexsort((cid, key))
+    key, cid = key[order], cid[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])))
+    key, cid = key[fresh], cid[fresh]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(np.append(first, len(key)))
+    left, right, tie = [], [], []
+    for g in range(2, SMALL_GROUP + 1):
+        base = first[count == g]
+        for i in range(g):
+            for j in range(i + 1, g):
+                left.append(cid[base + i]), right.append(cid[base + j]), tie.append(np.zeros(len(base), bool))
+    for base, g in zip(first[count > SMALL_GROUP], count[count > SMALL_GROUP], strict=True):
+        left.append(np.repeat(cid[base], g - 1)), right.append(cid[base + 1 : base + g]), tie.append(np.ones(g - 1, bool))
+    a, b, t = map(np.concatenate, (left, right, tie))
+    order = np.lexsort((t, b, a))
+    a, b, t = a[order], b[order], t[order]
+    keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (t[1:] != t[:-1])))[: len(a)]
+    a, b, t = a[keep], b[keep], t[keep]
+    for s in range(0, len(a), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 18)]) for x in (a, b, t)], names=["a", "b", "tie"])
+
+
 def _near(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.to_pydict()
-            keep = [hamming(s, t) <= max_difference(m, n, num, den) for s, t, m, n in zip(x["sa"], x["sb"], x["na"], x["nb"], strict=True)]
+            keep = [den * min(m, n) >= num * max(m, n) and hamming(s, t) <= max_difference(m, n, num, den) for s, t, m, n in zip(x["sa"], x["sb"], x["na"], x["nb"], strict=True)]
             yield pa.RecordBatch.from_pydict({"src": batch.column("a"), "dst": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -364,14 +377,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts link at ``den * intersection >= num * union`` of their shingle sets.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if docs.sparkSession is None or not 0 < num <= den:
+    if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
     frequent = _frequent(texts.select("text"), num, den, width)
     sketched = stored(_sketched(texts, num, den, width, frequent), "sketched")
     held = sketched.where("keys is not null")
 
-    spread = held.select("cid", "n", "keys").mapInArrow(_spread, "k bigint, cid bigint, n int")
-    met = stored(spread.repartition("k").mapInArrow(_meet(num, den), "a bigint, b bigint, tie boolean").distinct(), "met")
+    bytes_ = held.agg(F.sum(F.length("keys"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // TASK_KEY_BYTES))
+    packed = held.select("cid", "keys").mapInArrow(_packed(parts), "p int, pack binary").repartitionById(parts, F.col("p"))
+    met = stored(packed.mapInArrow(_meet, "a bigint, b bigint, tie boolean").distinct(), "met")
     sketch = held.select("cid", "n", "sketch").dropDuplicates(["cid"])
     pairs = (
         met.where("not tie")
