@@ -77,9 +77,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults: whole texts travel in them.
+ARROW_ROWS, ARROW_BYTES = 2_000, 16 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each context, unless they can import it anyway."""
+    """Send this package to the executors' Python workers, once for each context, and bound the batches they get."""
     context = spark.sparkContext
+    for key, usual, value in (("maxRecordsPerBatch", 10_000, ARROW_ROWS), ("maxBytesPerBatch", None, ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if context.getConf().get(name) is None and (usual is None or spark.conf.get(name) == str(usual)):
+            spark.conf.set(name, str(value))
     if getattr(context, "_factloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
