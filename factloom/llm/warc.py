@@ -36,7 +36,7 @@ from factloom.session import scratch_path, stored
 
 MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
-#: The dictionary is built from this many records at most, and from this much of each.
+#: The dictionary is built from about this many records, twice as many at most, and from this much of each.
 SAMPLE_RECORDS, SAMPLE_BYTES = 400, 8 << 10
 #: A file is closed once it has this many bytes.
 FILE_BYTES = 64 << 20
@@ -147,7 +147,10 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Archive every row of ``pages`` in ``folder``; returns the manifest ``(file, records, bytes)``, already stored."""
     x = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
-    sample = x.orderBy(F.xxhash64("id")).select(F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), "id", "url").limit(SAMPLE_RECORDS).collect()
+    # about SAMPLE_RECORDS rows by a hash of the id, so that no task sends more than its share; a hot id is cut by the limit
+    parts = 1_000_000_000
+    chosen = F.pmod(F.xxhash64("id"), F.lit(parts)) < F.lit(min(parts, parts * SAMPLE_RECORDS // max(x.count(), 1)))
+    sample = x.where(chosen).select(F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), "id", "url").limit(2 * SAMPLE_RECORDS).collect()
     dictionary = build_dictionary([record(r.id, r.url, r.payload.encode(), None, False, date) for r in sample])
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)
 
