@@ -25,8 +25,9 @@ from factloom.llm.sqltext import bound, split_by_ids
 from factloom.session import ensure_checkpoint_dir, stored
 
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
-ASSIGNED = rf"(?i:{NAMES})[\w-]{{0,20}}[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"',;]{{6,400}}+"
-BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,400}+[0-9]|[a-z+/_=-]{0,400}+[A-Z][a-z+/_=-]{0,400}+[A-Z])[A-Za-z0-9+/_=-]{16,400}+"
+ASSIGNED = rf"(?i:{NAMES})[\w-]{{0,20}}[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"',;]{{6,}}+"
+# runs of any length; possessive, and begun only where a run begins, so a text is read a fixed number of times
+BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|[a-z+/_=-]*+[A-Z][a-z+/_=-]*+[A-Z])[A-Za-z0-9+/_=-]{16,}+"
 CANDIDATE = f"{ASSIGNED}|{BARE}"
 CONTEXT = 48
 MASK = "[secret]"

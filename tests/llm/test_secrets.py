@@ -60,3 +60,14 @@ def test_query_counts_every_candidate(spark):
         assert 0 <= r.start and r.start + r.length <= len(texts[r.doc_id]) and 0 <= r.probability <= 1
     planted = sum(len(PLANTED.findall(t or "")) for t in texts.values())
     assert sum(r.is_secret for r in rows) >= planted * 0.95
+
+
+def test_long_secrets_are_masked_to_their_last_character(spark):
+    """Values of any length are one candidate, also where the first digit comes late, and no tail stays in the text."""
+    key = "".join(chr(65 + (k * k * 7 + k) % 26) + "abcxyz0123456789"[(k * 11 + k // 16) % 16] for k in range(2500))
+    late = "k" * 600 + "7" + "q" * 20
+    docs = spark.createDataFrame([(1, f"so {key} end"), (2, f"api_key: '{key}' end"), (3, f"so {late} end")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert len(key) == 5000 and rows[1].secret == rows[2].secret == key and rows[3].value == late
+    masked = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert masked[1] == f"so {secrets.MASK} end" and masked[2] == f"api_key: '{secrets.MASK}' end"
