@@ -26,18 +26,45 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, F.posexplode(parts).alias("paragraph", "text"))
 
 
-def units(text: Column, limit: int = CHUNK_TOKENS) -> Column:
+def lines_of(text: Column) -> Column:
     """Non-blank stripped lines with their token counts."""
     lines = F.filter(F.split(normalize_text(text), "\n"), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(x.alias("text"), estimate_tokens(x).alias("n")))
 
 
-def chunk_lines(docs: DataFrame, limit: int = CHUNK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sliced(line: Column, limit: int, overlap: int) -> Column:
+    """Windows of ``limit`` tokens of a line, as its own text from the first token to the last."""
+    step = max(1, limit - overlap)
+    tokens = F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))
+    # each token with what follows it, so that a window is a slice put together
+    tailed = F.zip_with(tokens, F.slice(F.split(line, TOKEN, -1), 2, F.size(tokens)), lambda t, gap: F.struct(t.alias("token"), F.concat(t, gap).alias("tailed")))
+
+    def windows(t: Column) -> Column:
+        def window(k: Column) -> Column:
+            n = F.least(F.lit(limit), F.size(t) - k * step)
+            text = F.concat(F.array_join(F.slice(t["tailed"], k * step + 1, n - 1), ""), F.element_at(t["token"], k * step + n))
+            return F.struct(text.alias("text"), n.alias("n"))
+
+        return F.transform(F.sequence(F.lit(0), F.ceil((F.size(t) - limit) / step).cast("int")), window)
+
+    # bound once, so a line is only matched once
+    return F.transform(F.array(tailed), windows)[0]
+
+
+def units(text: Column, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+    """Non-blank stripped lines with their token counts; lines over the limit as overlapping windows of their text."""
+    return F.flatten(F.transform(lines_of(text), lambda u: F.when(u["n"] > limit, _sliced(u["text"], limit, overlap)).otherwise(F.array(u))))
+
+
+def chunk_lines(docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, chunk_index, token_count, text)``: lines packed greedily up to ``limit`` tokens.
 
-    A chunk is closed when it holds something and the next line would pass the limit. The
-    greedy carry runs inside the row, so a document never leaves its task.
+    A chunk is closed when it holds something and the next line would pass the limit; a line
+    over the limit is packed as overlapping windows. The greedy carry runs inside the row, so
+    a document never leaves its task.
     """
+    if limit <= 0 or not 0 <= overlap < limit:
+        raise ValueError("the limit must be positive and the overlap less than it")
     empty = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("filled"), F.array().cast("array<int>").alias("of"))
 
     def pack(acc: Column, u: Column) -> Column:
@@ -45,7 +72,7 @@ def chunk_lines(docs: DataFrame, limit: int = CHUNK_TOKENS, id_col: str = "doc_i
         chunk = acc["chunk"] + full.cast("int")
         return F.struct(chunk.alias("chunk"), F.when(full, u["n"]).otherwise(acc["filled"] + u["n"]).alias("filled"), F.concat(acc["of"], F.array(chunk)).alias("of"))
 
-    x = docs.select(id_col, units(F.col(text_col)).alias("u")).where(F.size("u") > 0)
+    x = docs.select(id_col, units(F.col(text_col), limit, overlap).alias("u")).where(F.size("u") > 0)
     x = x.withColumn("of", F.aggregate("u", empty, pack, lambda acc: acc["of"]))
     x = x.select(id_col, F.posexplode(F.arrays_zip("u", "of")).alias("line", "z")).select(id_col, "line", F.col("z.of").alias("chunk_index"), "z.u.text", "z.u.n")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"])
@@ -55,7 +82,7 @@ def chunk_lines(docs: DataFrame, limit: int = CHUNK_TOKENS, id_col: str = "doc_i
 def long_line_windows(docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, line, window, first_token, n_tokens)``: overlapping token windows of lines over the limit."""
     step = max(1, limit - overlap)
-    x = docs.select(id_col, F.posexplode(units(F.col(text_col))).alias("line", "u")).select(id_col, "line", "u.n").where(F.col("n") > limit)
+    x = docs.select(id_col, F.posexplode(lines_of(F.col(text_col))).alias("line", "u")).select(id_col, "line", "u.n").where(F.col("n") > limit)
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("n") - limit) / step).cast("int"), F.lit(0)))
     x = x.select(id_col, "line", "n", F.explode(starts).alias("window"))
     return x.select(id_col, "line", "window", (F.col("window") * step).alias("first_token"), F.least(F.lit(limit), F.col("n") - F.col("window") * step).alias("n_tokens"))
