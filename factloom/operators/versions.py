@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from factloom.graph import connected_components
 from factloom.session import stored
 
-MAX_DEPTH = 64
-
 
 def successors(docs: DataFrame) -> DataFrame:
     """``(doc_id, new_id, new_type, new_parsed_at)``: the first document by id that replaces each; dangling edges are ignored."""
@@ -41,14 +39,19 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def distances(docs: DataFrame) -> DataFrame:
-    """``(head_id, doc_id, distance)``: steps along declared previous editions; a chain that returns to itself ends there."""
-    spark = docs.sparkSession
-    edges = stored(docs.select("doc_id", "prev_id"), "edges")
-    front = docs.join(heads(docs).select(F.col("head_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("head_id"), F.col("prev_id").alias("doc_id")).where("doc_id is not null")
-    out, depth = spark.createDataFrame([], "head_id bigint, doc_id bigint, distance int"), 1
-    front = stored(front, "front")
-    while depth <= MAX_DEPTH and not front.isEmpty():
-        out = out.unionAll(front.select("head_id", "doc_id", F.lit(depth).alias("distance")))
-        step = front.join(edges, "doc_id").select("head_id", F.col("prev_id").alias("doc_id")).where("doc_id is not null and doc_id <> head_id")
-        front, depth = stored(step, "front"), depth + 1
-    return out.groupBy("head_id", "doc_id").agg(F.min("distance").alias("distance"))
+    """``(head_id, doc_id, distance)``: steps along declared previous editions to the end of the chain; one that returns to itself ends there.
+
+    Jumps double, so the number of rounds grows with the logarithm of the longest chain. A
+    round that reaches no document anew is the last one.
+    """
+    jumps = stored(docs.where("prev_id is not null").select("doc_id", F.col("prev_id").alias("to")).distinct(), "edges")
+    reach = stored(heads(docs).select("head_id", F.col("head_id").alias("doc_id"), F.lit(0).alias("distance")), "reached")
+    known, length = reach.count(), 1
+    while True:
+        further = reach.join(jumps, "doc_id").select("head_id", F.col("to").alias("doc_id"), (F.col("distance") + length).alias("distance"))
+        reach = stored(reach.unionAll(further).groupBy("head_id", "doc_id").agg(F.min("distance").alias("distance")), "reached")
+        before, known = known, reach.count()
+        if known == before:
+            return reach.where("distance > 0")
+        after = jumps.select(F.col("doc_id").alias("to"), F.col("to").alias("end"))
+        jumps, length = stored(jumps.join(after, "to").select("doc_id", F.col("end").alias("to")).distinct(), "jumps"), 2 * length

@@ -100,6 +100,15 @@ def test_versions_and_reuse(make):
     assert (hit.fact_id, hit.old_document_id, hit.distance, hit.new_fact_id, hit.head_value, hit.severity) == ("reuse", 2, 1, "head", 23800, "critical")
 
 
+def test_long_chains_are_walked_to_their_end(make):
+    docs, facts = make
+    d = docs(*[(k, 7, k - 1 if k > 1 else None, "general", 0.9) for k in range(1, 151)], (900, None, None, "general", 0.9), (400, 8, 401, "general", 0.9), (401, None, 402, "general", 0.9), (402, None, 401, "general", 0.9))
+    assert {(r.head_id, r.doc_id, r.distance) for r in versions.distances(d).collect()} == {(150, k, 150 - k) for k in range(1, 150)} | {(400, 401, 1), (400, 402, 2)}
+    f = facts({"id": "first", "doc": 1, "number": 5, "unit": "CNY"}, {"id": "head", "doc": 150, "number": 6, "unit": "CNY"}, {"id": "reuse", "doc": 900, "number": 5, "unit": "CNY"})
+    (hit,) = detect.reused_values(f, d, CTX).collect()
+    assert (hit.fact_id, hit.old_document_id, hit.distance, hit.head_value) == ("reuse", 1, 149, 6)
+
+
 def test_cycles_end(make):
     docs, _ = make
     d = docs((1, 7, 2, "general", 0.9), (2, 7, 1, "general", 0.9))
