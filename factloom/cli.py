@@ -6,8 +6,10 @@ import argparse
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from factloom.operators import detect, report
-from factloom.projection import documents, facts
+from factloom.projection import documents, entities, entity_facts, facts
 from factloom.rules import FAIL_ON_RANK, RuleContext
 from factloom.session import build_session
 from factloom.sources.sinks import append_findings
@@ -16,9 +18,22 @@ COLUMNS = ["drift_type", "severity", "effective_at", "fingerprint"]
 
 
 def all_findings(spark, sf_dir: str, ctx: RuleContext):
-    """Findings of the fact and document detectors with the columns that reports need."""
+    """Findings of all detectors with the columns that reports need.
+
+    Statements of a document's own end give one finding for the document, not one of their own.
+    """
     f, d = facts(spark, sf_dir), documents(spark, sf_dir)
-    parts = [detect.conflicts(f, d, ctx), detect.stale(f, d, ctx), detect.superseded(d, ctx), detect.reused_values(f, d, ctx)]
+    known = entity_facts(spark, sf_dir)
+    known = known.withColumn("fact_id", F.sha2(F.to_json(F.array(F.col("subject_id").cast("string"), "pred_fold", "canon_object")), 256))
+    cards = detect.expired_documents(f.where(detect.is_statement(ctx)), d, ctx)
+    parts = [
+        detect.conflicts(f, d, ctx),
+        detect.stale(f.where(~detect.is_statement(ctx)), d, ctx),
+        detect.superseded(d, ctx),
+        detect.reused_values(f, d, ctx, cards),
+        cards,
+        detect.duplicate_facts(entities(spark, sf_dir), known, d),
+    ]
     out = parts[0].select(*COLUMNS)
     for part in parts[1:]:
         out = out.unionByName(part.select(*COLUMNS))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import exprs as X
 from factloom.operators import versions
 from factloom.rules import CONFIDENCE_HEURISTIC, CONFIDENCE_RECALL, CONFIDENCE_STRUCTURAL, INFERRED_ANCHORS, TRUSTED_ANCHORS, RuleContext
+from factloom.session import stored
 
 
 def _with_docs(facts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -209,12 +210,62 @@ def shared_fact_pairs(facts: DataFrame) -> DataFrame:
     return z.select("a", "b", F.size(F.array_intersect("ka", "kb")).alias("shared"))
 
 
-def duplicates(entities: DataFrame, facts: DataFrame, least_cosine: float = 0.85) -> DataFrame:
-    """Pairs of entities under different ids that are likely one: shared facts first, then recall by name or vector."""
+def _entity_facts(facts: DataFrame) -> DataFrame:
+    """Facts with what a comparison of two entities reads; what a frame lacks is null, and facts without ids count once."""
+    lacks = {"doc_id": "bigint", "valid_from": "date", "valid_to": "date"}
+    x = facts.withColumns({c: F.lit(None).cast(t) for c, t in lacks.items() if c not in facts.columns})
+    kept = ["subject_id", "pred_fold", "canon_object", *lacks]
+    if "fact_id" in facts.columns:
+        return x.select(*kept, "fact_id").dropDuplicates(["fact_id"])
+    return x.select(*kept).distinct().withColumn("fact_id", F.lit(None).cast("string"))
+
+
+def _restated_pairs(x: DataFrame) -> DataFrame:
+    """``(a, b)``: subjects that share a fact which one of them states more than once, so that it counts more than once."""
+    keys = ["pred_fold", "canon_object"]
+    per = x.groupBy("subject_id", *keys).agg(F.count("*").alias("n"))
+    often = per.where("n > 1").select(*keys, F.col("subject_id").alias("s"))
+    both = often.join(per.select(*keys, F.col("subject_id").alias("o")), keys).where("s <> o")
+    return both.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+
+
+def shared_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``pairs`` ``(a, b)`` with each pair ``fa, fb`` of equal facts of theirs whose validity overlaps."""
+    side = lambda s: facts.select(F.col("subject_id").alias(s), "pred_fold", "canon_object", *[F.col(c).alias(f"{c}_{s}") for c in ("fact_id", "doc_id", "valid_from", "valid_to")])
+    x = pairs.join(side("a"), "a").join(side("b"), ["b", "pred_fold", "canon_object"])
+    return x.where(X.windows_overlap(F.col("valid_from_a"), F.col("valid_to_a"), F.col("valid_from_b"), F.col("valid_to_b")))
+
+
+def duplicates(entities: DataFrame, facts: DataFrame, docs: DataFrame | None = None, least_cosine: float = 0.85) -> DataFrame:
+    """Pairs of entities under different ids that are likely one: shared facts first, then recall by name or vector.
+
+    Facts may carry ``fact_id, doc_id, valid_from, valid_to``. Only equal facts whose validity
+    overlaps are shared, and two of them, or one that nobody else holds, confirm a pair. A pair
+    whose shared facts come from two documents or more, all of one version chain of ``docs``,
+    is dropped: its entities are editions of one record.
+    """
     n = entities.select("entity_id", "name", "embedding")
-    x = shared_fact_pairs(facts).join(n.select(F.col("entity_id").alias("a"), F.col("name").alias("na"), F.col("embedding").alias("ea")), "a").join(n.select(F.col("entity_id").alias("b"), F.col("name").alias("nb"), F.col("embedding").alias("eb")), "b")
+    f = _entity_facts(facts)
+    pairs = shared_fact_pairs(f).select("a", "b").unionByName(_restated_pairs(f)).distinct()
+    x = pairs.join(n.select(F.col("entity_id").alias("a"), F.col("name").alias("na"), F.col("embedding").alias("ea")), "a").join(n.select(F.col("entity_id").alias("b"), F.col("name").alias("nb"), F.col("embedding").alias("eb")), "b")
     by_name = X.name_recall(F.col("na"), F.col("nb"))
     recall = F.coalesce(by_name, F.when(X.cosine(F.col("ea"), F.col("eb")) >= least_cosine, "embedding_similarity"))
-    x = x.withColumn("recall", recall).where("recall is not null")
+    x = x.withColumn("recall", recall).where("recall is not null").select("a", "b", "recall")
+    # read twice below
+    x = stored(x, "recalled-pairs")
+    s = shared_facts(x, f).join(holders(f), ["pred_fold", "canon_object"])
+    s = s.groupBy("a", "b", "recall").agg(F.count("*").alias("shared"), F.min("holders").alias("holders")).where("shared > 1 or holders <= 2")
+    if docs is not None:
+        own = shared_facts(x, f).select("a", "b", F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).where("doc_id is not null").distinct()
+        own = own.join(versions.components(docs), "doc_id", "left")
+        one = own.groupBy("a", "b").agg(F.count("*").alias("docs"), F.count("chain").alias("known"), F.count_distinct("chain").alias("chains"))
+        s = s.join(one.where("docs > 1 and known = docs and chains = 1"), ["a", "b"], "left_anti")
     confidence = F.when(F.col("recall") == "exact_normalized_name", CONFIDENCE_STRUCTURAL).otherwise(CONFIDENCE_RECALL)
-    return x.select(F.lit("duplicate").alias("drift_type"), "a", "b", "shared", "recall", F.lit("warning").alias("severity"), confidence.alias("confidence"))
+    return s.select(F.lit("duplicate").alias("drift_type"), "a", "b", F.col("shared").cast("int").alias("shared"), "recall", F.lit("warning").alias("severity"), confidence.alias("confidence"))
+
+
+def duplicate_facts(entities: DataFrame, facts: DataFrame, docs: DataFrame | None = None, least_cosine: float = 0.85) -> DataFrame:
+    """A finding for each pair of shared facts of :func:`duplicates`; facts need a ``fact_id``."""
+    x = shared_facts(duplicates(entities, facts, docs, least_cosine), _entity_facts(facts))
+    old, new = F.least("fact_id_a", "fact_id_b"), F.greatest("fact_id_a", "fact_id_b")
+    return x.select("drift_type", "a", "b", "pred_fold", old.alias("old_fact_id"), new.alias("new_fact_id"), "severity", "confidence", F.lit(None).cast("timestamp").alias("effective_at"), X.fingerprint(F.lit("duplicate"), F.col("pred_fold"), old, new).alias("fingerprint"))

@@ -125,7 +125,7 @@ def _detect(spark: SparkSession, docs: list, raw: list, things: list, ctx: RuleC
     shared = shared.select(F.col("x.subject_id").alias("a"), F.col("y.subject_id").alias("b"), F.col("x.predicate").alias("predicate"), F.col("x.fact_id").alias("fa"), F.col("y.fact_id").alias("fb"))
     # the same fact in two cases is not shared
     scoped = f.withColumn("pred_fold", F.concat_ws("|", F.substring_index("fact_id", "|", 1), "pred_fold"))
-    duplicate = detect.duplicates(e, scoped).join(shared, ["a", "b"])
+    duplicate = detect.duplicates(e, scoped, d).join(shared, ["a", "b"])
     frames = [
         conflict.select("drift_type", "severity", "fingerprint", "subject_id", "predicate", F.col("od").alias("old_doc"), F.col("nd").alias("new_doc"), null.cast("long").alias("target_doc")),
         stale.select("drift_type", "severity", "fingerprint", "subject_id", F.col("_p").alias("predicate"), F.col("_doc").alias("old_doc"), F.col("new_document_id").alias("new_doc"), null.cast("long").alias("target_doc")),

@@ -124,6 +124,50 @@ def test_duplicates(spark):
     assert got == {(1, 2): (2, "exact_normalized_name"), (1, 4): (1, "embedding_similarity")}
 
 
+def test_duplicates_need_overlap_and_more_than_one_chain(make, spark):
+    docs, _ = make
+    d = docs((1, 7, None, "general", 0.9), (2, 7, 1, "general", 0.9), (3, None, None, "general", 0.9))
+    ends, starts = date(2025, 12, 31), date(2026, 1, 1)
+    rows = []
+
+    def both(a, b, doc_a, doc_b, values, to_a=None, from_b=None):
+        for v in values:
+            rows.extend([(f"{a}-{v}-{len(rows)}", a, "p", v, doc_a, None, to_a), (f"{b}-{v}-{len(rows)}", b, "p", v, doc_b, from_b, None)])
+
+    both(1, 2, 1, 2, ["a", "b"])  # editions of one handbook
+    both(3, 4, 1, 3, ["c", "d"])  # two documents without a common chain
+    both(5, 6, 1, 99, ["e", "f"])  # an unknown document
+    both(7, 8, 1, 1, ["g", "h"])  # one document
+    both(9, 10, 1, 3, ["i", "j"], ends, starts)  # disjoint validity
+    both(11, 12, 1, 3, ["k"])
+    both(11, 12, 1, 3, ["l"], ends, starts)  # only one of two overlaps, and nobody else holds it
+    both(13, 14, 1, 3, ["m"])
+    both(13, 14, 1, 3, ["n"], ends, starts)
+    both(15, 16, 1, 3, ["m"])  # one fact of four holders
+    both(17, 18, 1, 3, ["o"])
+    both(17, 18, 3, 3, ["o"])
+    both(19, 20, 1, 3, ["o"])  # one fact of four holders, but stated twice by 17 and 18
+    names = [(k, f"Name{(k + 1) // 2}", None) for k in range(1, 21)]
+    entities = spark.createDataFrame(names, "entity_id long, name string, embedding array<double>")
+    facts = spark.createDataFrame(rows, "fact_id string, subject_id long, pred_fold string, canon_object string, doc_id long, valid_from date, valid_to date")
+    got = {(r.a, r.b): r.shared for r in detect.duplicates(entities, facts, d).collect()}
+    assert got == {(3, 4): 2, (5, 6): 2, (7, 8): 2, (11, 12): 1, (17, 18): 4}
+    assert detect.duplicate_facts(entities, facts, d).groupBy("a", "b").count().where("a = 17").first()["count"] == 4
+
+
+def test_scan_runs_all_detectors(spark):
+    from factloom import cli
+
+    found = cli.all_findings(spark, "/root/testdata/sf0.001", RuleContext())
+    assert found.columns == cli.COLUMNS and found.where("drift_type = 'duplicate'").count() == detect.duplicates(*_projected(spark)).agg({"shared": "sum"}).first()[0]
+
+
+def _projected(spark):
+    from factloom import projection
+
+    return projection.entities(spark, "/root/testdata/sf0.001"), projection.entity_facts(spark, "/root/testdata/sf0.001")
+
+
 def test_second_scan_is_silent_and_reports_render(make, tmp_path):
     docs, facts = make
     d = docs((1, 7, None, "pricing", 0.9), (2, 7, 1, "pricing", 0.9))
