@@ -6,8 +6,8 @@ weighs the passages; the weighted sum of their encodings gives the score. Only l
 of whole texts are needed: the attention learns which passages decide.
 
 The model is fitted on a bounded sample of labelled texts: ``TRAIN_DOCS`` at most in
-expectation, chosen by a hash of the id, and at most ``TRAIN_PASSAGES`` evenly spaced
-passages of each. Scoring reads every passage of every text.
+expectation, chosen by a hash of the id, with all their passages. Scoring reads every
+passage of every text.
 
 Nulls are empty texts; a text without words is one empty passage, and is scored like
 any other. Labels that contradict each other, labels without a text and null labels
@@ -30,7 +30,6 @@ from factloom.llm.shingles import _SPACE, STEP, _hash_words, shingle_sequence
 
 PASSAGE = 64
 TRAIN_DOCS = 8_000
-TRAIN_PASSAGES = 48
 HIDDEN, GATE = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.01, 1e-4
 
@@ -208,8 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [b[np.unique(np.linspace(0, len(b) - 1, min(len(b), TRAIN_PASSAGES)).astype(int))] for b in _bags(batch.column("text"))]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "label": batch.column("label").cast(pa.float64()), "bag": pa.array([b.astype(np.float32).tobytes() for b in bags], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "label": batch.column("label").cast(pa.float64()), "bag": pa.array([b.astype(np.float32).tobytes() for b in _bags(batch.column("text"))], pa.binary())})
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = sample.select("id", "label", "text").mapInArrow(run, f"id {kind}, label double, bag binary").collect()

@@ -65,6 +65,18 @@ def test_edges(spark):
     assert quality.score(docs.limit(0), None).count() == 0
 
 
+def test_fitting_sees_every_passage(spark, monkeypatch):
+    """A long text is learned with all its passages, so the one that decides is in its bag."""
+    text = " ".join(f"w{k * k % 997}" for k in range(20_000)) + " bad" * 64
+    docs = spark.createDataFrame([(1, "a short text"), (7, text)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality.MilModel, "fit", lambda bags, target: seen.update(zip(target.tolist(), bags, strict=True)))
+    quality.fit(docs, labels)
+    want = quality.passage_features(np.frombuffer(text.encode(), np.uint8))
+    assert len(want) > 300 and np.array_equal(seen[0.0], want)
+
+
 def test_held_out_accuracy(spark):
     """Labels of the third fold are never learned; balanced accuracy on them is high."""
     labels = dict(duckdb.connect().execute("select doc_id, quality from '/root/testdata/sf0.1/labels.parquet'").fetchall())
