@@ -4,12 +4,14 @@ The rank file lists token bytes by merge priority. The library wants pairs of
 tokens written in a printable alphabet, so the merges are recovered from the ranks
 and each byte is mapped to a character; decoding reverses that table.
 
-Encoding splits a text into pre-tokens, encodes each distinct pre-token of a batch
-once with the library, and strings the ids together. Nulls are empty texts; an empty
-text has no ids and decodes to no bytes. Ids are packed as little-endian unsigned
-32-bit integers. A token may end within a character: :func:`decode_text` joins bytes
-before it decodes characters, and offsets of such tokens cover the whole character.
-Repeated rows are encoded separately; further columns are not read.
+Encoding splits a text into pre-tokens, encodes those that a worker does not remember
+with the library, many at once, and strings the ids together. Nulls are empty texts; an
+empty text has no ids and decodes to no bytes. Very long texts are split lazily and
+encoded whole. Ids are packed as little-endian unsigned 32-bit integers. A token may end
+within a character: :func:`decode_text` joins bytes before it decodes characters, and
+offsets of such tokens cover the whole character. Repeated rows are encoded separately;
+null and repeated ids are kept as they are; further columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,20 +25,13 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from factloom.llm.pretokens import Splitter, kept, pattern_sources
+from factloom.llm.pretokens import Memory, PieceEncoder, Splitter, byte_alphabet, kept, pattern_sources
 
-#: Pre-tokens whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 150_000
+#: Pre-tokens whose ids a worker remembers in each of two generations.
+REMEMBERED = 200_000
 SLICE_ROWS = 128
 
 
-def byte_alphabet() -> list[str]:
-    """The character that stands for each byte: itself where printable, else one from 256 upwards."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
-
-
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
@@ -66,34 +61,26 @@ class Codec:
 
     def __init__(self, definition: str, sources: tuple[str, str]) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
+        self.pieces = PieceEncoder(definition)
         self.split = Splitter(sources)
-        self.letters = byte_alphabet()
-        byte_of = {c: bytes([b]) for b, c in enumerate(self.letters)}
-        self.token_bytes = [b""] * self.tokenizer.get_vocab_size()
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        spelled = [b""] * self.tokenizer.get_vocab_size()
         for shown, token_id in self.tokenizer.get_vocab().items():
-            self.token_bytes[token_id] = b"".join(map(byte_of.__getitem__, shown))
-        self.table = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
-        self.known: dict[str, bytes] = {}
-
-    def _show(self, piece: str) -> str:
-        return piece.encode().decode("latin-1").translate(self.table)
-
-    def _learn(self, unknown: set[str]) -> None:
-        names = list(unknown)
-        encoded = self.tokenizer.encode_batch_fast([self._show(x) for x in names], add_special_tokens=False)
-        self.known.update((name, _packed(one.ids)) for name, one in zip(names, encoded, strict=True))
+            spelled[token_id] = bytes(map(byte_of.__getitem__, shown))
+        self.token_bytes = spelled
+        self.memory = Memory(self._learn, REMEMBERED)
+
+    def _learn(self, names: list[str]) -> Iterator[tuple[str, bytes]]:
+        for part, ids, stops in self.pieces.ids(names):
+            packed = ids.astype("<u4").tobytes()
+            start = 0
+            for name, stop in zip(part, (4 * stops).tolist(), strict=True):
+                yield name, packed[start:stop]
+                start = stop
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
-        out = []
-        for block in self.split.blocks(text):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            unknown = set(block).difference(self.known)
-            if unknown:
-                self._learn(unknown)
-            out.append(b"".join(map(self.known.__getitem__, block)))
-        return b"".join(out)
+        return b"".join([b"".join(self.memory.of(block)) for block in self.split.blocks(text)])
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Start and end of every token in characters of ``text``; tokens within a character share its span."""
@@ -101,7 +88,7 @@ class Codec:
         for block in self.split.blocks(text):
             for piece in block:
                 char_of = [k for k, c in enumerate(piece) for _ in c.encode()]
-                for start, end in self.tokenizer.encode(self._show(piece), add_special_tokens=False).offsets:
+                for start, end in self.tokenizer.encode(self.pieces.shown([piece]), add_special_tokens=False).offsets:
                     out.append((base + char_of[start], base + char_of[end - 1] + 1))
                 base += len(piece)
         return out
@@ -125,15 +112,6 @@ def decode_text(pieces: list[bytes]) -> str:
     return b"".join(pieces).decode(errors="replace")
 
 
-def _packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if out.itemsize != 4:
-        raise RuntimeError("unsigned int is not 4 bytes wide here")
-    if array("H", [1]).tobytes() != b"\1\0":
-        out.byteswap()
-    return out.tobytes()
-
-
 def _unpacked(packed: bytes) -> array:
     out = array("I")
     out.frombytes(packed)

@@ -8,11 +8,12 @@ pattern of explicit ranges, so that the split on the executors cannot drift.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import tiktoken
-from tokenizers import Regex, pre_tokenizers
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 #: Texts longer than this are split lazily, so that a huge text never becomes one list.
 LAZY_CHARS = 1 << 20
@@ -94,6 +95,69 @@ class Splitter:
         yield block
 
 
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte: itself where printable, else one from 256 upwards."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
+class PieceEncoder:
+    """Encodes many pre-tokens with one call of the library.
+
+    Pre-tokens are joined by the character of byte 0xFF, which no UTF-8 text holds, and
+    the library splits them there again; the word number of each token tells its pre-token.
+    """
+
+    MARK = byte_alphabet()[0xFF]
+    #: Pre-tokens joined for one call.
+    STEP = 4_000
+
+    def __init__(self, definition: str) -> None:
+        self.library = Tokenizer.from_str(definition)
+        self.library.pre_tokenizer = pre_tokenizers.Split(self.MARK, "removed")
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.table = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
+
+    def shown(self, pieces: list[str]) -> str:
+        """Pre-tokens in the library's alphabet, joined by the mark."""
+        return b"\xff".join([p.encode() for p in pieces]).decode("latin-1").translate(self.table)
+
+    def ids(self, pieces: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """``(pieces, ids, stops)`` for stretches of the pre-tokens: their ids in a row, and where each one's end."""
+        for s in range(0, len(pieces), self.STEP):
+            part = pieces[s : s + self.STEP]
+            coded = self.library.encode(self.shown(part), add_special_tokens=False)
+            ids, word = coded.ids, coded.word_ids
+            yield part, np.array(ids, np.uint32), np.searchsorted(np.array(word, np.int64), np.arange(len(part)), "right")
+
+
+class Memory:
+    """What a worker has learned of pre-tokens, in two generations of ``size`` each.
+
+    When the young generation is full it becomes the old one; what is met again is
+    carried over, so frequent pre-tokens are learned once.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], Iterator[tuple[str, object]]], size: int) -> None:
+        self.learn, self.size = learn, size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, pieces: list[str]) -> Iterator:
+        """What is known of each pre-token, in order."""
+        unknown = set(pieces).difference(self.young)
+        if unknown:
+            if len(self.young) + len(unknown) > self.size:
+                self.old, self.young = self.young, {}
+                unknown = set(pieces)
+            again = self.old.keys() & unknown
+            self.young.update((p, self.old[p]) for p in again)
+            self.young.update(self.learn(list(unknown - again)))
+        return map(self.young.__getitem__, pieces)
+
+
 _kept: dict = {}
 
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -11,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from factloom.llm import byte_bpe, catalog, token_counts
-from factloom.llm.pretokens import Splitter, pattern_sources
+from factloom.llm.pretokens import Memory, PieceEncoder, Splitter, pattern_sources
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,7 +57,7 @@ def test_counts_equal_the_library(spark, library):
 @settings(max_examples=150, deadline=None)
 @given(text=st.text(max_size=60) | st.text(alphabet="ab 'sl\n\t09é中<|endoftext>", max_size=60))
 def test_any_text(counter, codec, library, reference_bpe, text):
-    assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
     ids = reference_bpe.encode_ordinary(text)
     packed = codec.encode(text)
     assert packed == struct.pack(f"<{len(ids)}I", *ids)
@@ -77,13 +79,53 @@ def test_a_full_memory_changes_nothing(spark, library, monkeypatch):
     sources = pattern_sources("tokenizers")
     with open(JSON, encoding="utf-8") as f:
         small = token_counts.Counter(f.read(), sources, [])
-    for text in ("qqq zzz xkcd", "zqj qzj jzq " * 30):
-        try:
-            got = small.count([text])
-        except token_counts._Full:
-            small.reset()
-            got = token_counts._without_bound(small, text)
-        assert got == [len(library.encode(text, add_special_tokens=False).ids)]
+    codec = byte_bpe.Codec(byte_bpe.library_model(byte_bpe.load_ranks(RANKS)), pattern_sources("tiktoken"))
+    for text in ("qqq zzz xkcd", "zqj qzj jzq " * 30, "qqq new words qqq zzz"):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert small.count(text) == len(ids)
+        assert codec.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_memory_carries_over_what_is_met_again():
+    learned = []
+
+    def learn(names):
+        learned.extend(names)
+        return [(n, len(n)) for n in names]
+
+    memory = Memory(learn, 3)
+    for piece in ("a", "b", "a", "cc", "ddd", "a", "e", "f", "a"):
+        assert list(memory.of([piece, piece])) == [len(piece)] * 2
+    assert sorted(learned) == sorted({"a", "b", "cc", "ddd", "e", "f"})
+
+
+def test_many_pieces_in_one_call_equal_single_calls(library, monkeypatch):
+    with open(JSON, encoding="utf-8") as f:
+        pieces = PieceEncoder(f.read())
+    monkeypatch.setattr(PieceEncoder, "STEP", 3)
+    names = [" the", "ÿ", "\xff\xfe", " Ünï", "🙂", "1234", "zqxj", "\n", "ÿÿ"]
+    got = []
+    for part, ids, stops in pieces.ids(names):
+        got += [a.tolist() for a in np.split(ids, stops)[:-1]]
+        assert stops[-1] == len(ids)
+    assert got == [library.encode(n, add_special_tokens=False).ids for n in names]
+
+
+def test_other_definitions_are_refused():
+    with open(JSON, encoding="utf-8") as f:
+        definition = json.load(f)
+    token_counts.check_definition(json.dumps(definition))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        with pytest.raises(ValueError):
+            token_counts.check_definition(json.dumps(definition | change))
+
+
+def test_null_and_repeated_ids(spark, reference_bpe):
+    docs = spark.createDataFrame([(None, "one two"), (None, None), (3, "one two"), (3, "three"), (3, "three")], "doc_id long, text string")
+    counts = sorted((r.doc_id or -1, r.n_tokens) for r in token_counts.token_counts(docs, JSON).collect())
+    assert counts == [(-1, 0), (-1, 2), (3, 1), (3, 1), (3, 2)]
+    coded = sorted((r.doc_id or -1, r.n_tokens) for r in byte_bpe.encode(docs, RANKS).collect())
+    assert coded == counts
 
 
 def test_long_text_is_split_lazily(counter, codec, library, reference_bpe, monkeypatch):
@@ -92,7 +134,7 @@ def test_long_text_is_split_lazily(counter, codec, library, reference_bpe, monke
     monkeypatch.setattr(pretokens, "LAZY_CHARS", 10)
     monkeypatch.setattr(pretokens, "LAZY_PIECES", 3)
     text = "One two  three, four 5 six!\n\n seven's   "
-    assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
     ids = reference_bpe.encode_ordinary(text)
     assert codec.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
 
