@@ -3,6 +3,11 @@
 Documents that the quality classifier rejects go; one document of each group of near
 copies stays; documents contaminated by benchmark passages go; secrets are masked in
 the text; what is left is encoded, decoded again and compared.
+
+Rows are judged by their own text: null texts are empty, rows that repeat an id are told
+apart by their texts, and copies with one id and text are near copies of each other. Null
+ids stay null. Very long texts are read whole. Documents may have further columns of any
+name, which all stages but the last pass on; empty tables stay empty.
 """
 
 from __future__ import annotations

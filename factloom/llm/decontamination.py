@@ -1,9 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-The index stores postings of training texts: term, text, position, and the words
+The index is a table of postings of training texts: term, text, position, and the words
 around it. It is built for the terms that the test phrases need: how often every
 test term occurs is counted over all training texts first, and each phrase is then
-looked up by its rarest terms. Their postings lists, shifted by the terms' offsets
+looked up by its two rarest terms. Their postings lists, shifted by the terms' offsets
 in the phrase, are intersected, and what survives is compared with the stored
 surroundings, so that matches are exact.
 
@@ -12,9 +12,11 @@ surroundings, so that matches are exact.
 * :func:`decontaminate` judges texts by the share of words inside exact occurrences.
 
 Rows are texts, told apart by a row number that is stored with the index: repeated
-ids are judged separately. Nulls and texts without words have no hits and are not
-contaminated; test items without words have no phrases. Null item ids are ignored
-in lists of items. Further columns are not read. Empty tables give empty results.
+ids are judged separately, and :func:`clean` drops rows by what their texts say, whatever
+their ids. Nulls and texts without words have no hits and are not contaminated; test
+items without words have no phrases, and repeated items count once. Null item ids are
+ignored in lists of items. Very long texts are read whole. Further columns may have any
+name; they are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,12 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.sqltext import bitmap, in_bitmap, without_ids, words
+from factloom.llm.sqltext import bitmap, in_bitmap, sized_bits, text_key, without_keys, words
 from factloom.session import stored
 
 WINDOW = 13
-#: Slots of the bitmaps that let the scan skip words outside the test vocabulary. Fixed, and only a filter.
-BITS = 1 << 17
 #: A text is contaminated if one word in this many is hit.
 SHARE = 20
 
@@ -41,12 +41,17 @@ def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
     return x.select(F.xxhash64("terms").alias("phrase"), "item_id", "terms")
 
 
+def _among(terms: DataFrame, label: str):
+    """A test whether a word may be in the column ``term``: a bitmap sized by their number lets the scan skip most others."""
+    bits = sized_bits(terms.count())
+    slots = bitmap(terms.select(F.xxhash64("term").alias("h")), "h", bits, label).scalar()
+    return lambda word: in_bitmap(F.xxhash64(word), slots, bits)
+
+
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """``(term, n)`` for the terms of ``terms`` that occur: their occurrences over all texts."""
-    slots = bitmap(terms.select(F.xxhash64("term").alias("h")), "h", BITS, "term-bitmap").scalar()
-    near = F.filter("w", lambda w: in_bitmap(F.xxhash64(w), F.col("slots"), BITS))
-    counted = docs.select(words(F.col(text_col)).alias("w"), slots.alias("slots")).select(F.explode(near).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return counted.join(terms, "term", "left_semi")
+    each = docs.select(F.explode(words(F.col(text_col))).alias("term")).where(_among(terms, "term-bitmap")(F.col("term")))
+    return each.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
 
 
 def plan_lookups(wanted: DataFrame, counts: DataFrame) -> DataFrame:
@@ -66,33 +71,29 @@ def plan_lookups(wanted: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, terms: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: ``(row, id, n_words, postings)`` with postings of the terms in ``terms``.
+    """The stored index: postings ``(row, id, key, n_words, head, term, pos, from, around)`` of the terms in ``terms``.
 
-    A posting is ``(term, pos, around)``; ``around`` holds the words up to ``radius``
-    places away, and ``from`` the position of its first word. Terms outside ``terms``
-    may slip through the bitmap; joins on the term drop them.
+    ``around`` holds the words up to ``radius`` places away, and ``from`` the position of
+    its first word. Every text has one row with ``head``, its only row if it has no posting,
+    in which ``term`` may be null. Terms outside ``terms`` may slip through the bitmap;
+    joins on the term drop them.
     """
-    slots = bitmap(terms.select(F.xxhash64("term").alias("h")), "h", BITS, "posting-bitmap").scalar()
-    x = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"), slots.alias("slots"))
-    places = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))), lambda p: in_bitmap(F.xxhash64(p["term"]), F.col("slots"), BITS))
-
-    def posting(p: Column) -> Column:
-        begin = F.greatest(p["pos"] - radius, F.lit(0))
-        return F.struct(p["term"].alias("term"), p["pos"].alias("pos"), begin.alias("from"), F.slice("w", begin + 1, p["pos"] - begin + 1 + radius).alias("around"))
-
-    indexed = x.select(F.monotonically_increasing_id().alias("row"), "id", F.size("w").cast("bigint").alias("n_words"), F.transform(places, posting).alias("postings"))
+    listed = _among(terms, "posting-bitmap")
+    x = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("w"))
+    x = x.select("row", "id", "key", "w", F.posexplode_outer("w").alias("pos", "term"))
+    head = F.coalesce(F.col("pos") == 0, F.lit(True))
+    x = x.where(head | listed(F.col("term")))
+    begin = F.greatest(F.col("pos") - radius, F.lit(0))
+    around = F.slice("w", begin + 1, F.col("pos") - begin + 1 + radius)
+    indexed = x.select("row", "id", "key", F.size("w").cast("bigint").alias("n_words"), head.alias("head"), "term", "pos", begin.alias("from"), around.alias("around"))
     return stored(indexed, "postings")
 
 
-def _postings(index: DataFrame) -> DataFrame:
-    return index.select("row", F.explode("postings").alias("p")).select("row", "p.term", "p.pos", "p.from", "p.around")
-
-
 def phrase_matches(index: DataFrame, lookups: DataFrame) -> DataFrame:
     """``(row, phrase, start, length)``: exact occurrences of phrases in the indexed texts."""
-    rare = _postings(index).join(lookups, F.col("term") == F.col("t1"))
+    rare = index.join(lookups, F.col("term") == F.col("t1"))
     rare = rare.select("row", "phrase", (F.col("pos") - F.col("o1")).alias("start"), "from", "around", "terms").where("start >= 0")
-    next_ = _postings(index).select("row", "term", "pos").join(lookups.select("phrase", "t2", "o2"), F.col("term") == F.col("t2"))
+    next_ = index.select("row", "term", "pos").join(lookups.select("phrase", "t2", "o2"), F.col("term") == F.col("t2"))
     next_ = next_.select("row", "phrase", (F.col("pos") - F.col("o2")).alias("start"))
     both = rare.join(next_, ["row", "phrase", "start"], "left_semi")
     exact = F.slice("around", F.col("start") - F.col("from") + 1, F.size("terms")) == F.col("terms")
@@ -104,7 +105,7 @@ def proximity_matches(index: DataFrame, lookups: DataFrame, slop: int) -> DataFr
 
     ``slop`` may not exceed the radius of the index.
     """
-    near = _postings(index).join(lookups, F.col("term") == F.col("t1"))
+    near = index.join(lookups, F.col("term") == F.col("t1"))
     begin = F.greatest(F.col("pos") - slop, F.col("from"))
     span = F.slice("around", begin - F.col("from") + 1, F.col("pos") - begin + 1 + slop)
     return near.where(F.size(F.array_except("terms", span)) == 0).select("row", "phrase", "pos").distinct()
@@ -125,6 +126,11 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
     """A row for each text: ``id_col, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    out = _judged(docs, items, id_col, text_col, item_id_col, item_text_col, window)
+    return out.drop("key").withColumnRenamed("id", id_col)
+
+
+def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     wanted = stored(phrases(items, item_id_col, item_text_col, window), "phrases")
     vocabulary = wanted.select(F.explode("terms").alias("term")).distinct()
     counts = stored(term_counts(docs, vocabulary, text_col), "term-counts")
@@ -137,11 +143,12 @@ def decontaminate(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("spans"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
-    out = index.select("row", "id", "n_words").join(hits, "row", "left")
+    out = index.where("head").select("row", "id", "key", "n_words").join(hits, "row", "left")
     n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0).cast("bigint"))
     names = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
+        "key",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(names).cast("bigint").alias("n_items"),
@@ -151,6 +158,6 @@ def decontaminate(
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows whose id belongs to a contaminated text."""
-    judged = decontaminate(docs, items, id_col, text_col, **how)
-    return without_ids(docs, judged.where("contaminated").select(id_col), id_col)
+    """``docs`` without the rows whose text is contaminated."""
+    judged = _judged(docs, items, id_col, text_col, **how)
+    return without_keys(docs, text_key(F.col(text_col)), judged.where("contaminated").select("key"))

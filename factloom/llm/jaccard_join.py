@@ -43,15 +43,16 @@ from pyspark.sql import functions as F
 
 from factloom.graph import connected_components
 from factloom.llm.shingles import WIDTH, mix, shingle_set, words_of
-from factloom.llm.sqltext import without_ids
+from factloom.llm.sqltext import text_key, unused, without_keys
 from factloom.session import stored
 
 #: Classes that share a block are paired up to this number, and above it tied to one of them.
 SMALL_GROUP = 24
 #: A block that more texts hold, as far as they meet within scan tasks, counts as frequent.
 FREQUENT = 48
-#: Bits of the fixed-size bitmaps that are broadcast.
-BITMAP_BITS = 1 << 23
+#: Least and most bits of the bitmaps that are broadcast (1 to 32 MB), and bits for each value between.
+BITMAP_BITS = (1 << 23, 1 << 28)
+BITS_EACH = 16
 #: Blocks for each shingle of the smallest set of a band.
 BLOCKS = 0.75
 #: Keys that one task of the join works off.
@@ -131,19 +132,20 @@ def in_bitmap(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def bitmap_of(values: DataFrame, col: str) -> np.ndarray:
-    """A bitmap of ``BITMAP_BITS`` slots with those of the 64-bit values of ``col`` set.
+    """A bitmap with the slots of the 64-bit values of ``col`` set: ``BITS_EACH`` slots a value, within ``BITMAP_BITS``.
 
-    Its size is fixed, whatever the number of values; slots are put together on
-    the executors, and at most one word for each 64 slots reaches the driver.
+    It is sized by a count, so it tells most other values apart however many there are, up
+    to the largest size; beyond it, more pass. Slots are put together on the executors;
+    the driver gets 12 bytes for each 64 slots at most.
     """
-    word = F.shiftrightunsigned(F.col(col).bitwiseAND(F.lit(BITMAP_BITS - 1)), 6).cast("int")
+    least, most = BITMAP_BITS
+    bits = min(most, max(least, 1 << (BITS_EACH * max(values.count(), 1) - 1).bit_length()))
+    word = F.shiftrightunsigned(F.col(col).bitwiseAND(F.lit(bits - 1)), 6).cast("int")
     # a variable shift is not a DataFrame function, so the SQL form is used
     bit = F.expr(f"shiftleft(1L, cast(`{col}` & 63 as int))")
-    rows = values.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
-    for row in rows:
-        if row.w is not None:
-            out[row.w] = row.b
+    words = values.where(F.col(col).isNotNull()).select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return out.view(np.uint64)
 
 
@@ -166,7 +168,7 @@ def _frequent(texts: DataFrame, num: int, den: int, width: int) -> np.ndarray:
             yield _repeated(parts)
 
     met = texts.mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
-    return bitmap_of(met.where(F.col("c") > FREQUENT).select("k"), "k")
+    return bitmap_of(stored(met.where(F.col("c") > FREQUENT).select("k"), "frequent"), "k")
 
 
 def _repeated(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -202,12 +204,12 @@ def _sketched(docs: DataFrame, num: int, den: int, width: int, frequent: np.ndar
                 keys.append(np.concatenate((offer[~hot], offer[hot][new])).tobytes())
                 ties.append(np.array(sorted(set(heads) - {cid}), np.int64).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(cids, pa.int64()), *(pa.array(x, pa.binary()) for x in (sketches, keys, ties))],
-                names=["id", "n", "cid", "sketch", "keys", "ties"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cids, pa.int64()), *(pa.array(x, pa.binary()) for x in (sketches, keys, ties))],
+                names=["id", "key", "n", "cid", "sketch", "keys", "ties"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n bigint, cid bigint, sketch binary, keys binary, ties binary")
+    return docs.mapInArrow(run, f"id {kind}, key bigint, n bigint, cid bigint, sketch binary, keys binary, ties binary")
 
 
 def _packed(parts: int):
@@ -376,7 +378,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts link at ``den * intersection >= num * union`` of their shingle sets.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, classes = _components(docs, id_col, text_col, num, den, width)
+    least = rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("least"))
+    rooted = least.join(classes, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(roots, "root").select("cid", "component_id")
+    out = rows.select("id", "n", "cid").join(named, "cid", "left")
+    component_id = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(id, key, n, cid)``, ``key`` a digest of the text, and the linked classes ``(cid, root)`` with the smallest class of their component."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
     frequent = _frequent(texts.select("text"), num, den, width)
@@ -403,29 +417,29 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = _members(texts.select("text"), width, bitmap_of(families, "cid"))
     tiles = _tiles(families, num, den)
     links = members.join(tiles, "cid").groupBy("tile").applyInArrow(_span(num, den), "src bigint, dst bigint")
-    component = connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("root"))
-
-    least = sketched.where("cid is not null").groupBy("cid").agg(F.min("id").alias("least"))
-    rooted = least.join(component, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(roots, "root").select("cid", "component_id")
-    out = sketched.select("id", "n", "cid").join(named, "cid", "left")
-    component_id = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"))
+    linked = connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("root"))
+    return sketched.select("id", "key", "n", "cid"), linked
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each component: that whose id names it.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = WIDTH) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: that with the smallest id, and of rows with this id the first by a digest of the text.
 
-    Rows with a null id stay if nothing with an id is linked with them. An id stays once
-    if one of its rows names a component; further rows of it go.
+    Rows with a null id come last. Texts without words are linked with nothing, and stay.
+    Rows with the same id and text are copies, of which one stays; other rows are judged by
+    their own text, whatever ids they share.
     """
-    found = stored(similar_components(docs, id_col, text_col, **how), "components")
-    names = F.col(id_col).eqNullSafe(F.col("component_id"))
-    ids = stored(found.groupBy(id_col).agg(F.max(names).alias("keep"), F.count("*").alias("rows")), "component-ids")
-    kept = without_ids(docs, ids.where("not keep"), id_col)
-    repeated = ids.where(F.col("keep") & (F.col("rows") > 1) & F.col(id_col).isNotNull())
-    if repeated.isEmpty():
+    rows, classes = _components(docs, id_col, text_col, num, den, width)
+    x = rows.where("cid is not null").groupBy("cid", "id", "key").agg(F.count("*").alias("rows"))
+    x = x.join(classes, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    row_key = lambda id_, key: F.xxhash64(id_, key)
+    first = x.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("f"))
+    x = stored(x.join(first, "root").select(row_key("id", "key").alias("key"), "rows", (F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key"))).alias("stays")), "component-rows")
+    mine = row_key(F.col(id_col), text_key(F.col(text_col)))
+    kept = without_keys(docs, mine, x.where("not stays"))
+    several = x.where("stays and rows > 1").select("key")
+    if several.isEmpty():
         return kept
-    rest = without_ids(kept, repeated, id_col)
-    return rest.unionByName(kept.join(repeated.select(id_col), id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+    name = unused(kept, "key")
+    marked = kept.withColumn(name, mine)
+    again = marked.join(several.withColumnRenamed("key", name), name, "left_semi").dropDuplicates([name])
+    return marked.join(several.withColumnRenamed("key", name), name, "left_anti").unionByName(again).select(*docs.columns)

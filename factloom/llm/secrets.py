@@ -9,8 +9,9 @@ such a table, :func:`labelled_findings` builds one from fixed recipes of real-lo
 keys and of usual false alarms.
 
 Nulls and texts without candidates give no findings. Rows are scanned one by one, so
-repeated ids and texts repeat their findings. Spans count code points from 0. Further
-columns are not read; empty tables give empty results.
+repeated ids and texts repeat their findings. Candidates have any length, and very long
+texts are read whole. Spans count code points from 0. Further columns may have any name;
+they are not read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.sqltext import bound, split_by_ids
+from factloom.llm.sqltext import bound, split_by_keys, text_key
 from factloom.session import ensure_checkpoint_dir, stored
 
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
@@ -186,21 +187,41 @@ def judged(found: DataFrame, model: RandomForestClassificationModel) -> DataFram
     return x.select(*kept, "secret", F.col("p").alias("probability"), (F.col("p") >= 0.5).alias("is_secret"))
 
 
+def _scanned(docs: DataFrame, key: Column, text_col: str, labelled: DataFrame | None) -> DataFrame:
+    """Judged candidates with ``id``, the value of ``key``, and ``secret_start``."""
+    model = fit(labelled_findings(docs.sparkSession) if labelled is None else labelled)
+    x = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    found = judged(candidates(x, "id", "text"), model)
+    return found.withColumn("secret_start", F.col("start") + F.length("value") - F.length("secret"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None) -> DataFrame:
     """A row for each candidate: ``id_col, start, value, secret, probability, is_secret``."""
-    model = fit(labelled_findings(docs.sparkSession) if labelled is None else labelled)
-    found = judged(candidates(docs, id_col, text_col), model)
+    found = _scanned(docs, F.col(id_col), text_col, labelled)
     return found.select(F.col("id").alias(id_col), "start", "value", "secret", "probability", "is_secret")
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` with the secrets of each text replaced by a mask; columns and other texts stay as they are."""
-    found = scan(docs, id_col, text_col, labelled).where("is_secret and secret <> ''")
-    # bounded by the candidates of one document
-    per_doc = found.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set("secret"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
-    per_doc = stored(per_doc, "secrets")
-    clear, maybe = split_by_ids(docs, per_doc.select(F.col("_id").alias(id_col)), id_col, "secret-slots")
-    x = maybe.join(per_doc, maybe[id_col].eqNullSafe(F.col("_id")), "left")
-    masked = F.aggregate("_secrets", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(MASK)))
-    text = F.when(F.col("_secrets").isNotNull() & F.col(text_col).isNotNull(), masked).otherwise(F.col(text_col))
-    return clear.unionByName(x.select(*[text.alias(c) if c == text_col else maybe[c] for c in docs.columns]))
+def _masked(text: Column, spans: Column) -> Column:
+    """A text with spans ``(start, n)``, in order and apart, replaced by the mask."""
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def cut(acc: Column, s: Column) -> Column:
+        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        return F.struct((s["start"] + s["n"]).alias("at"), F.concat(acc["out"], kept, F.lit(MASK)).alias("out"))
+
+    return F.aggregate(spans, none, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None = None) -> DataFrame:
+    """``docs`` with the secrets of each text replaced by a mask where they stand; columns and other texts stay as they are.
+
+    Texts are told apart by a digest, so rows that repeat an id are masked by themselves.
+    """
+    found = _scanned(docs, text_key(F.col(text_col)), text_col, labelled).where("is_secret and secret <> ''")
+    # bounded by the candidates of one text
+    spans = found.groupBy(F.col("id").alias("key")).agg(F.array_sort(F.collect_set(F.struct(F.col("secret_start").alias("start"), F.length("secret").alias("n")))).alias("spans"))
+    spans = stored(spans, "secrets")
+    clear, maybe, name = split_by_keys(docs, text_key(F.col(text_col)), spans, "secret-slots")
+    x = maybe.alias("d").join(spans.alias("s"), F.col(f"d.{name}") == F.col("s.key"), "left")
+    text = F.when(F.col("s.spans").isNotNull(), _masked(F.col(f"d.`{text_col}`"), F.col("s.spans"))).otherwise(F.col(f"d.`{text_col}`"))
+    return clear.unionByName(x.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]))

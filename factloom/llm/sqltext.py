@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from factloom.session import stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Runs of ASCII digits, a-z and everything outside ASCII.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
+#: What parts words of digits, a-z and everything outside ASCII, once A-Z are lower-cased.
+NO_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -19,9 +18,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def words(text: Column, pattern: str = ALNUM_WORD) -> Column:
-    """The words of a text in order, A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit(pattern), F.lit(0))
+def words(text: Column, separators: str = NO_ALNUM) -> Column:
+    """The words of a text in order, A-Z lower-cased; null has none.
+
+    Separators become one space, at which a split needs no pattern: listing the matches of
+    a pattern costs many times more.
+    """
+    spaced = F.trim(F.regexp_replace(ascii_lower(text), separators, " "))
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def bound(value: Column, use) -> Column:
@@ -55,25 +59,41 @@ def in_bitmap(hash_: Column, slots: Column, bits: int) -> Column:
     return F.call_function("shiftrightunsigned", slots[at], hash_.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-#: Slots of the bitmap that tells most rows apart from listed ids without a join.
-ID_BITS = 1 << 20
+def sized_bits(n: int, least: int = 1 << 17, most: int = 1 << 27) -> int:
+    """Bits of a bitmap for ``n`` hashes: 16 for each, within bounds."""
+    return min(most, max(least, 1 << (16 * max(n, 1) - 1).bit_length()))
+
+
+def unused(rows: DataFrame, stem: str) -> str:
+    """A column name that ``rows`` does not have."""
+    taken = {c.lower() for c in rows.columns}
+    return next(name for name in (f"_{stem}{k}" for k in range(len(taken) + 1)) if name not in taken)
+
 
+#: Slots of the bitmap that tells most rows apart from listed keys without a join.
+KEY_BITS = 1 << 20
 
-def split_by_ids(rows: DataFrame, ids: DataFrame, col: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose ``col`` is surely not among ``ids``, and the others, which a join has to decide.
 
-    A bitmap of fixed size does this, so rows that no id concerns are not shuffled. With
-    more ids than slots, all rows are left to the join.
+def split_by_keys(rows: DataFrame, key: Column, listed: DataFrame, label: str) -> tuple[DataFrame, DataFrame, str]:
+    """``rows`` whose 64-bit ``key`` is surely not in the column ``key`` of ``listed``; the others, which a join has to decide, with the key in a column; and its name.
+
+    A bitmap of fixed size does this, so rows that no key concerns are not shuffled. With
+    more keys than slots, all rows are left to the join.
     """
-    slots = bitmap(ids.select(F.xxhash64(col).alias("h")), "h", ID_BITS, label).scalar()
-    marked = rows.select("*", slots.alias("_slots"))
-    maybe = in_bitmap(F.xxhash64(col), F.col("_slots"), ID_BITS)
-    return marked.where(~maybe).drop("_slots"), marked.where(maybe).drop("_slots")
-
-
-def without_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """``rows`` whose ``col`` is not in the column of that name in ``ids``; null is an id like any other."""
-    ids = stored(ids.select(col).distinct(), "listed-ids")
-    clear, maybe = split_by_ids(rows, ids, col, "listed-slots")
-    listed = ids.select(F.col(col).alias("_id"))
-    return clear.unionByName(maybe.join(listed, maybe[col].eqNullSafe(F.col("_id")), "left_anti"))
+    slots = bitmap(listed.select(F.col("key").alias("h")), "h", KEY_BITS, label).scalar()
+    name, held = unused(rows, "key"), unused(rows, "slots")
+    marked = rows.withColumns({name: key, held: slots})
+    maybe = in_bitmap(F.col(name), F.col(held), KEY_BITS)
+    return marked.where(~maybe).drop(name, held), marked.where(maybe).drop(held), name
+
+
+def without_keys(rows: DataFrame, key: Column, listed: DataFrame) -> DataFrame:
+    """``rows`` whose 64-bit ``key`` is not in the column ``key`` of ``listed``."""
+    listed = stored(listed.select("key").distinct(), "listed-keys")
+    clear, maybe, name = split_by_keys(rows, key, listed, "listed-slots")
+    return clear.unionByName(maybe.join(listed.withColumnRenamed("key", name), name, "left_anti").select(*rows.columns))
+
+
+def text_key(text: Column) -> Column:
+    """A 64-bit digest of a text; null is a text of its own."""
+    return F.xxhash64(text, F.octet_length(text))

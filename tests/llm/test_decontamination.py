@@ -70,7 +70,7 @@ def test_proximity(spark):
     terms = wanted.selectExpr("explode(terms) as term").distinct()
     lookups = dc.plan_lookups(wanted, dc.term_counts(docs, terms))
     index = dc.build_index(docs, lookups.selectExpr("explode(array(t1, t2)) as term").distinct(), 12)
-    near = dc.proximity_matches(index, lookups, 5).join(index.select("row", "id"), "row")
+    near = dc.proximity_matches(index, lookups, 5).join(index.where("head").select("row", "id"), "row")
     assert sorted(r.id for r in near.collect()) == [1, 3]
 
 
@@ -80,3 +80,15 @@ def test_query_equals_sql(spark):
 
 def test_join_query_equals_sql(spark):
     assert assert_same(catalog.op5_jaccard_join(spark, SMALL), SMALL, oracles.OP5) == 200
+
+
+def test_rows_are_dropped_by_their_text(spark):
+    """Ids that repeat, or are null, do not take clean rows with them; other columns may have any name."""
+    phrase = " ".join(f"t{k}" for k in range(13))
+    rows = [(1, phrase), (1, "clean text"), (None, phrase), (None, "clean text"), (2, phrase + " and " + "more words here " * 100), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, _id string, _slots0 string, _key0 string")
+    items = spark.createDataFrame([(1, phrase), (1, None), (1, phrase)], "item_id long, text string")
+    kept = dc.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(i, t) for i, t in rows if t != phrase], key=repr)
+    assert dc.clean(docs.limit(0), items).count() == 0 and dc.clean(docs, items.limit(0)).count() == len(rows)
