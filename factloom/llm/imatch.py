@@ -8,14 +8,16 @@ terms of a text that belong to it are sorted and hashed; the fingerprint lists
 these hashes. Texts that differ little keep the hashes of the subsets that the
 difference misses, and dense subsets react to less than sparse ones.
 
-Frequencies are kept for a fixed number of hashed slots rather than for strings, so
-the lexicon is a bitmap of constant size. Two terms in one slot share their fate.
+Frequencies are counted for 64-bit hashes of terms, all of them. The lexicon is a table
+of these hashes: a term in the band is in 1 of 500 texts or more, so there are at most 500
+times as many as a text has distinct terms on average, however large the corpus.
 
 A text without lexicon terms has the SHA-256 of the text as its fingerprint: only
-equal texts share it. Nulls are empty texts. Rows with equal ids are ordered by the
-hash of their text; null ids come first. The row after the last is the first; a
-single row follows itself. Further columns are not read; empty tables give empty
-results.
+equal texts share it. Nulls are empty texts; very long texts are read whole. Ids are
+integers of any size; others are refused where the order of rows matters. Rows with
+equal ids are ordered by the hash of their text; null ids come first. The row after the
+last is the first; a single row follows itself. Further columns are not read; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,32 +26,49 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from factloom.llm.sqltext import bitmap, bound, in_bitmap, words
+from factloom.llm.sqltext import bound, unused
+from factloom.session import stored
 
 #: The band of inverse document frequencies ln(N / n): terms in 1 of 5 to 1 of 500 texts.
 IDF_BAND = (math.log(5), math.log(500))
-SLOTS = 1 << 20
+#: What parts terms, in lower case.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Of each density, this many subsets; a term is in one of them with a chance of PER_DENSITY / density.
 PER_DENSITY = 12
 DENSITIES = (12, 48, 192, 768)
 #: Hexadecimal digits kept of a subset's hash.
 DIGITS = 8
+#: Characters of the texts that one task puts in order.
+BUCKET_CHARS = 8 << 20
 
 
 def term_hashes(text: Column) -> Column:
-    """Distinct 64-bit hashes of a text's terms."""
-    return F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w)))
+    """Distinct 64-bit hashes of a text's terms, in lower case of all alphabets."""
+    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
+    return F.array_distinct(F.transform(F.array_remove(F.split(spaced, " ", -1), ""), lambda w: F.xxhash64(w)))
+
+
+def _slot(hash_: Column, slots: Column | int) -> Column:
+    return hash_.bitwiseAND((F.lit(slots) if isinstance(slots, int) else slots.cast("bigint")) - 1).cast("int")
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", idf_band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """One row with the bitmap of the slots whose inverse document frequency is in the band."""
-    slots = F.array_distinct(F.transform(term_hashes(F.col(text_col)), lambda h: h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")))
-    counted = docs.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
-    total = docs.select(F.count("*").alias("total")).scalar()
-    idf = F.log(total.cast("double") / F.col("n"))
-    kept = counted.where((idf >= F.lit(idf_band[0])) & (idf <= F.lit(idf_band[1]))).select(F.col("slot").cast("bigint").alias("slot"))
-    return bitmap(kept, "slot", SLOTS, "lexicon")
+    """One row: the hashes of the terms whose inverse document frequency is in the band, by slot, ``table array<array<bigint>>``.
+
+    There are at least as many slots as terms, so that a slot holds very few.
+    """
+    counted = docs.select(F.explode(term_hashes(F.col(text_col))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    total = docs.count()
+    # the band as counts, so that no logarithm is taken for each term
+    most, least = total / math.exp(idf_band[0]), total / math.exp(idf_band[1])
+    kept = stored(counted.where((F.col("n") <= F.lit(most)) & (F.col("n") >= F.lit(least))).select("h"), "lexicon-terms")
+    slots = max(1 << 10, 1 << (2 * max(kept.count(), 1) - 1).bit_length())
+    held = kept.groupBy(_slot(F.col("h"), slots).alias("s")).agg(F.collect_list("h").alias("hs"))  # bounded, as the lexicon is
+    blank = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("s"))
+    full = blank.join(held, "s", "left").select("s", F.coalesce("hs", F.array().cast("array<bigint>")).alias("hs"))
+    return stored(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "hs"))), lambda x: x["hs"]).alias("table")), "lexicon")
 
 
 def _blank() -> Column:
@@ -60,12 +79,14 @@ def _short(hashes: Column) -> Column:
     return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(hashes))), 16, "0"), 1, DIGITS)
 
 
-def with_hashes(docs: DataFrame, text_col: str, slots: DataFrame, name: str) -> DataFrame:
+def with_hashes(docs: DataFrame, text_col: str, table: DataFrame, name: str) -> DataFrame:
     """``docs`` with the subset hashes of a text column."""
-    x = docs.withColumn("_slots", slots.scalar())
-    terms = F.array_sort(F.filter(term_hashes(F.col(text_col)), lambda h: in_bitmap(h, F.col("_slots"), SLOTS)))
+    held = unused(docs, "table")
+    x = docs.withColumn(held, table.scalar())
+    slots = F.size(held)
+    terms = F.array_sort(F.filter(term_hashes(F.col(text_col)), lambda h: F.array_contains(F.col(held)[_slot(h, slots)], h)))
     hashes = bound(terms, lambda t: F.concat(*[bound(_drawn(t, d), _each) for d in DENSITIES]))
-    return x.withColumn(name, hashes).drop("_slots")
+    return x.withColumn(name, hashes).drop(held)
 
 
 def _drawn(terms: Column, density: int) -> Column:
@@ -99,32 +120,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return x.select(F.col("id").alias(id_col), fingerprint(F.col("hashes"), F.col("text")).alias("fingerprint"))
 
 
-def followed(rows: DataFrame, carried: list[str], buckets: int | None = None) -> DataFrame:
-    """``rows`` (with a numeric ``id`` and a tie-breaking ``tie``) and ``next_*`` of the columns in ``carried``.
+def _places(rows: DataFrame, buckets: int) -> Column:
+    """A bucket for each row: ranges of ids of about equal size, in order; an id with more rows than a bucket has several, by ranges of ``tie``.
 
-    Rows are dealt into ranges of ids. The first row of each range is also sent to the
-    range before it, and the very first to the last range, so that each range is
-    worked off by itself; only range limits reach the driver.
+    Only quantiles of ids reach the driver.
+    """
+    found = rows.agg(F.percentile_approx("id", [k / buckets for k in range(1, buckets)], 100 * buckets), F.count("*"), F.count_if(F.col("id").isNull())).first() if buckets > 1 else (None, 1, 0)
+    limits = list(found[0] or [])
+    bits = lambda n: max(0, math.ceil(math.log2(max(n, 1))))  # noqa: E731  of buckets for n times a bucket's rows
+    values = sorted(set(limits))
+    # buckets of nulls, of ids below the first limit, and for each limit of its own rows and of those above
+    hot = [bits(limits.count(v)) if limits.count(v) > 1 else 0 for v in values]
+    null_bits = bits(-(-found[2] * buckets // max(found[1], 1)))
+
+    def spread(b: Column) -> Column:
+        """The range of ``tie`` among ``2 ** b``, in order."""
+        return F.when(b == 0, 0).otherwise(F.call_function("shiftright", F.col("tie"), (64 - b).cast("int")) + F.call_function("shiftleft", F.lit(1), (b - 1).cast("int"))).cast("int")
+
+    first, bases = (1 << null_bits) + 1, []
+    for b in hot:
+        bases.append(first)
+        first += (1 << b) + 1
+    if not values:
+        return F.when(F.col("id").isNull(), spread(F.lit(null_bits))).otherwise(F.lit(1 << null_bits))
+    k = F.size(F.filter(F.lit(values), lambda v: v <= F.col("id")))
+    at = F.greatest(k - 1, F.lit(0))
+    b, base = F.lit(hot)[at], F.lit(bases)[at]
+    own = F.lit(values)[at] == F.col("id")
+    placed = F.when(k == 0, 1 << null_bits).when(own, base + spread(b)).otherwise(base + F.call_function("shiftleft", F.lit(1), b.cast("int")))
+    return F.when(F.col("id").isNull(), spread(F.lit(null_bits))).otherwise(placed).cast("int")
+
+
+def followed(rows: DataFrame, carried: list[str], finish=lambda rows: rows, buckets: int | None = None) -> DataFrame:
+    """``rows`` (with an integer ``id``, a ``text`` and a 64-bit ``tie`` from it), finished, and ``next_*`` of the columns in ``carried``.
+
+    Rows are dealt into ranges of ids sized by their characters. The first row of each range
+    is also sent to the range before it, and the very first to the last range, so that each
+    range is worked off by itself. ``finish`` adds columns to rows before they are dealt.
     """
-    spark = rows.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limits = rows.agg(F.percentile_approx("id", [k / buckets for k in range(1, buckets)])).first()[0] if buckets > 1 else []
-    limits = sorted(set(limits or []))
-    # how many limits are at or below the id; ids are numbers, so a sorted array can be searched by its filter
-    below = F.size(F.filter(F.lit(limits) if limits else F.array().cast("array<bigint>"), lambda x: x <= F.col("id")))
-    bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(below + 1)
-    dealt = rows.withColumn("bucket", bucket)
-    # a null first id stands for a bucket of null ids
-    firsts = {r.bucket: r.first for r in dealt.groupBy("bucket").agg(F.min("id").alias("first")).collect()}
-    order = sorted(firsts)
-    if not order:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carried]).limit(0)
-    before = [order[(order.index(b) - 1) % len(order)] if b in firsts else -1 for b in range(max(order) + 1)]
-    first_of = F.array([F.lit(firsts.get(b)).cast("bigint") for b in range(max(order) + 1)])
-    is_first = F.col("id").eqNullSafe(first_of[F.col("bucket")])
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
-    guest = F.struct(F.lit(before)[F.col("bucket")].cast("int").alias("bucket"), F.lit(True).alias("guest"))
-    sent = dealt.withColumn("place", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own)))).drop("bucket").select("*", "place.*").drop("place")
+    if not isinstance(rows.schema["id"].dataType, IntegralType):
+        raise ValueError("rows can only be put in order by integer ids")
+    rows = rows.withColumn("id", F.col("id").cast("bigint"))
+    if buckets is None:
+        chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+    dealt = rows.withColumn("bucket", _places(rows, buckets))
+    # a row for each bucket, its first; there are few buckets, so they are put in a ring in one task
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", "tie")).alias("f"))
+    ring = Window.orderBy("bucket")
+    before = F.coalesce(F.lag("bucket").over(ring), F.max("bucket").over(Window.partitionBy(F.lit(0))))
+    firsts = stored(firsts.withColumn("before", before).select("bucket", "before", F.col("f.id").alias("fid"), F.col("f.tie").alias("ftie")), "range-firsts")
+    same = (F.col("d.bucket") == F.col("f.bucket")) & F.col("d.id").eqNullSafe(F.col("f.fid")) & (F.col("d.tie") == F.col("f.ftie"))
+    # broadcast: a row of numbers for each bucket
+    guests = dealt.alias("d").join(F.broadcast(firsts).alias("f"), same).select("d.id", "d.text", "d.tie", F.col("f.before").alias("bucket")).dropDuplicates(["bucket"])
+    sent = finish(dealt).withColumn("guest", F.lit(False)).unionByName(finish(guests).withColumn("guest", F.lit(True)))
     run = Window.partitionBy("bucket").orderBy("guest", F.col("id").asc_nulls_first(), "tie")
     out = sent.select("*", *[F.lead(c).over(run).alias(f"next_{c}") for c in carried])
     return out.where("not guest").drop("bucket", "guest")
@@ -137,8 +186,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     slots = lexicon(x, "text", idf_band)
-    x = with_hashes(x, "text", slots, "hashes").withColumn("tie", F.xxhash64("text"))
-    x = followed(x, ["text", "hashes"])
+    x = followed(x.withColumn("tie", F.xxhash64("text")), ["text", "hashes"], lambda rows: with_hashes(rows, "text", slots, "hashes"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     kept = F.substring("text", F.lit(1), F.char_length("text") - half)
     x = x.withColumn("edited", F.concat(kept, F.substring("next_text", F.lit(1), half)))

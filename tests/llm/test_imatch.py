@@ -6,6 +6,7 @@ import re
 from collections import Counter
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import catalog, imatch
@@ -62,22 +63,84 @@ def test_few_rows(spark):
 
 def test_lexicon_equals_brute_force(spark):
     pick = random.Random(1)
-    texts = [" ".join(f"w{int(pick.paretovariate(0.6))}" for _ in range(30)) for _ in range(200)]
+    texts = [" ".join(f"W{int(pick.paretovariate(0.6))}" for _ in range(30)) for _ in range(200)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    n = Counter(w for t in texts for w in set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)))
+    n = Counter(w for t in texts for w in set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())))
     low, high = imatch.IDF_BAND
-    inside = {w for w, c in n.items() if low <= math.log(len(texts) / c) <= high}
-    words = spark.createDataFrame([(w,) for w in n], "w string").withColumn("slots", imatch.lexicon(docs).scalar())
-    got = {r.w for r in words.where(imatch.in_bitmap(F.xxhash64("w"), F.col("slots"), imatch.SLOTS)).collect()}
-    assert len(got ^ inside) <= 1 and len(inside) > 50  # two terms may share one of 2^20 slots
+    inside = {w for w, c in n.items() if low - 1e-9 <= math.log(len(texts) / c) <= high + 1e-9}
+    hashes = {r.h: r.w for r in spark.createDataFrame([(w,) for w in n], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    table = imatch.lexicon(docs).first().table
+    got = [hashes[h] for slot in table for h in slot]
+    assert set(got) == inside and len(got) == len(inside) > 50
+    assert all(h & (len(table) - 1) == k for k, slot in enumerate(table) for h in slot)
 
 
 def test_ranges_of_any_number_give_the_same_followers(spark):
-    rows = spark.createDataFrame([(i * i % 101, i, str(i)) for i in range(90)], "id long, tie long, v string")
-    base = {tuple(r) for r in imatch.followed(rows, ["v"], 1).select("id", "v", "next_v").collect()}
-    assert len(base) == 90
+    pick = random.Random(5)
+    ids = [i * i % 101 for i in range(90)] + [7] * 300 + [None] * 120
+    rows = spark.createDataFrame([(i, pick.randrange(-(2**63), 2**63), str(k)) for k, i in enumerate(ids)], "id long, tie long, text string").repartition(4)
+    base = {tuple(r) for r in imatch.followed(rows, ["text"], buckets=1).select("id", "text", "next_text").collect()}
+    assert len(base) == len(ids)
+    order = sorted(rows.collect(), key=lambda r: (r.id is not None, r.id or 0, r.tie))
+    assert base == {(r.id, r.text, order[(k + 1) % len(order)].text) for k, r in enumerate(order)}
     for buckets in (2, 7, 64):
-        assert {tuple(r) for r in imatch.followed(rows, ["v"], buckets).select("id", "v", "next_v").collect()} == base
+        out = imatch.followed(rows, ["text"], buckets=buckets)
+        assert {tuple(r) for r in out.select("id", "text", "next_text").collect()} == base
+    # an id with a hundred times the rows of others is dealt to several buckets
+    sizes = rows.withColumn("b", imatch._places(rows, 64)).groupBy("b").count().collect()
+    assert max(r["count"] for r in sizes) < 60
+
+
+def test_likeness_equals_the_share_of_equal_subset_hashes(spark):
+    blank = spark.range(1).select(imatch._blank().alias("b")).first().b
+    texts = {}
+    checked = 0
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(texts)
+    rows = {r.doc_id: r for r in catalog.op8_imatch(spark, SMALL).collect()}
+    split = lambda f: [f[k : k + imatch.DIGITS] for k in range(0, len(f), imatch.DIGITS)] if len(f) == imatch.DIGITS * imatch.PER_DENSITY * len(imatch.DENSITIES) else None
+    for k, d in enumerate(order):
+        r, after = rows[d], rows[order[(k + 1) % len(order)]]
+        for mine, theirs, near in ((r.fingerprint, r.edited_fingerprint, r.near_edited), (r.fingerprint, after.fingerprint, r.near_next)):
+            x, y = split(mine), split(theirs)
+            if x is None or y is None:
+                continue
+            used = [(p, q) for p, q in zip(x, y, strict=True) if (p, q) != (blank, blank)]
+            assert abs(near - sum(p == q for p, q in used) / len(used)) < 1e-12
+            checked += 1
+    assert checked > 200
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Hashes of the sorted lexicon terms of each subset, recomputed from what Spark hashes single terms to."""
+    pick = random.Random(2)
+    texts = [" ".join(f"w{int(pick.paretovariate(0.6))}" for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    inside = {h for slot in imatch.lexicon(docs).first().table for h in slot}
+    words = sorted({w for t in texts for w in t.split()})
+    x = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"))
+    x = x.select("w", "h", *[F.pmod(F.xxhash64("h", F.lit(d)), F.lit(d)).alias(f"s{d}") for d in imatch.DENSITIES])
+    known = {r.w: r for r in x.collect() if r.h in inside}
+    lists = []
+    for t in texts:
+        mine = [known[w] for w in set(t.split()) if w in known]
+        lists.append([sorted(r.h for r in mine if r[f"s{d}"] == k) for d in imatch.DENSITIES for k in range(imatch.PER_DENSITY)])
+    flat = spark.createDataFrame([(i, j, hs) for i, each in enumerate(lists) for j, hs in enumerate(each)], "i int, j int, hs array<long>").select("i", "j", imatch._short(F.col("hs")).alias("f"))
+    want: dict = {}
+    for r in sorted(flat.collect(), key=lambda r: (r.i, r.j)):
+        want[r.i] = want.get(r.i, "") + r.f
+    got = {r.doc_id: r.fingerprint for r in imatch.fingerprints(docs).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 58 and all(got[i] in (want[i], hashlib.sha256(texts[i].encode()).hexdigest()) for i in want)
+
+
+def test_other_ids(spark):
+    rows = [(i, f"text {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    for kind in ("tinyint", "smallint", "int", "bigint"):
+        assert imatch.edited_fingerprints(docs.selectExpr(f"cast(doc_id as {kind}) doc_id", "text", "1 as bucket", "2 as _table0")).count() == 5
+    with pytest.raises(ValueError):
+        imatch.edited_fingerprints(docs.selectExpr("cast(doc_id as string) doc_id", "text"))
 
 
 def test_likeness_separates_edits_from_strangers(spark):
