@@ -84,14 +84,20 @@ def words_of(texts: pa.Array) -> Iterator[np.ndarray]:
         row = last
 
 
-def _long(raw: np.ndarray) -> Iterator[np.ndarray]:
-    none = np.zeros(0, np.int64)
+def cut_at_space(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """Pieces of a text of about ``STEP`` bytes; a word is never cut, however long it is."""
     while len(raw) > STEP:
         gaps = np.flatnonzero(_SPACE[raw[:STEP]])
         cut = int(gaps[-1]) + 1 if len(gaps) else STEP + int((np.flatnonzero(_SPACE[raw[STEP:]])[:1] + 1).sum() or len(raw) - STEP)
-        yield _hash_words(raw[:cut], none)[0]
+        yield raw[:cut]
         raw = raw[cut:]
-    yield _hash_words(raw, none)[0]
+    yield raw
+
+
+def _long(raw: np.ndarray) -> Iterator[np.ndarray]:
+    none = np.zeros(0, np.int64)
+    for piece in cut_at_space(raw):
+        yield _hash_words(piece, none)[0]
 
 
 def shingle_sequence(words: np.ndarray, width: int = WIDTH) -> np.ndarray:

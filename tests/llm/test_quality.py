@@ -5,47 +5,84 @@ import zlib
 import duckdb
 import numpy as np
 
-from factloom.llm import catalog, quality
+from factloom.llm import catalog, quality, shingles
 
 SMALL = "/root/testdata/sf0.01"
 
 
+def bag(text: str) -> quality.Bag:
+    return quality.bag_of(np.frombuffer(text.encode(), np.uint8))
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(k, quality.N_FEATURES)) for k in (1, 3, 5)]
+
+    def made(passages, words):
+        first = np.sort(rng.integers(0, words + 1, passages)).astype(np.int32) if words else np.zeros(passages, np.int32)
+        first[0] = 0
+        return quality.Bag(rng.normal(size=(passages, quality.N_FEATURES)), rng.integers(0, 5, words).astype(np.uint16), first)
+
+    batch = quality._Batch.of([made(1, 0), made(3, 40), made(5, 90)], np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES))
     labels, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
-    shapes = {"W": (quality.N_FEATURES, 16), "b": (16,), "V": (16, 8), "U": (16, 8), "w": (8,), "c": (16,), "d": (1,)}
+    shapes = {"E": (quality.BUCKETS, 16), "W": (quality.N_FEATURES, 16), "b": (16,), "V": (16, 8), "U": (16, 8), "w": (8,), "c": (16,), "d": (1,)}
     p = {k: rng.normal(0, 0.3, s) for k, s in shapes.items()}
 
     def loss():
-        s = quality._forward(p, np.concatenate(bags), np.array([0, 1, 4]))["score"]
+        s = quality._forward(p, batch)["score"]
         return float((-(labels * np.log(s) + (1 - labels) * np.log(1 - s)) * weight).mean())
 
-    grads = quality._gradients(p, bags, labels, weight)
+    grads = quality._gradients(p, batch, labels, weight)
     for k in p:
-        at = tuple(int(rng.integers(n)) for n in p[k].shape)
+        at = tuple(int(rng.integers(5 if k == "E" and j == 0 else n)) for j, n in enumerate(p[k].shape))
         old = p[k][at]
         p[k][at] = old + 1e-5
         up = loss()
         p[k][at] = old - 1e-5
         down = loss()
         p[k][at] = old
-        assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-6
+        assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-6, k
 
 
 def test_features_of_odd_texts(monkeypatch):
-    for text in ("", " \n ", "a", "word " * 1000, "é" * 500, "x" * 5000, "A! B# C$ |", "no end"):
-        out = quality.passage_features(np.frombuffer(text.encode(), np.uint8))
-        assert out.shape[1] == quality.N_FEATURES and np.isfinite(out).all() and len(out) >= 1
-    monkeypatch.setattr(quality, "STEP", 100)
-    assert len(quality.passage_features(np.frombuffer(b"some words here " * 100, np.uint8))) >= 16
+    texts = ("", " \n ", "a", "word " * 1000, "é" * 500, "x" * 5000, "A! B# C$ |", "no end", "some words here " * 100 + "y" * 300 + " and more" * 40)
+    whole = [bag(t) for t in texts]
+    for out in whole:
+        assert out.features.shape[1] == quality.N_FEATURES and np.isfinite(out.features).all() and len(out) == len(out.first) >= 1
+    # a text that is hashed piece by piece is described as a whole
+    monkeypatch.setattr(shingles, "STEP", 100)
+    for t, w in zip(texts, whole, strict=True):
+        out = bag(t)
+        assert np.array_equal(out.features, w.features) and np.array_equal(out.words, w.words) and np.array_equal(out.first, w.first)
+        again = quality.Bag.unpack(out.pack())
+        assert all(np.array_equal(getattr(again, n), getattr(out, n)) for n in ("features", "words", "first"))
+
+
+def test_mean_vectors_equal_a_loop():
+    rng = np.random.default_rng(4)
+    bags = [bag(" ".join(f"w{int(x)}" for x in rng.integers(0, 50, n))) for n in (0, 3, 64, 500)]
+    vectors = rng.normal(size=(quality.BUCKETS, 4))
+    got = quality._Batch.of(bags, np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES)).mean_of(vectors)
+    want = []
+    for b in bags:
+        for lo, hi in zip(b.first, np.append(b.first[1:], len(b.words)), strict=True):
+            want.append(vectors[b.words[lo:hi]].mean(axis=0) if hi > lo else np.zeros(4))
+    assert np.allclose(got, want)
+
+
+def test_words_alone_decide():
+    """Passages that only differ by their words are told apart."""
+    rng = np.random.default_rng(3)
+    text = lambda k: " ".join(f"w{k}{int(x):03d}" for x in rng.integers(0, 60, 200))
+    bags = [bag(text(k)) for k in (0, 1) for _ in range(80)]
+    model = quality.MilModel.fit(bags, np.repeat([1.0, 0.0], 80))
+    scores = model.score([bag(text(0)) for _ in range(20)] + [bag(text(1)) for _ in range(20)])
+    assert (scores[:20] > 0.5).mean() > 0.9 and (scores[20:] < 0.5).mean() > 0.9
 
 
 def test_attention_sums_to_one_and_finds_the_bad_passage():
     rng = np.random.default_rng(1)
     good = " ".join(f"w{int(x)}" for x in rng.integers(0, 500, 300))
     bad = "same " * 64
-    bag = lambda t: quality.passage_features(np.frombuffer(t.encode(), np.uint8))
     texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 500, 300)) for _ in range(60)]
     bags = [bag(t) for t in texts] + [bag(t + " " + bad) for t in texts]
     model = quality.MilModel.fit(bags, np.array([1.0] * 60 + [0.0] * 60))
@@ -73,8 +110,8 @@ def test_fitting_sees_every_passage(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(quality.MilModel, "fit", lambda bags, target: seen.update(zip(target.tolist(), bags, strict=True)))
     quality.fit(docs, labels)
-    want = quality.passage_features(np.frombuffer(text.encode(), np.uint8))
-    assert len(want) > 300 and np.array_equal(seen[0.0], want)
+    want = bag(text)
+    assert len(want) > 300 and np.array_equal(seen[0.0].features, want.features) and np.array_equal(seen[0.0].words, want.words)
 
 
 def test_held_out_accuracy(spark):
