@@ -5,30 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.unicode import normalized
+
+#: What counts as a token, and how many a chunk and an overlap hold; fixed values.
 TOKEN = r"[一-鿿]|[A-Za-z0-9]+(\.[0-9]+)*"
 CHUNK_TOKENS, OVERLAP_TOKENS = 512, 64
+BLOCK = "struct<text:string,page:int>"
 
 
-def normalize_text(text: Column) -> Column:
+def stripped_lines(text: Column) -> Column:
     """Line ends as LF, each line and the whole stripped; blank lines inside stay."""
     lf = F.regexp_replace(text, "\r\n?", "\n")
     return F.regexp_replace(F.regexp_replace(lf, r"(?Um)^[^\S\n]+|[^\S\n]+$", ""), r"(?U)^\s+|\s+$", "")
 
 
+def normalize_text(text: Column) -> Column:
+    """:func:`stripped_lines` of the text in NFC."""
+    return stripped_lines(normalized(text, "NFC"))
+
+
 def estimate_tokens(text: Column) -> Column:
     """Han characters, and runs of ASCII letters and digits with dotted numbers."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), F.lit(0))
 
 
+#: Lines that are not blank, one after the other.
+_PARAGRAPH = r"(?mdU)^[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*"
+
+
+def paragraph_spans(text: Column) -> Column:
+    """``array<struct<text, offset_start, offset_end>>``: blank lines part paragraphs, whose lines are stripped.
+
+    Offsets are characters of ``text``, from the beginning of a paragraph's first line to
+    the end of its last, white space at the ends of lines included.
+    """
+    parts = F.regexp_extract_all(text, F.lit(_PARAGRAPH), F.lit(0))
+    gaps = F.slice(F.split(text, _PARAGRAPH, -1), F.lit(1), F.size(parts))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def add(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        return F.struct((begin + x["part"]).alias("at"), F.concat(acc["starts"], F.array(begin)).alias("starts"))
+
+    starts = F.aggregate(F.zip_with(gaps, parts, lambda g, p: F.struct(F.length(g).alias("gap"), F.length(p).alias("part"))), none, add, lambda acc: acc["starts"])
+    block = lambda p, s: F.struct(stripped_lines(p).alias("text"), s.alias("offset_start"), (s + F.length(p)).alias("offset_end"))
+    return F.zip_with(parts, starts, block)
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, paragraph, text)``: blank lines part paragraphs; their lines are stripped."""
-    parts = F.filter(F.split(normalize_text(F.col(text_col)), r"\n\n+"), lambda p: p != "")
-    return docs.select(id_col, F.posexplode(parts).alias("paragraph", "text"))
+    return docs.select(id_col, F.posexplode(paragraph_texts(F.col(text_col))).alias("paragraph", "text"))
+
+
+def paragraph_texts(text: Column) -> Column:
+    return F.filter(F.split(stripped_lines(text), r"\n\n+"), lambda p: p != "")
+
+
+def blocks_of(text: Column) -> Column:
+    """The paragraphs of a plain text as blocks without pages."""
+    return F.transform(paragraph_texts(text), lambda p: F.struct(p.alias("text"), F.lit(None).cast("int").alias("page")))
 
 
 def lines_of(text: Column) -> Column:
     """Non-blank stripped lines with their token counts."""
-    lines = F.filter(F.split(normalize_text(text), "\n"), lambda x: x != "")
+    lines = F.filter(F.split(stripped_lines(text), "\n"), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(x.alias("text"), estimate_tokens(x).alias("n")))
 
 
@@ -56,38 +96,63 @@ def units(text: Column, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS
     return F.flatten(F.transform(lines_of(text), lambda u: F.when(u["n"] > limit, _sliced(u["text"], limit, overlap)).otherwise(F.array(u))))
 
 
-def chunk_lines(docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, chunk_index, token_count, text)``: lines packed greedily up to ``limit`` tokens.
+def chunks_of(blocks: Column, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+    """Chunks of the blocks of one document: ``array<struct<chunk_index, text, token_count, page_start, page_end, block_indexes>>``.
 
-    A chunk is closed when it holds something and the next line would pass the limit; a line
-    over the limit is packed as overlapping windows. The greedy carry runs inside the row, so
-    a document never leaves its task.
+    Units are packed greedily up to ``limit`` tokens: a chunk is closed when it holds
+    something and the next unit would pass the limit. Units of a block are joined by a
+    line end, blocks by a blank line. Where chunks begin is found by one pass over the
+    token counts; each chunk is then a slice.
     """
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("the limit must be positive and the overlap less than it")
-    empty = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("filled"), F.array().cast("array<int>").alias("of"))
+    each = F.flatten(F.transform(blocks, lambda b, i: F.transform(units(b["text"], limit, overlap), lambda u: F.struct(u["text"].alias("text"), u["n"].alias("n"), b["page"].alias("page"), i.alias("block")))))
+    none = F.struct(F.lit(0).alias("filled"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def pack(acc: Column, n: Column) -> Column:
+        begins = (acc["at"] == 0) | ((acc["filled"] > 0) & (acc["filled"] + n > limit))
+        return F.struct(
+            F.when(begins, n).otherwise(acc["filled"] + n).alias("filled"),
+            (acc["at"] + 1).alias("at"),
+            F.when(begins, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    def cut(u: Column) -> Column:
+        starts = F.aggregate(F.transform(u, lambda x: x["n"]), none, pack, lambda acc: acc["starts"])
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda begin, k: chunk(F.slice(u, begin + 1, F.coalesce(F.get(s, k + 1), F.size(u)) - begin), k)))[0]
+
+    def chunk(part: Column, k: Column) -> Column:
+        glued = F.transform(part, lambda x, i: F.concat(F.when(i == 0, "").when(F.get(part, i - 1)["block"] == x["block"], "\n").otherwise("\n\n"), x["text"]))
+        pages = F.filter(F.transform(part, lambda x: x["page"]), lambda p: p.isNotNull())
+        return F.struct(
+            k.alias("chunk_index"),
+            F.array_join(glued, "").alias("text"),
+            F.aggregate(part, F.lit(0), lambda s, x: s + x["n"]).alias("token_count"),
+            F.array_min(pages).alias("page_start"),
+            F.array_max(pages).alias("page_end"),
+            F.array_sort(F.array_distinct(F.transform(part, lambda x: x["block"]))).alias("block_indexes"),
+        )
+
+    # bound once, so units are only computed once
+    return F.transform(F.array(each), cut)[0]
+
+
+def chunk_blocks(docs: DataFrame, blocks: Column, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id") -> DataFrame:
+    """A row for each chunk of each row's blocks; a document never leaves its task, and rows that repeat an id are cut by themselves."""
+    return docs.select(id_col, F.explode(chunks_of(blocks, limit, overlap)).alias("c")).select(id_col, "c.*")
 
-    def pack(acc: Column, u: Column) -> Column:
-        full = (acc["filled"] > 0) & (acc["filled"] + u["n"] > limit)
-        chunk = acc["chunk"] + full.cast("int")
-        return F.struct(chunk.alias("chunk"), F.when(full, u["n"]).otherwise(acc["filled"] + u["n"]).alias("filled"), F.concat(acc["of"], F.array(chunk)).alias("of"))
 
-    x = docs.select(id_col, units(F.col(text_col), limit, overlap).alias("u")).where(F.size("u") > 0)
-    x = x.withColumn("of", F.aggregate("u", empty, pack, lambda acc: acc["of"]))
-    x = x.select(id_col, F.posexplode(F.arrays_zip("u", "of")).alias("line", "z")).select(id_col, "line", F.col("z.of").alias("chunk_index"), "z.u.text", "z.u.n")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"])
-    return x.groupBy(id_col, "chunk_index").agg(F.sum("n").alias("token_count"), F.array_join(lines, "\n").alias("text"))
+def chunk_lines(docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`chunk_blocks` of the paragraphs of plain texts."""
+    return chunk_blocks(docs, blocks_of(F.col(text_col)), limit, overlap, id_col)
 
 
 def long_line_windows(docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, line, window, first_token, n_tokens)``: overlapping token windows of lines over the limit."""
-    step = max(1, limit - overlap)
-    x = docs.select(id_col, F.posexplode(lines_of(F.col(text_col))).alias("line", "u")).select(id_col, "line", "u.n").where(F.col("n") > limit)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("n") - limit) / step).cast("int"), F.lit(0)))
-    x = x.select(id_col, "line", "n", F.explode(starts).alias("window"))
-    return x.select(id_col, "line", "window", (F.col("window") * step).alias("first_token"), F.least(F.lit(limit), F.col("n") - F.col("window") * step).alias("n_tokens"))
+    """``(id_col, line, window, text, n_tokens)``: overlapping windows of the text of lines over the limit."""
+    x = docs.select(id_col, F.posexplode(lines_of(F.col(text_col))).alias("line", "u")).where(F.col("u.n") > limit)
+    return x.select(id_col, "line", F.posexplode(_sliced(F.col("u.text"), limit, overlap)).alias("window", "w")).select(id_col, "line", "window", "w.text", F.col("w.n").alias("n_tokens"))
 
 
 def content_hash(blocks: Column) -> Column:
-    """SHA-256 of the compact JSON of blocks in order."""
-    return F.sha2(F.to_json(blocks), 256)
+    """SHA-256 of the compact JSON of blocks in order; nulls are kept, and fields should come in the order of their names."""
+    return F.sha2(F.to_json(blocks, {"ignoreNullFields": "false"}), 256)

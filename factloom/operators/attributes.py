@@ -1,13 +1,191 @@
-"""Audit channels for pairs of facts once attributes are resolved: what is a conflict, and what people should review."""
+"""Attribute resolution from proposed clusters, and the audit channels for pairs of facts.
+
+A model proposes which predicates of a subject mean one attribute; :func:`resolve` keeps
+what the facts bear out. Pairs of facts are then a conflict, silent, or for people to review.
+
+Proposals are two frames. ``clusters``: ``(subject_id, cluster, canonical_name, value_kind,
+ord, alias, span)``, a row for each alias. ``texts``: ``(subject_id, cluster, value_kind,
+a, b)``, a row for each two values that are said to mean the same.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
+from factloom.operators import detect, versions
+from factloom.rules import RuleContext
 
+#: When string values are prose rather than an enumeration, samples of a predicate, predicates of a request; fixed values.
 FREE_TEXT_CHARS, FREE_TEXT_VALUES = 20, 8
+SAMPLES, BUDGET = 6, 60
+#: Source types whose facts take part, by default; a fixed value.
+SOURCE_TYPES = ("pricing",)
+#: How a tax basis reads in a sample; fixed values.
+TAX_WORDS = {"inclusive": "含税", "exclusive": "不含税", "unknown": "税口径未说明"}
+TEXT_KINDS = ("text", "enumeration")
+
+
+def eligible(facts: DataFrame, docs: DataFrame, source_types: tuple[str, ...] = SOURCE_TYPES) -> DataFrame:
+    """Facts of documents of the types that attributes are resolved for."""
+    return facts.join(docs.where(F.col("source_type").isin(*source_types)).select("doc_id"), "doc_id", "left_semi")
+
+
+def text_key(text: Column) -> Column:
+    """A value without white space, in lower case: how equivalent texts are told apart."""
+    return F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
+
+
+def rendered(facts: DataFrame) -> Column:
+    """A fact's object as a sample shows it: entity or scalar, unit, currency, tax basis."""
+    col = lambda c, t="string": F.col(c) if c in facts.columns else F.lit(None).cast(t)
+    scalar = X.scalar_text(F.col("object_type"), col("object_string"), col("object_number", "double"), col("object_date", "date"), col("object_bool", "boolean"))
+    tax = F.lit(None).cast("string")
+    for basis, word in TAX_WORDS.items():
+        tax = F.when(col("tax_basis") == basis, word).otherwise(tax)
+    shown = F.concat_ws(" ", scalar, F.nullif(col("measure_unit"), F.lit("")), F.nullif(col("currency"), F.lit("")), tax)
+    return F.coalesce(col("object_entity_name"), col("object_entity_id"), shown)
+
+
+def shard_descriptors(facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(subject_id, pred_fold, predicate, samples, source_docs, source_types)`` of eligible facts: what a predicate is about.
+
+    ``predicate`` is its first written form, ``samples`` its first distinct objects.
+    """
+    x = facts.withColumn("_s", rendered(facts)).join(docs.select("doc_id", "filename", "source_type"), "doc_id", "left")
+    key = ["subject_id", "pred_fold"]
+    # one row a distinct object, pruned to the first few before they are gathered
+    first = x.groupBy(*key, "_s").agg(F.min(F.struct("predicate", "fact_id")).alias("at"))
+    order = Window.partitionBy(*key).orderBy("at")
+    samples = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLES).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "_s"))).alias("s"))
+    per = x.groupBy(*key).agg(F.min("predicate").alias("predicate"), F.array_sort(F.collect_set("filename")).alias("source_docs"), F.array_sort(F.collect_set("source_type")).alias("source_types"))
+    return per.join(samples, key).select(*key, "predicate", F.transform("s", lambda v: v["_s"]).alias("samples"), "source_docs", "source_types")
+
+
+def pack_shards(descriptors: DataFrame, names: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``(pack, place, subject_id, pred_fold, split)``: subjects of two predicates or more, in requests of up to ``budget`` predicates.
+
+    Subjects keep together and come in the order of their names; one with more predicates is
+    cut by the first document of its predicates, and has requests of its own. Only a number
+    for each subject is in one sequence, as the filling of requests is.
+    """
+    per = descriptors.groupBy("subject_id").agg(F.count("*").alias("n")).where("n > 1").join(names.select("subject_id", "name"), "subject_id", "left")
+    order = Window.partitionBy(F.lit(0)).orderBy("name", "subject_id")
+    state = F.struct(F.lit(-1).alias("pack"), F.lit(0).alias("filled"), F.array().cast("array<struct<subject_id:string,pack:int,large:boolean>>").alias("out"))
+
+    def put(acc: Column, s: Column) -> Column:
+        large = s["n"] > budget
+        opens = large | (acc["filled"] == 0) | (acc["filled"] + s["n"] > budget)
+        pack = acc["pack"] + opens.cast("int")
+        return F.struct(pack.alias("pack"), F.when(large, 0).when(opens, s["n"]).otherwise(acc["filled"] + s["n"]).alias("filled"), F.concat(acc["out"], F.array(F.struct(s["id"].alias("subject_id"), pack.alias("pack"), large.alias("large")))).alias("out"))
+
+    # a piece of the sequence for every 1,000 subjects, so that arrays stay short; a new piece opens a new request
+    piece = per.select(F.col("subject_id").cast("string").alias("id"), F.col("n").cast("int").alias("n"), F.floor((F.row_number().over(order) - 1) / 1000).alias("piece"), F.row_number().over(order).alias("r"))
+    lists = piece.groupBy("piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id", "n"))), lambda v: F.struct(v["id"].alias("id"), v["n"].alias("n"))).alias("s"))
+    placed = lists.select("piece", F.explode(F.aggregate("s", state, put, lambda acc: acc["out"])).alias("p")).select("piece", "p.*")
+    rows = descriptors.withColumn("subject_id", F.col("subject_id").cast("string")).join(placed, "subject_id")
+    first_doc = F.coalesce(F.get("source_docs", F.lit(0)), F.lit(""))
+    group = rows.where("large").groupBy("piece", "pack", "subject_id", first_doc.alias("doc")).agg(F.count("*").cast("int").alias("n"))
+    filling = F.struct(F.lit(0).alias("part"), F.lit(0).alias("filled"), F.array().cast("array<struct<doc:string,part:int>>").alias("out"))
+
+    def fill(acc: Column, g: Column) -> Column:
+        opens = (acc["filled"] > 0) & (acc["filled"] + g["n"] > budget)
+        part = acc["part"] + opens.cast("int")
+        return F.struct(part.alias("part"), F.when(opens, g["n"]).otherwise(acc["filled"] + g["n"]).alias("filled"), F.concat(acc["out"], F.array(F.struct(g["doc"].alias("doc"), part.alias("part")))).alias("out"))
+
+    cuts = group.groupBy("piece", "pack", "subject_id").agg(F.array_sort(F.collect_list(F.struct("doc", "n"))).alias("g"))
+    cuts = cuts.select("piece", "pack", "subject_id", F.explode(F.aggregate("g", filling, fill, lambda acc: acc["out"])).alias("c")).select("piece", "pack", "subject_id", "c.doc", "c.part")
+    small = rows.where("not large").withColumn("part", F.lit(0))
+    large = rows.where("large").withColumn("doc", first_doc).join(cuts, ["piece", "pack", "subject_id", "doc"]).drop("doc")
+    out = small.unionByName(large)
+    return out.select(F.concat_ws("-", "piece", "pack", "part").alias("pack"), "subject_id", "pred_fold", F.col("large").alias("split"))
+
+
+@dataclass
+class Resolution:
+    """What is kept of the proposals: ``bindings (subject_id, pred_fold, canonical_key, canonical_name, value_kind, dimension, trusted)``,
+    ``texts (subject_id, a, b)`` as text keys with a before b, ``rejected (subject_id, a, b)`` predicates whose merge the
+    units forbid, the ``facts`` that take part, and ``discarded (subject_id, cluster, what, reason)``."""
+
+    facts: DataFrame
+    bindings: DataFrame
+    texts: DataFrame
+    rejected: DataFrame
+    discarded: DataFrame
+
+
+def resolve(facts: DataFrame, docs: DataFrame, clusters: DataFrame, texts: DataFrame, source_types: tuple[str, ...] = SOURCE_TYPES) -> Resolution:
+    """Proposals, checked against the facts that take part.
+
+    An alias must be a predicate of its subject and counts at its first use; a span that
+    occurs in the predicate or its samples makes it trusted. Measures merge within one
+    unit; predicates without units join the largest group, untrusted.
+    """
+    own = eligible(_whole(facts), docs, source_types)
+    known = shard_descriptors(own, docs)
+    surface = text_key(F.concat_ws(" ", F.array("predicate"), "samples"))
+    x = clusters.withColumn("pred_fold", X.fold(F.col("alias"))).join(known.select("subject_id", "pred_fold", surface.alias("surface")), ["subject_id", "pred_fold"], "left")
+    use = Window.partitionBy("subject_id", "pred_fold").orderBy("cluster", "ord")
+    x = x.withColumn("n", F.when(F.col("surface").isNotNull(), F.row_number().over(use)))
+    dropped = x.where("surface is null or n > 1").select("subject_id", "cluster", F.col("alias").alias("what"), F.when(F.col("surface").isNull(), "unknown_predicate").otherwise("used_before").alias("reason"))
+    span = text_key(F.coalesce("span", F.lit("")))
+    x = x.where("n = 1").withColumn("trusted", (span != "") & F.contains("surface", span)).select("subject_id", "cluster", "canonical_name", "value_kind", "pred_fold", "trusted")
+    several = x.groupBy("subject_id", "cluster").agg(F.count("*").alias("aliases")).where("aliases > 1").select("subject_id", "cluster")
+    x = x.join(several, ["subject_id", "cluster"], "left_semi")
+
+    # units: an alias takes the one that most aliases of its cluster have, the first by name if several do
+    dims = own.select("subject_id", "pred_fold", X.normalize_dimension(F.col("measure_unit")).alias("dim")).where("dim is not null").distinct()
+    measures = x.where("value_kind = 'measure'")
+    spread = measures.join(dims, ["subject_id", "pred_fold"])
+    votes = spread.groupBy("subject_id", "cluster", "dim").agg(F.count("*").alias("votes"))
+    chosen = spread.join(votes, ["subject_id", "cluster", "dim"]).groupBy("subject_id", "cluster", "pred_fold").agg(F.min_by("dim", F.struct(-F.col("votes"), "dim")).alias("dimension"), F.count("*").alias("dims"))
+    sized = chosen.groupBy("subject_id", "cluster", "dimension").agg(F.count("*").alias("size"))
+    biggest = sized.where("size > 1").groupBy("subject_id", "cluster").agg(F.min_by("dimension", F.struct(-F.col("size"), "dimension")).alias("largest"))
+    any_unit = votes.select("subject_id", "cluster").distinct().withColumn("any_unit", F.lit(True))
+    m = measures.join(chosen, ["subject_id", "cluster", "pred_fold"], "left").join(sized, ["subject_id", "cluster", "dimension"], "left").join(biggest, ["subject_id", "cluster"], "left").join(any_unit, ["subject_id", "cluster"], "left")
+    loose = F.col("any_unit").isNull()
+    kept = loose | F.coalesce(F.col("size") > 1, F.lit(False)) | (F.col("dimension").isNull() & F.col("largest").isNotNull())
+    # no unit anywhere: one group, and nothing to check trust against
+    trusted = F.when(loose, F.col("trusted")).otherwise(F.col("trusted") & F.col("dimension").isNotNull() & (F.col("dims") == 1))
+    m = m.where(kept).select("subject_id", "canonical_name", "value_kind", "pred_fold", trusted.alias("trusted"), F.coalesce("dimension", "largest").alias("dimension"))
+    others = x.where("value_kind <> 'measure'").select("subject_id", "canonical_name", "value_kind", "pred_fold", "trusted", F.lit(None).cast("string").alias("dimension"))
+    bound = m.unionByName(others)
+    bindings = bound.select("subject_id", "pred_fold", X.confluence_key(F.col("canonical_name"), F.col("value_kind"), F.col("dimension")).alias("canonical_key"), "canonical_name", "value_kind", "dimension", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+
+    left, right = chosen.alias("l"), chosen.alias("r")
+    clash = left.join(right, (F.col("l.subject_id") == F.col("r.subject_id")) & (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.pred_fold") < F.col("r.pred_fold")) & (F.col("l.dimension") != F.col("r.dimension")))
+    rejected = clash.select(F.col("l.subject_id").alias("subject_id"), F.col("l.pred_fold").alias("a"), F.col("r.pred_fold").alias("b")).distinct()
+
+    values = own.where("object_type = 'string'").select("subject_id", text_key(F.col("object_string")).alias("v")).distinct()
+    t = texts.where(F.col("value_kind").isin(*TEXT_KINDS)).select("subject_id", "cluster", F.least(text_key(F.col("a")), text_key(F.col("b"))).alias("a"), F.greatest(text_key(F.col("a")), text_key(F.col("b"))).alias("b")).where("a <> '' and b <> '' and a <> b")
+    backed = t.join(values.withColumnRenamed("v", "a"), ["subject_id", "a"], "left_semi").join(values.withColumnRenamed("v", "b"), ["subject_id", "b"], "left_semi")
+    unbacked = t.join(backed.select("subject_id", "a", "b").distinct(), ["subject_id", "a", "b"], "left_anti").select("subject_id", "cluster", F.concat_ws(" = ", "a", "b").alias("what"), F.lit("value_not_found").alias("reason"))
+    return Resolution(own, bindings, backed.select("subject_id", "a", "b").distinct(), rejected, dropped.unionByName(unbacked))
+
+
+def pair_identity(pairs: DataFrame, bindings: DataFrame) -> DataFrame:
+    """``pairs`` ``(subject_id, pred_a, pred_b)`` with ``identity``: A for one predicate, B for two merged into one attribute, else null.
+
+    B pairs also have ``canonical_key, canonical_name, value_kind, trusted``, as their first predicate is bound.
+    """
+    side = lambda s: bindings.select("subject_id", F.col("pred_fold").alias(f"pred_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("canonical_key", "canonical_name", "value_kind", "trusted")])
+    x = pairs.join(side("a"), ["subject_id", "pred_a"], "left").join(side("b"), ["subject_id", "pred_b"], "left")
+    merged = F.coalesce(F.col("canonical_key_a") == F.col("canonical_key_b"), F.lit(False))
+    kind = F.when(F.col("pred_a") == F.col("pred_b"), "A").when(merged, "B")
+    named = {c: F.when(kind == "B", F.col(f"{c}_a")) for c in ("canonical_key", "canonical_name", "value_kind", "trusted")}
+    return x.select(*pairs.columns, kind.alias("identity"), *[v.alias(c) for c, v in named.items()])
+
+
+def texts_equivalent(pairs: DataFrame, texts: DataFrame, a: Column, b: Column) -> DataFrame:
+    """``pairs`` (with ``subject_id``) with ``texts_equivalent``: whether two values are said to mean the same, either way round."""
+    ka, kb = text_key(a), text_key(b)
+    x = pairs.withColumns({"_a": F.least(ka, kb), "_b": F.greatest(ka, kb)})
+    known = texts.select("subject_id", F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("_t")).distinct()
+    x = x.join(known, ["subject_id", "_a", "_b"], "left")
+    return x.withColumn("texts_equivalent", F.coalesce("_t", F.lit(False))).drop("_a", "_b", "_t")
 
 
 def channel_same_attribute(verdict: Column, same_value: Column, equal: Column, eligible: Column, texts_equivalent: Column, free_text: Column) -> Column:
@@ -65,41 +243,110 @@ def channel_cross_attribute(verdict: Column, same_value: Column, rejected_merge:
 
 def free_text_predicates(facts: DataFrame) -> DataFrame:
     """``(subject_id, pred_fold)`` whose string values are long or many."""
-    g = facts.where("object_type = 'string'").groupBy("subject_id", "pred_fold").agg(F.max(F.length(F.trim("object_string"))).alias("longest"), F.count_distinct("object_string").alias("values"))
+    stripped = F.regexp_replace("object_string", r"(?U)^\s+|\s+$", "")
+    g = facts.where("object_type = 'string'").groupBy("subject_id", "pred_fold").agg(F.max(F.length(stripped)).alias("longest"), F.count_distinct("object_string").alias("values"))
     return g.where((F.col("longest") > FREE_TEXT_CHARS) | (F.col("values") > FREE_TEXT_VALUES)).select("subject_id", "pred_fold")
 
 
-def text_key(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
+CARRIED = ["object_type", "object_string", "object_number", "measure_unit", "currency", "tax_basis"]
+_NULLS = {"object_string": "string", "currency": "string", "tax_basis": "string"}
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
+    """Pairs ``old, new`` with ``v``: their comparison as measures, and ``equal``: whether their objects are."""
+    side = lambda s: {"number": F.when(F.col(f"{s}.object_type") == "number", F.col(f"{s}.object_number")), "unit": F.col(f"{s}.measure_unit"), "currency": F.col(f"{s}.currency"), "tax": F.col(f"{s}.tax_basis")}
+    return pairs.withColumns({"v": X.measure_compare(side("old"), side("new")), "equal": F.col("old.canon_object") == F.col("new.canon_object")})
+
+
+def _whole(facts: DataFrame) -> DataFrame:
+    return facts.withColumns({c: F.lit(None).cast(t) for c, t in _NULLS.items() if c not in facts.columns})
+
+
+def _items(x: DataFrame, *more: str) -> DataFrame:
+    fact = lambda s, to: [F.col(f"{s}.fact_id").alias(f"fact_{to}"), F.col(f"{s}.predicate").alias(f"predicate_{to}"), F.col(f"{s}.canon_object").alias(f"value_{to}"), F.col(f"{s}.doc_id").alias(f"doc_{to}")]
+    return x.where("c.kind is not null").select("subject_id", "c.kind", "c.reason", *fact("old", "a"), *fact("new", "b"), *more)
+
+
+def same_predicate_pairs(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
+    """Gated pairs of one predicate with ``c``: what they are once attributes are resolved."""
+    f = _whole(facts).join(resolution.facts.select("fact_id", F.lit(True).alias("own")).distinct(), "fact_id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    x = _measured(detect.gated_pairs(f, docs, ctx, True, [*CARRIED, "own"]))
+    both = F.col("old.own") & F.col("new.own")
+    strings = (F.col("old.object_type") == "string") & (F.col("new.object_type") == "string")
+    x = texts_equivalent(x, resolution.texts, F.col("old.object_string"), F.col("new.object_string"))
+    prose = free_text_predicates(f).withColumn("prose", F.lit(True))
+    x = x.join(prose, ["subject_id", "pred_fold"], "left")
+    c = channel_same_attribute(F.col("v.verdict"), F.coalesce("v.same_value", F.lit(False)), F.col("equal"), both, F.coalesce(strings, F.lit(False)) & F.col("texts_equivalent"), F.coalesce("prose", F.lit(False)))
+    return x.withColumn("c", c)
 
 
-def _sides(pairs: DataFrame) -> tuple[dict, dict]:
+def conflicts(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
+    """Conflict findings once attributes are resolved."""
+    return detect.conflicts(facts, docs, ctx, same_predicate_pairs(facts, docs, ctx, resolution).where("c.kind = 'conflict'"))
+
+
+def same_predicate_channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
+    """Review items of pairs of one predicate."""
+    return _items(same_predicate_pairs(facts, docs, ctx, resolution).where("c.kind <> 'conflict'"))
+
+
+def merged_channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
+    """Review items of pairs under different predicates that were merged into one attribute; attributes with a multi-valued predicate have none."""
+    bound = _whole(resolution.facts).join(resolution.bindings, ["subject_id", "pred_fold"])
+    if ctx.multi_valued:
+        mixed = bound.where(F.col("pred_fold").isin(*sorted(ctx.multi_valued))).select("subject_id", "canonical_key").distinct()
+        bound = bound.join(mixed, ["subject_id", "canonical_key"], "left_anti")
+    # an attribute stands in for the predicate, so only its facts meet
+    f = bound.withColumn("_literal", F.col("pred_fold")).withColumn("pred_fold", F.col("canonical_key"))
+    x = detect.gated_pairs(f, docs, ctx, True, [*CARRIED, "_literal", "canonical_name", "value_kind", "trusted"]).where("old._literal <> new._literal")
+    x = texts_equivalent(_measured(x), resolution.texts, F.col("old.object_string"), F.col("new.object_string"))
+    textual = F.col("old.value_kind").isin(*TEXT_KINDS) & F.col("texts_equivalent")
+    c = channel_merged_attribute(F.col("v.verdict"), F.coalesce("v.same_value", F.lit(False)), F.col("equal"), textual, F.col("old.trusted"))
+    x = x.withColumns({"c": c, "canonical_name": F.col("old.canonical_name"), "value_kind": F.col("old.value_kind")})
+    return _items(x, "canonical_name", "value_kind")
+
+
+def cross_channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
+    """Review items of number facts of one subject under different predicates that were not merged."""
+    f = _whole(resolution.facts).where("object_type = 'number' and object_number is not null").where(X.normalize_dimension(F.col("measure_unit")).isNotNull())
+    bound = resolution.bindings.select("subject_id", "pred_fold", "canonical_key")
+    f = f.join(bound, ["subject_id", "pred_fold"], "left")
+    x = detect.gated_pairs(f, docs, ctx, False, [*CARRIED, "canonical_key"]).where("not coalesce(old.canonical_key = new.canonical_key, false)")
+    rejected = resolution.rejected.select("subject_id", F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("split"))
+    x = x.withColumns({"_a": F.least("old.pred_fold", "new.pred_fold"), "_b": F.greatest("old.pred_fold", "new.pred_fold")}).join(rejected, ["subject_id", "_a", "_b"], "left")
+    x = _measured(x).withColumn("c", channel_cross_attribute(F.col("v.verdict"), F.col("v.same_value"), F.coalesce("split", F.lit(False))))
+    return _items(x)
+
+
+def channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
+    """All review items, each pair of facts once: merged pairs before unmerged ones."""
     null = F.lit(None).cast("string")
-    side = lambda s: {"number": F.col(f"{s}.object_number"), "unit": F.col(f"{s}.measure_unit"), "currency": null, "tax": null}
-    return side("a"), side("b")
-
-
-def number_pairs(facts: DataFrame, same_predicate: bool) -> DataFrame:
-    """Pairs of number facts of one subject from different documents, with ``v``: their comparison as measures."""
-    x = facts.where("object_type = 'number'").select("subject_id", "pred_fold", "fact_id", F.struct("object_number", "measure_unit", "doc_id", "canon_object").alias("f"))
-    a, b = x.alias("x"), x.alias("y")
-    predicate = F.col("x.pred_fold") == F.col("y.pred_fold") if same_predicate else F.col("x.pred_fold") < F.col("y.pred_fold")
-    order = F.col("x.fact_id") < F.col("y.fact_id") if same_predicate else F.lit(True)
-    on = (F.col("x.subject_id") == F.col("y.subject_id")) & predicate & order & ~F.coalesce(F.col("x.f.doc_id") == F.col("y.f.doc_id"), F.lit(False))
-    pairs = a.join(b, on).select(F.col("x.subject_id").alias("subject_id"), F.col("x.fact_id").alias("fact_a"), F.col("y.fact_id").alias("fact_b"), F.col("x.f").alias("a"), F.col("y.f").alias("b"))
-    return pairs.withColumn("v", X.measure_compare(*_sides(pairs)))
-
-
-def same_predicate_channels(facts: DataFrame) -> DataFrame:
-    """Channel rows of same-predicate number pairs; silent pairs are left out."""
-    x = number_pairs(facts, True)
-    equal = F.col("a.canon_object") == F.col("b.canon_object")
-    c = channel_same_attribute(F.col("v.verdict"), F.coalesce(F.col("v.same_value"), F.lit(False)), equal, F.lit(True), F.lit(False), F.lit(False))
-    return x.withColumn("c", c).where("c.kind is not null").select("subject_id", "fact_a", "fact_b", "c.kind", "c.reason")
-
-
-def cross_attribute_channels(facts: DataFrame) -> DataFrame:
-    """Channel rows of number facts of one subject under different predicates."""
-    x = number_pairs(facts, False)
-    c = channel_cross_attribute(F.col("v.verdict"), F.col("v.same_value"), F.lit(True))
-    return x.withColumn("c", c).where("c.kind is not null").select("subject_id", "fact_a", "fact_b", "c.kind", "c.reason")
+    same = same_predicate_channels(facts, docs, ctx, resolution).withColumns({"canonical_name": null, "value_kind": null})
+    cross = cross_channels(facts, docs, ctx, resolution).withColumns({"canonical_name": null, "value_kind": null})
+    return same.unionByName(merged_channels(facts, docs, ctx, resolution)).unionByName(cross)
+
+
+def channel_counts(items: DataFrame) -> DataFrame:
+    return items.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def restated_synonyms(facts: DataFrame, docs: DataFrame, resolution: Resolution) -> DataFrame:
+    """``(fact_id)`` of facts in replaced documents that the newest edition states in other words.
+
+    Only trusted text attributes count, under another predicate of the same attribute, with
+    an equal value or one that is said to mean the same.
+    """
+    head = newest(docs)
+    words = _whole(facts).where(F.col("object_type").isin("string", "boolean"))
+    bound = words.join(resolution.bindings.where(F.col("value_kind").isin(*TEXT_KINDS)), ["subject_id", "pred_fold"])
+    old = bound.join(resolution.facts.select("fact_id").distinct(), "fact_id", "left_semi").where("trusted").join(head.where("doc_id <> head_id"), "doc_id")
+    old = old.select("subject_id", "canonical_key", "head_id", "fact_id", F.struct("pred_fold", "canon_object", "object_string").alias("o"))
+    new = words.join(resolution.bindings, ["subject_id", "pred_fold"]).select("subject_id", "canonical_key", F.col("doc_id").alias("head_id"), F.struct("pred_fold", "canon_object", "object_string").alias("n"))
+    pairs = old.join(new, ["subject_id", "canonical_key", "head_id"]).where("o.pred_fold <> n.pred_fold")
+    pairs = texts_equivalent(pairs, resolution.texts, F.col("o.object_string"), F.col("n.object_string"))
+    return pairs.where("o.canon_object = n.canon_object or texts_equivalent").select("fact_id").distinct()
+
+
+def newest(docs: DataFrame) -> DataFrame:
+    """``(doc_id, head_id)``: where the first declared successors lead to; cycles lead nowhere and are left out."""
+    return versions.ends(versions.successors(docs).select("doc_id", "new_id"), docs.select("doc_id"))

@@ -26,32 +26,46 @@ def live_facts(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame
     return _with_docs(x, docs).where("not superseded")
 
 
-def conflict_pairs(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
-    """Pairs of facts of one subject and predicate with overlapping validity, other documents and other objects.
+def gated_pairs(facts: DataFrame, docs: DataFrame, ctx: RuleContext, same_predicate: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """``(subject_id, pred_fold, old, new)``: pairs of live facts of one subject with overlapping validity from other documents.
 
-    Old comes before new: by age basis, undated last, then by id.
+    They have the same predicate, or different ones. Old comes before new: by age basis,
+    undated last, then by id. ``keep`` names further columns that both sides carry.
     """
     x = live_facts(facts, docs, ctx).select(
-        "subject_id", "pred_fold", F.struct("fact_id", "predicate", "canon_object", "valid_from", "valid_to", X.age_basis(F.col("observed_at"), F.col("valid_from")).alias("basis"), "doc_id", "source_type", "authority").alias("f")
+        "subject_id", "pred_fold", F.struct("fact_id", "predicate", "pred_fold", "canon_object", "valid_from", "valid_to", X.age_basis(F.col("observed_at"), F.col("valid_from")).alias("basis"), "doc_id", "source_type", "authority", *(keep or [])).alias("f")
     )
     a, b = x.alias("a"), x.alias("b")
-    same = (F.col("a.subject_id") == F.col("b.subject_id")) & (F.col("a.pred_fold") == F.col("b.pred_fold")) & (F.col("a.f.fact_id") < F.col("b.f.fact_id"))
-    differ = (F.col("a.f.canon_object") != F.col("b.f.canon_object")) & ~F.coalesce(F.col("a.f.doc_id") == F.col("b.f.doc_id"), F.lit(False))
+    same = F.col("a.subject_id") == F.col("b.subject_id")
+    if same_predicate:
+        same = same & (F.col("a.pred_fold") == F.col("b.pred_fold")) & (F.col("a.f.fact_id") < F.col("b.f.fact_id"))
+    else:
+        same = same & (F.col("a.pred_fold") < F.col("b.pred_fold"))
+    apart = ~F.coalesce(F.col("a.f.doc_id") == F.col("b.f.doc_id"), F.lit(False))
     overlap = X.windows_overlap(F.col("a.f.valid_from"), F.col("a.f.valid_to"), F.col("b.f.valid_from"), F.col("b.f.valid_to"))
     far = F.lit(X.FAR).cast("date")
-    a_first = F.coalesce(F.col("a.f.basis"), far) <= F.coalesce(F.col("b.f.basis"), far)
-    pairs = a.join(b, same & differ & overlap)
+    basis = lambda s: F.struct(F.coalesce(F.col(f"{s}.f.basis"), far), F.col(f"{s}.f.fact_id"))
+    a_first = basis("a") <= basis("b")
+    pairs = a.join(b, same & apart & overlap)
     return pairs.select(
         F.col("a.subject_id").alias("subject_id"), F.col("a.pred_fold").alias("pred_fold"), F.when(a_first, F.col("a.f")).otherwise(F.col("b.f")).alias("old"), F.when(a_first, F.col("b.f")).otherwise(F.col("a.f")).alias("new")
     )
 
 
-def conflicts(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
-    """Conflict findings: severity is the higher of the default and both documents' overrides, never lower."""
+def conflict_pairs(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
+    """:func:`gated_pairs` of one predicate with different objects."""
+    return gated_pairs(facts, docs, ctx).where(F.col("old.canon_object") != F.col("new.canon_object"))
+
+
+def conflicts(facts: DataFrame, docs: DataFrame, ctx: RuleContext, pairs: DataFrame | None = None) -> DataFrame:
+    """Conflict findings: severity is the higher of the default and both documents' overrides, never lower.
+
+    ``pairs`` stand in for :func:`conflict_pairs` where attributes have been resolved.
+    """
     rank = lambda side: F.coalesce(X.severity_rank(X.severity_override(F.col(f"{side}.source_type"), ctx)), F.lit(0))
     severity = X.severity_name(F.greatest(F.lit(3), rank("old"), rank("new")))
     ids = F.array_sort(F.array("old.fact_id", "new.fact_id"))
-    return conflict_pairs(facts, docs, ctx).select(
+    return (conflict_pairs(facts, docs, ctx) if pairs is None else pairs).select(
         F.lit("conflict").alias("drift_type"),
         "subject_id",
         F.col("old.predicate").alias("predicate"),
@@ -59,6 +73,8 @@ def conflicts(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
         F.col("new.fact_id").alias("new_fact_id"),
         F.col("old.canon_object").alias("old_value"),
         F.col("new.canon_object").alias("new_value"),
+        F.col("old.doc_id").alias("old_document_id"),
+        F.col("new.doc_id").alias("new_document_id"),
         severity.alias("severity"),
         X.ai_impact(severity).alias("ai_impact_level"),
         F.round(F.least(F.coalesce("old.authority", F.lit(CONFIDENCE_STRUCTURAL)), F.coalesce("new.authority", F.lit(CONFIDENCE_STRUCTURAL)), F.lit(CONFIDENCE_STRUCTURAL)), 2).alias("confidence"),
@@ -87,22 +103,40 @@ def _trusted(anchor: Column) -> Column:
     return anchor.isNull() | anchor.isin(*TRUSTED_ANCHORS)
 
 
-def stale(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
-    """At most one staleness finding a fact: confirmed before inferred expiry before age."""
+def _age(x: DataFrame, ctx: RuleContext) -> DataFrame:
+    """Facts with documents and their ``days``, whether they are ``over`` the limit, and what silences that: ``quiet``."""
+    pricing = F.coalesce(F.col("source_type") == "pricing", F.lit(False))
+    days = F.datediff(F.lit(ctx.as_of), X.age_basis(F.col("observed_at"), F.col("valid_from")))
+    over = F.coalesce(days > F.when(pricing, ctx.pricing_days).otherwise(ctx.stale_after_days), F.lit(False))
+    annual = pricing & F.coalesce((F.year("valid_from") == ctx.as_of.year) & (F.month("valid_from") == 1) & (F.dayofmonth("valid_from") == 1), F.lit(False))
+    current = F.col("group_id").isNotNull() & ~F.col("superseded")
+    quiet = F.when(F.col("valid_to").isNull(), F.when(current, "current_edition").when(annual, "annual_rate"))
+    return x.withColumns({"days": days, "over": over, "quiet": quiet})
+
+
+def age_suppressed(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
+    """``(fact_id, age_days, suppressed_by)``: facts over the age limit that are silent because they are current by other signs."""
+    return _age(_with_docs(facts, docs), ctx).where("over and quiet is not null").select("fact_id", F.col("days").alias("age_days"), F.col("quiet").alias("suppressed_by"))
+
+
+def stale(facts: DataFrame, docs: DataFrame, ctx: RuleContext, restated: DataFrame | None = None) -> DataFrame:
+    """At most one staleness finding a fact: confirmed before inferred expiry before age.
+
+    Metadata that stays true of its document and a document's statement of its own end give
+    none; nor do facts in ``restated`` ``(fact_id)`` that are only replaced, not expired.
+    """
     as_of = F.lit(ctx.as_of)
     x = facts if not ctx.immutable else facts.where(~F.col("pred_fold").isin(*sorted(ctx.immutable)))
+    x = x.where(~is_statement(ctx))
     x = _with_docs(x, docs).join(versions.successors(docs).select("doc_id", "new_id", "new_parsed_at"), "doc_id", "left")
+    x = _age(x, ctx)
     expired = X.expired_before(F.col("valid_to"), as_of)
     trusted = expired & _trusted(F.col("valid_to_anchor"))
     inferred = expired & F.coalesce(F.col("valid_to_anchor").isin(*INFERRED_ANCHORS), F.lit(False))
-    basis = X.age_basis(F.col("observed_at"), F.col("valid_from"))
-    pricing = F.coalesce(F.col("source_type") == "pricing", F.lit(False))
-    limit = F.when(pricing, ctx.pricing_days).otherwise(ctx.stale_after_days)
-    days = F.datediff(as_of, basis)
-    current_edition = F.col("group_id").isNotNull() & ~F.col("superseded")
-    annual = pricing & F.coalesce((F.year("valid_from") == ctx.as_of.year) & (F.month("valid_from") == 1) & (F.dayofmonth("valid_from") == 1), F.lit(False))
-    aged = F.coalesce(days > limit, F.lit(False)) & ~(F.col("valid_to").isNull() & (current_edition | annual))
-    replaced = F.col("superseded")
+    days, replaced, aged = F.col("days"), F.col("superseded"), F.col("over") & F.col("quiet").isNull()
+    if restated is not None:
+        again = restated.select("fact_id", F.lit(True).alias("again")).distinct()
+        x = x.join(again, "fact_id", "left").where(~(F.coalesce("again", F.lit(False)) & replaced & ~trusted))
     kind = F.when(trusted | replaced, "confirmed_stale").when(inferred | aged, "possibly_stale")
     signals = F.concat_ws("+", F.when(trusted, "valid_to_expired"), F.when(replaced, "superseding_source"))
     reason = F.when(trusted | replaced, signals).when(inferred, "inferred_validity_expired").when(aged, "age_over_threshold")
@@ -112,8 +146,11 @@ def stale(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
         kind.alias("drift_type"),
         "fact_id",
         "subject_id",
+        "predicate",
         "doc_id",
         F.col("new_id").alias("new_document_id"),
+        "valid_to",
+        "valid_to_anchor",
         reason.alias("reason"),
         severity.alias("severity"),
         F.when(kind == "confirmed_stale", CONFIDENCE_STRUCTURAL).otherwise(CONFIDENCE_HEURISTIC).alias("confidence"),
@@ -124,39 +161,49 @@ def stale(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
 
 
 def is_statement(ctx: RuleContext) -> Column:
-    """Whether a fact states the end of its own document: its object is the date on which its validity ends."""
-    named = F.lit(False)
+    """Whether a fact states that its own document has ended: its object is the past date on which its validity ends."""
+    named = F.col("pred_fold").isin(*ctx.statement_predicates)
     for prefix in ctx.statement_prefixes:
         named = named | F.col("pred_fold").startswith(prefix)
     ends = F.coalesce(F.regexp_extract("canon_object", r"^scalar\|(?:date|string)\|(\d{4}-\d{2}-\d{2})$", 1) == F.date_format("valid_to", "yyyy-MM-dd"), F.lit(False))
-    return named & ends & X.expired_before(F.col("valid_to"), F.lit(ctx.as_of)) & _trusted(F.col("valid_to_anchor"))
+    return F.coalesce(named, F.lit(False)) & ends & X.expired_before(F.col("valid_to"), F.lit(ctx.as_of)) & _trusted(F.col("valid_to_anchor"))
 
 
-def expired_documents(statements: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
-    """Documents that declare their own expiry and have no successor: one card each, for the first statement by id.
+def statement_documents(facts: DataFrame, ctx: RuleContext) -> DataFrame:
+    """``(doc_id)`` of the documents that declare their own end, replaced ones included."""
+    return facts.where(is_statement(ctx) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
-    ``statements`` are facts whose object is their own end of validity, as a date.
-    """
-    old = X.expired_before(F.col("valid_to"), F.lit(ctx.as_of)) & _trusted(F.col("valid_to_anchor"))
-    x = _with_docs(statements.where(old), docs).where("doc_id is not null and not superseded")
+
+def expired_documents(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
+    """Documents that declare their own expiry and have no successor: one card each, for the first statement by id."""
+    x = _with_docs(facts.where(is_statement(ctx)), docs).where("doc_id is not null and not superseded")
     severity = F.coalesce(X.severity_override(F.col("source_type"), ctx), F.lit("medium"))
-    first = F.min_by(F.struct("fact_id", "valid_to", "source_type"), "fact_id").alias("s")
+    first = F.min_by(F.struct("fact_id", "subject_id", "predicate", "valid_to", "valid_to_anchor", "source_type"), "fact_id").alias("s")
     return x.groupBy("doc_id").agg(first).select("doc_id", "s.*").select(
-        F.lit("confirmed_stale").alias("drift_type"), "doc_id", "fact_id", severity.alias("severity"), X.at_midday(F.col("valid_to")).alias("effective_at"), X.fingerprint(F.lit("confirmed_stale"), F.lit("document"), F.col("doc_id")).alias("fingerprint")
+        F.lit("confirmed_stale").alias("drift_type"),
+        "doc_id",
+        "fact_id",
+        "subject_id",
+        "predicate",
+        "valid_to",
+        "valid_to_anchor",
+        severity.alias("severity"),
+        X.at_midday(F.col("valid_to")).alias("effective_at"),
+        X.fingerprint(F.lit("confirmed_stale"), F.lit("document"), F.col("doc_id")).alias("fingerprint"),
     )
 
 
-def reused_values(facts: DataFrame, docs: DataFrame, ctx: RuleContext, expired_docs: DataFrame | None = None) -> DataFrame:
+def reused_values(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
     """Current facts that repeat a number which the newest edition of a replaced document no longer gives.
 
-    The nearest dead edition wins, then the smallest fact id. Equality on subject, number
-    and dimension drives the joins; nothing is compared all with all.
+    The nearest dead edition wins, then the smallest fact id. Facts of documents that have
+    declared their own end repeat nothing. Equality on subject, number and dimension drives
+    the joins; nothing is compared all with all.
     """
     x = _with_docs(facts, docs).withColumn("dim", X.normalize_dimension(F.col("measure_unit")))
     x = x.where((F.col("object_type") == "number") & F.col("dim").isNotNull())
     current = x.where(~F.col("superseded") & X.window_is_current(F.col("valid_from"), F.col("valid_to"), F.lit(ctx.as_of)) & F.col("doc_id").isNotNull())
-    if expired_docs is not None:
-        current = current.join(expired_docs.select("doc_id"), "doc_id", "left_anti")
+    current = current.join(statement_documents(facts, ctx), "doc_id", "left_anti")
     dead = x.where("superseded and group_id is not null").join(versions.heads(docs), "group_id")
     steps = versions.distances(docs)
     dead = dead.join(steps, ["head_id", "doc_id"]).select("subject_id", "object_number", "dim", F.col("doc_id").alias("old_doc"), F.col("fact_id").alias("old_fact"), "head_id", "distance")
@@ -165,13 +212,15 @@ def reused_values(facts: DataFrame, docs: DataFrame, ctx: RuleContext, expired_d
     dead = dead.join(restated, ["head_id", "subject_id", "dim"])
     same = head.select("head_id", "subject_id", "dim", F.col("head_number").alias("object_number"))
     dead = dead.join(same, ["head_id", "subject_id", "dim", "object_number"], "left_anti")
-    hit = current.select("fact_id", "subject_id", "object_number", "dim", "doc_id", "source_type", "valid_from").join(dead, ["subject_id", "object_number", "dim"]).where("doc_id <> old_doc")
+    hit = current.select("fact_id", "subject_id", "predicate", "measure_unit", "object_number", "dim", "doc_id", "source_type", "valid_from").join(dead, ["subject_id", "object_number", "dim"]).where("doc_id <> old_doc")
     best = hit.groupBy("fact_id").agg(F.min_by(F.struct("*"), F.struct("distance", "old_fact")).alias("b")).select("b.*")
     severity = F.coalesce(X.severity_override(F.col("source_type"), ctx), F.lit("high"))
     return best.select(
         F.lit("reused_stale_value").alias("drift_type"),
         "fact_id",
         "subject_id",
+        "predicate",
+        "measure_unit",
         "doc_id",
         F.col("old_doc").alias("old_document_id"),
         F.col("head_id").alias("new_document_id"),
@@ -236,6 +285,37 @@ def shared_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return x.where(X.windows_overlap(F.col("valid_from_a"), F.col("valid_to_a"), F.col("valid_from_b"), F.col("valid_to_b")))
 
 
+def recalled(pairs: DataFrame, entities: DataFrame, least_cosine: float = 0.85) -> DataFrame:
+    """``(a, b, recall)`` of the pairs whose names or vectors are alike; what a comparison reads is computed once an entity."""
+    n = entities.select("entity_id", X.name_parts(F.col("name")).alias("p"), F.col("embedding").alias("e"), X.vector_norm(F.col("embedding")).alias("l"))
+    side = lambda s: n.select(F.col("entity_id").alias(s), F.col("p").alias(f"p{s}"), F.col("e").alias(f"e{s}"), F.col("l").alias(f"l{s}"))
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    near = F.when(X.cosine(F.col("ea"), F.col("eb"), F.col("la"), F.col("lb")) >= least_cosine, "embedding_similarity")
+    return x.select("a", "b", F.coalesce(X.parts_recall(F.col("pa"), F.col("pb")), near).alias("recall")).where("recall is not null")
+
+
+def name_pairs(entities: DataFrame) -> DataFrame:
+    """``(a, b, recall)``, a before b: entities ``(entity_id, name)`` whose names alone recall each other.
+
+    Tokens are ordered by how many names have them. Names that overlap by the required
+    share, and names within others, meet on one of the first tokens of either, so generic
+    tokens hardly ever bring names together; equal names meet as wholes.
+    """
+    n = entities.select("entity_id", X.name_parts(F.col("name")).alias("p"))
+    each = n.select("entity_id", F.explode("p.tokens").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("c"))
+    ranked = each.join(often, "t").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts"))  # the tokens of one name
+    size = F.size("ts")
+    first = F.slice("ts", F.lit(1), F.greatest(size - F.ceil(size * X.NAME_OVERLAP).cast("int") + 1, F.lit(1)))
+    probe = ranked.select(F.col("entity_id").alias("x"), F.explode(first).alias("e")).select("x", F.col("e.t").alias("t"))
+    met = probe.join(each.withColumnRenamed("entity_id", "y"), "t").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    whole = n.select(F.col("entity_id").alias("x"), F.col("p.norm").alias("norm"))
+    equal = whole.join(whole.withColumnRenamed("x", "y"), "norm").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = met.unionAll(equal).distinct()
+    x = pairs.join(n.select(F.col("entity_id").alias("a"), F.col("p").alias("pa")), "a").join(n.select(F.col("entity_id").alias("b"), F.col("p").alias("pb")), "b")
+    return x.select("a", "b", X.parts_recall(F.col("pa"), F.col("pb")).alias("recall")).where("recall is not null")
+
+
 def duplicates(entities: DataFrame, facts: DataFrame, docs: DataFrame | None = None, least_cosine: float = 0.85) -> DataFrame:
     """Pairs of entities under different ids that are likely one: shared facts first, then recall by name or vector.
 
@@ -244,13 +324,9 @@ def duplicates(entities: DataFrame, facts: DataFrame, docs: DataFrame | None = N
     whose shared facts come from two documents or more, all of one version chain of ``docs``,
     is dropped: its entities are editions of one record.
     """
-    n = entities.select("entity_id", "name", "embedding")
     f = _entity_facts(facts)
     pairs = shared_fact_pairs(f).select("a", "b").unionByName(_restated_pairs(f)).distinct()
-    x = pairs.join(n.select(F.col("entity_id").alias("a"), F.col("name").alias("na"), F.col("embedding").alias("ea")), "a").join(n.select(F.col("entity_id").alias("b"), F.col("name").alias("nb"), F.col("embedding").alias("eb")), "b")
-    by_name = X.name_recall(F.col("na"), F.col("nb"))
-    recall = F.coalesce(by_name, F.when(X.cosine(F.col("ea"), F.col("eb")) >= least_cosine, "embedding_similarity"))
-    x = x.withColumn("recall", recall).where("recall is not null").select("a", "b", "recall")
+    x = recalled(pairs, entities, least_cosine)
     # read twice below
     x = stored(x, "recalled-pairs")
     s = shared_facts(x, f).join(holders(f), ["pred_fold", "canon_object"])
@@ -267,5 +343,10 @@ def duplicates(entities: DataFrame, facts: DataFrame, docs: DataFrame | None = N
 def duplicate_facts(entities: DataFrame, facts: DataFrame, docs: DataFrame | None = None, least_cosine: float = 0.85) -> DataFrame:
     """A finding for each pair of shared facts of :func:`duplicates`; facts need a ``fact_id``."""
     x = shared_facts(duplicates(entities, facts, docs, least_cosine), _entity_facts(facts))
+    first = F.col("fact_id_a") <= F.col("fact_id_b")
     old, new = F.least("fact_id_a", "fact_id_b"), F.greatest("fact_id_a", "fact_id_b")
-    return x.select("drift_type", "a", "b", "pred_fold", old.alias("old_fact_id"), new.alias("new_fact_id"), "severity", "confidence", F.lit(None).cast("timestamp").alias("effective_at"), X.fingerprint(F.lit("duplicate"), F.col("pred_fold"), old, new).alias("fingerprint"))
+    return x.select(
+        "drift_type", "a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("subject_id"), "pred_fold", "canon_object", "recall", "shared",
+        old.alias("old_fact_id"), new.alias("new_fact_id"), "severity", "confidence", F.lit(None).cast("timestamp").alias("effective_at"),
+        X.fingerprint(F.lit("duplicate"), F.col("pred_fold"), old, new).alias("fingerprint"),
+    )

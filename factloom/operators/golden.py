@@ -1,165 +1,214 @@
 """Golden scenarios: small worlds with expected findings, all run through the detectors in one batch.
 
-A case is a dictionary: ``id, category, as_of, rules, documents, entities, facts,
-expected``. Ids inside a case are its own; they become numbers that no other case has.
-Cases with equal rules share one run of each detector.
+Cases come from YAML files with a list ``cases``, or are given as such dictionaries. Ids
+inside a case are its own; they become numbers that no other case has. Cases with equal
+rules share one run of the detectors.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.config import RULES, ConfigError, context, list_of, mapping, one_of, read_yaml, severities, share
 from factloom.functions import exprs as X
-from factloom.operators import detect, evaluate
-from factloom.rules import RuleContext
+from factloom.operators import evaluate
+from factloom.operators.findings import detect_all, with_context
+from factloom.rules import DRIFT_TYPES, INFERRED_ANCHORS, SEVERITY_RANK, TRUSTED_ANCHORS, RuleContext
 from factloom.session import stored
 
 CATEGORIES = ("positive", "negative", "ambiguous_negative")
+#: The day that cases without one are judged on; a fixed value.
+AS_OF = date(2026, 6, 1)
 DOCS = "doc_id long, group_id long, prev_id long, filename string, source_type string, authority double, parsed_at date"
 RAW = "fact_id string, subject_id long, predicate string, object_type string, object_string string, object_number double, object_date date, object_bool boolean, object_entity_id string, measure_unit string, doc_id long, valid_from date, valid_to date, valid_to_anchor string, observed_at date"
 ENTITIES = "entity_id long, name string, embedding array<double>"
-FINDINGS = ["drift_type", "severity", "fingerprint", "subject_id", "predicate", "old_doc", "new_doc", "target_doc"]
+FOUND = "case_id string, finding_id string, drift_type string, subject_id string, predicate string, severity string, old_source string, new_source string, target string"
+
+_VALUE = (str, int, float, bool, date)
+
+
+def _document(v, where):
+    return mapping(v, {"id": str, "filename": str, "source_type": str, "authority": share, "parsed_at": date, "previous_version_of": str, "group": str}, where, ("id", "filename"))
+
+
+def _entity(v, where):
+    return mapping(v, {"id": str, "name": str, "type": str, "embedding": list_of(lambda x, _: float(x))}, where, ("id", "name"))
+
+
+def _fact(v, where):
+    f = mapping(
+        v,
+        {
+            "id": str, "subject": str, "predicate": str, "value": _VALUE, "value_type": one_of(("number", "string", "boolean", "date", "entity")), "object_entity": str, "source": str,
+            "valid_from": date, "valid_to": date, "observed_at": date, "measure_unit": str, "valid_to_anchor": one_of((*TRUSTED_ANCHORS, *INFERRED_ANCHORS)),
+        },
+        where,
+        ("id", "subject", "predicate"),
+    )
+    kind = f["value_type"] or "string"
+    if (kind == "entity") != (f["object_entity"] is not None) or (kind == "entity") == (f["value"] is not None):
+        raise ConfigError(f"{where}: a fact of type {kind} needs {'an object_entity' if kind == 'entity' else 'a value'} and nothing else")
+    return {**f, "value_type": kind}
+
+
+def _expected(v, where):
+    return mapping(v, {"type": one_of(DRIFT_TYPES), "subject": str, "predicate": str, "severity": one_of(SEVERITY_RANK), "old_source": str, "new_source": str, "target": one_of(("fact", "document"))}, where, ("type",))
+
+
+def check_case(raw: dict) -> dict:
+    """A case with defaults filled in; unknown keys, dangling references and expectations that the category forbids are refused."""
+    name = f"case {raw.get('id') if isinstance(raw, dict) else raw!r}"
+    case = mapping(
+        raw,
+        {
+            "id": str, "title": str, "category": one_of(CATEGORIES), "as_of": date, "notes": str,
+            "rules": lambda v, w: mapping(v, {**RULES, "severity": severities}, w),
+            "documents": list_of(_document), "entities": list_of(_entity), "facts": list_of(_fact), "expected_drifts": list_of(_expected),
+        },
+        name,
+        ("id", "title", "category"),
+    )
+    case = {**case, **{k: case[k] or [] for k in ("documents", "entities", "facts", "expected_drifts")}, "as_of": case["as_of"] or AS_OF}
+    docs, things = {d["id"] for d in case["documents"]}, {e["id"] for e in case["entities"]}
+
+    def known(what: str | None, among: set, told: str) -> None:
+        if what is not None and what not in among:
+            raise ConfigError(f"{name}: {told} refers to {what!r}, which is not there")
+
+    for d in case["documents"]:
+        known(d["previous_version_of"], docs - {d["id"]}, f"document {d['id']}")
+    for f in case["facts"]:
+        known(f["subject"], things, f"fact {f['id']}")
+        known(f["object_entity"], things, f"fact {f['id']}")
+        known(f["source"], docs, f"fact {f['id']}")
+    for e in case["expected_drifts"]:
+        known(e["subject"], things, "an expectation")
+    if (case["category"] == "positive") != bool(case["expected_drifts"]):
+        raise ConfigError(f"{name}: a positive case expects findings, others none")
+    return case
+
+
+def check_cases(cases: list[dict]) -> list[dict]:
+    out = [check_case(c) for c in cases]
+    seen: set[str] = set()
+    for case in out:
+        if case["id"] in seen:
+            raise ConfigError(f"case {case['id']} is there twice")
+        seen.add(case["id"])
+    return out
 
 
-def validate(cases: list[dict]) -> None:
-    """Raises on unknown references, repeated ids, and expectations that the category forbids."""
-    seen: set[str] = set()
-    for case in cases:
-        name = case["id"]
-        if name in seen:
-            raise ValueError(f"case {name} is there twice")
-        seen.add(name)
-        if case["category"] not in CATEGORIES:
-            raise ValueError(f"case {name}: unknown category {case['category']}")
-        if (case["category"] == "positive") != bool(case.get("expected")):
-            raise ValueError(f"case {name}: a positive case expects findings, others none")
-        docs, things = {d["id"] for d in case.get("documents", [])}, {e["id"] for e in case.get("entities", [])}
-        for d in case.get("documents", []):
-            if d.get("previous") is not None and d["previous"] not in docs:
-                raise ValueError(f"case {name}: unknown previous document {d['previous']}")
-        for f in case.get("facts", []):
-            if f["subject"] not in things or (f.get("source") is not None and f["source"] not in docs):
-                raise ValueError(f"case {name}: fact {f['id']} refers to what is not there")
-            if ("value" in f) == ("object_entity" in f):
-                raise ValueError(f"case {name}: fact {f['id']} needs one object")
+def load_cases(folder: str | Path) -> list[dict]:
+    """The cases of all YAML files of a folder, in the order of file names."""
+    folder = Path(folder)
+    if not folder.is_dir():
+        raise ConfigError(f"{folder} is no folder")
+    files = sorted(p for p in folder.iterdir() if p.is_file() and p.suffix in (".yaml", ".yml"))
+    if not files:
+        raise ConfigError(f"{folder} holds no YAML file")
+    cases = []
+    for path in files:
+        suite = mapping(read_yaml(path), {"cases": list_of(lambda c, _: check_case(c), 1)}, str(path), ("cases",))
+        cases += suite["cases"]
+    return check_cases(cases)
 
 
 def _context(case: dict) -> RuleContext:
-    rules = case.get("rules", {})
-    return RuleContext(
-        as_of=case.get("as_of", date(2026, 6, 1)),
-        stale_after_days=rules.get("stale_after_days", 365),
-        pricing_stale_days=rules.get("pricing_stale_days"),
-        severity=rules.get("severity", {}),
-        multi_valued=frozenset(rules.get("multi_valued", ())),
-        immutable=frozenset(rules.get("immutable", ())),
-    )
+    rules = case["rules"] or {}
+    return context(rules, rules.get("severity"), case["as_of"])
 
 
 def _key(ctx: RuleContext) -> tuple:
     return (ctx.as_of, ctx.stale_after_days, ctx.pricing_stale_days, tuple(sorted(ctx.severity.items())), ctx.multi_valued, ctx.immutable)
 
 
-def _fact(f: dict, fact_id: str, subject: int, doc: int | None, entity: str | None) -> tuple:
-    value = f.get("value")
-    kind = f.get("type") or {bool: "boolean", int: "number", float: "number", date: "date"}.get(type(value), "string")
-    pick = lambda k: value if entity is None and kind == k else None
-    number = pick("number")
-    return (fact_id, subject, f["predicate"], None if entity else kind, pick("string"), None if number is None else float(number), pick("date"), pick("boolean"), entity, f.get("unit"), doc, f.get("valid_from"), f.get("valid_to"), f.get("anchor"), f.get("observed_at"))
+def _row(f: dict, fact_id: str, subject: int, doc: int | None, entity: str | None) -> tuple:
+    kind, value = f["value_type"], f["value"]
+    if kind == "date" and isinstance(value, str):
+        value = date.fromisoformat(value.strip())
+    pick = lambda k, to: to(value) if kind == k else None
+    typed = (None if entity else kind, pick("string", str), pick("number", float), pick("date", lambda v: v), pick("boolean", bool), entity)
+    return (fact_id, subject, f["predicate"], *typed, f["measure_unit"], doc, f["valid_from"], f["valid_to"], f["valid_to_anchor"], f["observed_at"])
 
 
 def findings(spark: SparkSession, cases: list[dict]) -> DataFrame:
-    """``(case_id, finding_id, drift_type, subject_id, predicate, severity, old_source, new_source, target)`` of all cases."""
-    validate(cases)
+    """``FOUND``: the findings of all cases, with the ids that their case uses and the names of files."""
     groups: dict[tuple, list[dict]] = defaultdict(list)
-    for case in cases:
+    for case in check_cases(cases):
         groups[_key(_context(case))].append(case)
     number, names, out = 0, [], None
     for members in groups.values():
         docs, raw, things = [], [], []
         for case in members:
-            ids: dict[tuple[str, str], int] = {}
-            for kind, rows in (("d", case.get("documents", [])), ("e", case.get("entities", [])), ("g", [{"id": d["group"]} for d in case.get("documents", []) if d.get("group")])):
-                for row in rows:
-                    if (kind, row["id"]) not in ids:
-                        number += 1
-                        ids[kind, row["id"]] = number
-                        names.append((case["id"], number, row["id"]))
-            for d in case.get("documents", []):
-                docs.append((ids["d", d["id"]], ids.get(("g", d.get("group"))), ids.get(("d", d.get("previous"))), d.get("filename", d["id"]), d.get("type", "general"), d.get("authority", 0.9), d.get("parsed_at", date(2026, 1, 1))))
-            for e in case.get("entities", []):
-                things.append((ids["e", e["id"]], e.get("name", e["id"]), e.get("embedding")))
-            for f in case.get("facts", []):
-                entity = str(ids["e", f["object_entity"]]) if "object_entity" in f else None
-                raw.append(_fact(f, f"{case['id']}|{f['id']}", ids["e", f["subject"]], ids.get(("d", f.get("source"))), entity))
+            ids: dict[tuple[str, str | None], int | None] = {("d", None): None, ("g", None): None}
+            for kind, local in [*(("d", d["id"]) for d in case["documents"]), *(("e", e["id"]) for e in case["entities"]), *(("g", d["group"]) for d in case["documents"])]:
+                if (kind, local) not in ids:
+                    number += 1
+                    ids[kind, local] = number
+                    names.append((case["id"], str(number), local))
+            for d in case["documents"]:
+                docs.append((ids["d", d["id"]], ids["g", d["group"]], ids["d", d["previous_version_of"]], d["filename"], d["source_type"] or "general", 0.9 if d["authority"] is None else d["authority"], d["parsed_at"]))
+            for e in case["entities"]:
+                things.append((ids["e", e["id"]], e["name"], e["embedding"]))
+            for f in case["facts"]:
+                entity = str(ids["e", f["object_entity"]]) if f["object_entity"] else None
+                raw.append(_row(f, f"{case['id']}|{f['id']}", ids["e", f["subject"]], ids["d", f["source"]], entity))
         # stored, so that the plan does not grow with the number of rule sets
         found = stored(_detect(spark, docs, raw, things, _context(members[0])), "golden")
         out = found if out is None else out.unionByName(found)
-    named = spark.createDataFrame(names, "case_id string, n long, local string")
-    label = lambda col, to: named.select(F.col("n").alias(col), F.col("local").alias(to))
-    case = named.select("case_id", F.col("n").alias("_any"))
-    x = out.withColumn("_any", F.coalesce("target_doc", "subject_id", "old_doc")).join(case, "_any").drop("_any")
-    for col, to in (("old_doc", "old_source"), ("new_doc", "new_source"), ("target_doc", "target")):
-        x = x.join(label(col, to), col, "left")
-    x = x.join(label("subject_id", "subject"), "subject_id", "left")
+    if out is None:
+        return spark.createDataFrame([], FOUND)
+    named = spark.createDataFrame(names, "case_id string, n string, local string")
+    x = out.withColumn("n", F.coalesce("subject_id", "old_document_id")).join(named.select("case_id", "n"), "n").drop("n")
+    x = x.join(named.select(F.col("n").alias("subject_id"), F.col("local").alias("subject")), "subject_id", "left")
     return x.select("case_id", F.col("fingerprint").alias("finding_id"), "drift_type", F.col("subject").alias("subject_id"), "predicate", "severity", "old_source", "new_source", "target")
 
 
 def _detect(spark: SparkSession, docs: list, raw: list, things: list, ctx: RuleContext) -> DataFrame:
     d = spark.createDataFrame(docs, DOCS)
     typed = [F.col(c) for c in ("object_type", "object_string", "object_number", "object_date", "object_bool", "object_entity_id")]
-    f = spark.createDataFrame(raw, RAW).withColumns({"pred_fold": X.fold(F.col("predicate")), "canon_object": X.canonical_object(*typed)}).withColumn("object_type", F.coalesce("object_type", F.lit("entity")))
+    f = spark.createDataFrame(raw, RAW).withColumns({"pred_fold": X.fold(F.col("predicate")), "canon_object": X.canonical_object(*typed)})
     e = spark.createDataFrame(things, ENTITIES)
-    null = F.lit(None)
-    own = f.select("fact_id", F.col("predicate").alias("_p"), F.col("doc_id").alias("_doc"))
-    statements = f.where(detect.is_statement(ctx))
-    cards = detect.expired_documents(statements, d, ctx)
-    stale = detect.stale(f.where(~detect.is_statement(ctx)), d, ctx).join(own, "fact_id")
-    reused = detect.reused_values(f, d, ctx, cards).join(own, "fact_id")
-    conflict = detect.conflicts(f, d, ctx).join(own.select(F.col("fact_id").alias("old_fact_id"), F.col("_doc").alias("od")), "old_fact_id").join(own.select(F.col("fact_id").alias("new_fact_id"), F.col("_doc").alias("nd")), "new_fact_id")
-    shared = f.alias("x").join(f.alias("y"), (F.col("x.pred_fold") == F.col("y.pred_fold")) & (F.col("x.canon_object") == F.col("y.canon_object")) & (F.col("x.subject_id") < F.col("y.subject_id")) & X.windows_overlap(F.col("x.valid_from"), F.col("x.valid_to"), F.col("y.valid_from"), F.col("y.valid_to")))
-    shared = shared.select(F.col("x.subject_id").alias("a"), F.col("y.subject_id").alias("b"), F.col("x.predicate").alias("predicate"), F.col("x.fact_id").alias("fa"), F.col("y.fact_id").alias("fb"))
     # the same fact in two cases is not shared
-    scoped = f.withColumn("pred_fold", F.concat_ws("|", F.substring_index("fact_id", "|", 1), "pred_fold"))
-    duplicate = detect.duplicates(e, scoped, d).join(shared, ["a", "b"])
-    frames = [
-        conflict.select("drift_type", "severity", "fingerprint", "subject_id", "predicate", F.col("od").alias("old_doc"), F.col("nd").alias("new_doc"), null.cast("long").alias("target_doc")),
-        stale.select("drift_type", "severity", "fingerprint", "subject_id", F.col("_p").alias("predicate"), F.col("_doc").alias("old_doc"), F.col("new_document_id").alias("new_doc"), null.cast("long").alias("target_doc")),
-        reused.select("drift_type", "severity", "fingerprint", "subject_id", F.col("_p").alias("predicate"), F.col("old_document_id").alias("old_doc"), F.col("new_document_id").alias("new_doc"), null.cast("long").alias("target_doc")),
-        cards.select("drift_type", "severity", "fingerprint", null.cast("long").alias("subject_id"), null.cast("string").alias("predicate"), F.col("doc_id").alias("old_doc"), null.cast("long").alias("new_doc"), F.col("doc_id").alias("target_doc")),
-        detect.superseded(d, ctx).select("drift_type", "severity", "fingerprint", null.cast("long").alias("subject_id"), null.cast("string").alias("predicate"), F.col("old_document_id").alias("old_doc"), F.col("new_document_id").alias("new_doc"), F.col("old_document_id").alias("target_doc")),
-        duplicate.select("drift_type", "severity", X.fingerprint(F.lit("duplicate"), F.lower("predicate"), F.least("fa", "fb"), F.greatest("fa", "fb")).alias("fingerprint"), F.col("a").alias("subject_id"), "predicate", null.cast("long").alias("old_doc"), null.cast("long").alias("new_doc"), null.cast("long").alias("target_doc")),
-    ]
-    out = frames[0].select(*FINDINGS)
-    for frame in frames[1:]:
-        out = out.unionByName(frame.select(*FINDINGS))
-    return out
+    scope = F.concat(F.substring_index("fact_id", "|", 1), F.lit("|"))
+    found = detect_all(f, d, e, ctx, f.withColumn("pred_fold", F.concat(scope, "pred_fold")))
+    found = found.withColumn("predicate", F.when(F.col("drift_type") == "duplicate", F.substring_index("predicate", "|", -1)).otherwise(F.col("predicate")))
+    x = with_context(found, d, e)
+    return x.select("drift_type", "severity", "fingerprint", "subject_id", "predicate", "old_document_id", F.coalesce("old_source", "source").alias("old_source"), "new_source", F.col("target_type").alias("target"))
 
 
 def expectations(spark: SparkSession, cases: list[dict]) -> DataFrame:
     rows = []
-    for case in cases:
-        for k, e in enumerate(case.get("expected", [])):
-            rows.append((case["id"], f"{k:04d}", e["type"], e.get("subject"), e.get("predicate"), e.get("severity"), e.get("old_source"), e.get("new_source"), e.get("target")))
+    for case in check_cases(cases):
+        for k, e in enumerate(case["expected_drifts"]):
+            rows.append((case["id"], f"{k:04d}", e["type"], e["subject"], e["predicate"], e["severity"], e["old_source"], e["new_source"], e["target"]))
     return spark.createDataFrame(rows, "case_id string, expected_id string, drift_type string, " + ", ".join(f"{n} string" for n in evaluate.LOCATORS))
 
 
-def run_suite(spark: SparkSession, cases: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """``(case_id, category, tp, fp, fn, passed)`` for each case, and one row of metrics with the gate."""
-    found = findings(spark, cases)
-    matches = stored(evaluate.match_findings(expectations(spark, cases), found), "matches")
-    hits = matches.groupBy("case_id").agg(F.count("finding_id").alias("tp"), F.count_if(F.col("finding_id").isNull()).alias("fn"))
-    got = found.groupBy("case_id").agg(F.count("*").alias("n"))
-    names = spark.createDataFrame([(c["id"], c["category"]) for c in cases], "case_id string, category string")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    per = names.join(hits, "case_id", "left").join(got, "case_id", "left")
-    per = per.select("case_id", "category", zero("tp").alias("tp"), (zero("n") - zero("tp")).alias("fp"), zero("fn").alias("fn")).withColumn("passed", (F.col("fp") == 0) & (F.col("fn") == 0))
-    ratio = lambda a, b: F.when(b > 0, a / F.nullif(b, F.lit(0))).otherwise(F.lit(0.0))
-    total = per.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.count_if(F.col("category") != "positive").alias("benign"), F.count_if((F.col("category") != "positive") & (F.col("fp") > 0)).alias("flagged"))
-    total = total.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "false_positive_rate": ratio(F.col("flagged"), F.col("benign"))})
-    total = total.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    return per, evaluate.gate(total)
+@dataclass
+class Suite:
+    """What a run of cases gives: a row for each case, the totals with the gate, and both by type and category."""
+
+    cases: DataFrame
+    total: DataFrame
+    by_type: DataFrame
+    by_category: DataFrame
+    missed: DataFrame
+    unexpected: DataFrame
+
+
+def run_suite(spark: SparkSession, cases: list[dict]) -> Suite:
+    """All cases through the detectors, matched with what they expect."""
+    found = stored(findings(spark, cases), "golden-findings")
+    wanted = stored(expectations(spark, cases), "golden-expectations")
+    matches = stored(evaluate.match_findings(wanted, found), "matches")
+    names = spark.createDataFrame([(c["id"], c["category"]) for c in check_cases(cases)], "case_id string, category string")
+    missed = wanted.join(matches.where("finding_id is null").select("case_id", "expected_id"), ["case_id", "expected_id"], "left_semi")
+    unexpected = found.join(matches.where("finding_id is not null").select("case_id", "finding_id"), ["case_id", "finding_id"], "left_anti")
+    return Suite(*evaluate.suite_metrics(names, wanted, missed, found, unexpected), missed, unexpected)

@@ -55,3 +55,22 @@ def distances(docs: DataFrame) -> DataFrame:
             return reach.where("distance > 0")
         after = jumps.select(F.col("doc_id").alias("to"), F.col("to").alias("end"))
         jumps, length = stored(jumps.join(after, "to").select("doc_id", F.col("end").alias("to")).distinct(), "jumps"), 2 * length
+
+
+def ends(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(doc_id, head_id)``: the end of the way that ``steps`` ``(doc_id, new_id)``, one for each document, take from each of ``nodes``.
+
+    Ways double in length each round, so rounds grow with the logarithm of the longest. What
+    still moves after as many rounds as there are documents to the power of two is a cycle,
+    and is left out.
+    """
+    way = stored(nodes.join(steps, "doc_id", "left").select("doc_id", F.coalesce("new_id", "doc_id").alias("head_id")), "ways")
+    rounds = max(way.count(), 2).bit_length()
+    for _ in range(rounds):
+        after = way.select(F.col("doc_id").alias("head_id"), F.col("head_id").alias("end"))
+        moved = stored(way.join(after, "head_id").select("doc_id", "head_id", F.col("end").alias("end")), "ways")
+        still = moved.where("head_id <> end").isEmpty()
+        way = moved.select("doc_id", F.col("end").alias("head_id"))
+        if still:
+            break
+    return way.join(steps.select(F.col("doc_id").alias("head_id")), "head_id", "left_anti").select("doc_id", "head_id")

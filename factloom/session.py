@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,12 +32,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests,
-    local runs), a temporary folder is chosen once and kept in the session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local
+    session (tests) takes a temporary folder, chosen once; a cluster is refused.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.factloom.scratch", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="factloom-")
     spark.conf.set("spark.factloom.scratch", own)
     atexit.register(_remove, spark, own)

@@ -20,7 +20,7 @@ def activity(stream: DataFrame, time_col: str = "ts", window: str = "1 hour", la
 
 
 def append_stream(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Append the new findings of each micro-batch; a batch that is run again replaces itself."""
+    """Append the new findings of each micro-batch; a batch that is run again stores the same rows again in place of its own."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         append_findings(batch, root, f"stream-{batch_id:012d}")

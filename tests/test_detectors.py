@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.operators import detect, report, versions
-from factloom.rules import RuleContext
+from factloom import cli, projection
+from factloom.operators import detect, remember, report, versions
+from factloom.rules import DECISIONS, DRIFT_TYPES, RuleContext
 from factloom.sources import sinks
+from factloom.streaming import incremental
 
 DOC = "doc_id long, group_id long, prev_id long, filename string, source_type string, authority double, parsed_at date"
 FACT = "fact_id string, subject_id long, predicate string, pred_fold string, object_type string, object_number double, canon_object string, measure_unit string, doc_id long, valid_from date, valid_to date, valid_to_anchor string, observed_at date"
-CTX = RuleContext(as_of=date(2026, 6, 1), severity={"pricing_change": "critical", "policy_change": "warning"})
+CTX = RuleContext(as_of=date(2026, 6, 1), pricing_stale_days=90, severity={"pricing_change": "critical", "policy_change": "warning"})
 
 
 @pytest.fixture
@@ -88,16 +92,16 @@ def test_versions_and_reuse(make):
     chains = {r.doc_id: r.chain for r in versions.components(d).collect()}
     assert chains == {1: 1, 2: 1, 3: 1, 9: 9, 20: 20, 21: 20, 30: 30}
     f = facts(
-        {"id": "old1", "doc": 1, "number": 22800, "unit": "CNY"},
-        {"id": "old2", "doc": 2, "number": 22800, "unit": "cny "},
-        {"id": "head", "doc": 3, "number": 23800, "unit": "CNY"},
-        {"id": "reuse", "doc": 9, "number": 22800, "unit": "CNY"},
-        {"id": "other unit", "doc": 9, "number": 22800, "unit": "USD"},
-        {"id": "other subject", "doc": 9, "number": 22800, "unit": "CNY", "subject": 2},
-        {"id": "ended", "doc": 9, "number": 22800, "unit": "CNY", "end": date(2026, 1, 1)},
+        {"id": "old1", "doc": 1, "number": 70, "unit": "CNY"},
+        {"id": "old2", "doc": 2, "number": 70, "unit": "cny "},
+        {"id": "head", "doc": 3, "number": 80, "unit": "CNY"},
+        {"id": "reuse", "doc": 9, "number": 70, "unit": "CNY"},
+        {"id": "other unit", "doc": 9, "number": 70, "unit": "USD"},
+        {"id": "other subject", "doc": 9, "number": 70, "unit": "CNY", "subject": 2},
+        {"id": "ended", "doc": 9, "number": 70, "unit": "CNY", "end": date(2026, 1, 1)},
     )
     (hit,) = detect.reused_values(f, d, CTX).collect()
-    assert (hit.fact_id, hit.old_document_id, hit.distance, hit.new_fact_id, hit.head_value, hit.severity) == ("reuse", 2, 1, "head", 23800, "critical")
+    assert (hit.fact_id, hit.old_document_id, hit.distance, hit.new_fact_id, hit.head_value, hit.severity) == ("reuse", 2, 1, "head", 80, "critical")
 
 
 def test_long_chains_are_walked_to_their_end(make):
@@ -156,19 +160,18 @@ def test_duplicates_need_overlap_and_more_than_one_chain(make, spark):
 
 
 def test_scan_runs_all_detectors(spark):
-    from factloom import cli
-
-    found = cli.all_findings(spark, "/root/testdata/sf0.001", RuleContext())
-    assert found.columns == cli.COLUMNS and found.where("drift_type = 'duplicate'").count() == detect.duplicates(*_projected(spark)).agg({"shared": "sum"}).first()[0]
+    found = cli.all_findings(spark, "/root/testdata/sf0.001", projection.RULES)
+    assert {r.drift_type for r in found.select("drift_type").distinct().collect()} == set(DRIFT_TYPES)
+    assert found.where("drift_type = 'duplicate'").count() == detect.duplicates(*_projected(spark)).agg({"shared": "sum"}).first()[0]
+    row = found.where("drift_type = 'conflict'").first()
+    assert {"reason", "subject", "predicate", "old_source", "new_source", "old_value", "new_value"} == set(json.loads(row.detail)) and row.reason == "overlapping_validity_different_objects"
 
 
 def _projected(spark):
-    from factloom import projection
-
     return projection.entities(spark, "/root/testdata/sf0.001"), projection.entity_facts(spark, "/root/testdata/sf0.001")
 
 
-def test_second_scan_is_silent_and_reports_render(make, tmp_path):
+def test_second_scan_is_silent_and_reports_render(make, spark, tmp_path):
     docs, facts = make
     d = docs((1, 7, None, "pricing", 0.9), (2, 7, 1, "pricing", 0.9))
     found = detect.superseded(d, CTX)
@@ -178,4 +181,94 @@ def test_second_scan_is_silent_and_reports_render(make, tmp_path):
     assert made["gate"] == {"fail_on": "critical", "blocking": 1, "failed": True} and made["by_type"]["superseded"] == 1
     assert '"superseded": 1' in report.render_json(made) and "<script" not in report.render_html({**made, "items": [{"title": "<script>", "severity": "x"}]})
     f = facts({"id": "a", "doc": 1}, {"id": "b", "doc": 2})
-    assert sinks.append_snapshot(f, str(tmp_path), "0001") == sinks.append_snapshot(f.orderBy("fact_id", ascending=False), str(tmp_path), "0002")
+    named = spark.createDataFrame([(1, "Plan", "product"), (2, "Team", "team")], "entity_id long, name string, entity_type string")
+    first_hash = sinks.append_snapshot(f, named, str(tmp_path), "0001")
+    assert first_hash == sinks.append_snapshot(f.orderBy("fact_id", ascending=False), named, str(tmp_path), "0002")
+    # what a fact says, its status and its subject's type count; ids do not
+    for other in (f.withColumn("status", F.lit("retracted")), f.withColumn("object_number", F.lit(7.0)), f.withColumn("valid_to", F.lit("2026-01-01").cast("date"))):
+        assert sinks.append_snapshot(other, named, str(tmp_path), "0003") != first_hash
+    assert sinks.append_snapshot(f, named.withColumn("entity_type", F.lit("other")), str(tmp_path), "0003") != first_hash
+    assert sinks.append_snapshot(f.withColumn("fact_id", F.concat(F.lit("x"), "fact_id")), named, str(tmp_path), "0003") == first_hash
+    assert sinks.latest_snapshot(spark, str(tmp_path)).scan_id == "0003" and sinks.published(spark, str(tmp_path), "snapshot_facts") == ["0001", "0002", "0003"]
+
+
+def test_hash_of_what_is_known(make, spark):
+    import hashlib
+
+    _, facts = make
+    named = spark.createDataFrame([(1, 'Plan "A"', "product")], "entity_id long, name string, entity_type string")
+    f = facts({"id": "a", "number": 5}, {"id": "b", "number": 5.5, "start": date(2026, 1, 1)}).withColumn("status", F.lit("active"))
+    base = {"object_entity": None, "object_entity_type": None, "object_type": "number", "predicate": "Price", "status": "active", "subject": 'Plan "A"', "subject_type": "product", "valid_to": None}
+    records = [{**base, "object_value": 5, "valid_from": None}, {**base, "object_value": 5.5, "valid_from": "2026-01-01"}]
+    lines = sorted(json.dumps(r, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for r in records)
+    got = remember.knowledge_hash(remember.fact_records(f, named)).first()
+    assert (got.knowledge_hash, got.facts) == (hashlib.sha256("".join(x + "\n" for x in lines).encode()).hexdigest(), 2)
+    assert remember.knowledge_hash(remember.fact_records(f.limit(0), named)).first().knowledge_hash == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_scan_that_runs_again_keeps_its_rows(spark, tmp_path):
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "fingerprint string")
+    kept = lambda: {r.scan_id: r.n for r in sinks.stored_rows(spark, str(tmp_path), "findings").groupBy("scan_id").agg(F.count("*").alias("n")).collect()}
+    assert sinks.append_findings(rows("a", "b", "b"), str(tmp_path), "scan-2").count() == 2
+    assert sinks.append_findings(rows("b", "c"), str(tmp_path), "scan-10").count() == 1
+    assert kept() == {"scan-2": 2, "scan-10": 1}
+    assert sinks.append_findings(rows("a", "b"), str(tmp_path), "scan-2").count() == 2
+    assert sinks.append_findings(rows("b", "c"), str(tmp_path), "scan-10").count() == 1
+    assert kept() == {"scan-2": 2, "scan-10": 1} and sinks.published(spark, str(tmp_path), "findings") == ["scan-2", "scan-10"]
+
+
+def test_a_stream_that_runs_again_stores_nothing_twice(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "root")
+    rows = [("a", "2026-01-01"), ("a", "2026-01-01"), ("b", "2026-01-02")]
+    spark.createDataFrame(rows, "fingerprint string, effective_at string").withColumn("effective_at", F.col("effective_at").cast("timestamp")).coalesce(1).write.parquet(source)
+    stream = lambda: incremental.first_findings(spark.readStream.schema("fingerprint string, effective_at timestamp").parquet(source))
+    for checkpoint in ("c1", "c2"):
+        incremental.append_stream(stream(), root, str(tmp_path / checkpoint)).awaitTermination()
+        assert sinks.stored_rows(spark, root, "findings").count() == 2
+
+
+def test_activity_in_windows(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = [("x", "2026-01-01 10:05:00", 1.0), ("x", "2026-01-01 10:55:00", 2.0), ("y", "2026-01-01 11:00:00", 4.0), ("x", "2026-01-02 00:00:00", 8.0)]
+    spark.createDataFrame(rows, "event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(source)
+    stream = incremental.activity(spark.readStream.schema("event_type string, ts timestamp, value double").parquet(source))
+    run = stream.writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted((r.event_type, r.n, r.total) for r in spark.table("activity").collect()) == [("x", 1, 8.0), ("x", 2, 3.0), ("y", 1, 4.0)]
+
+
+def test_decisions_count_once_and_only_if_valid(spark):
+    found = spark.createDataFrame([(n, "old", "new") for n in "abcdefg"], "fingerprint string, old_fact_id string, new_fact_id string")
+    log = spark.createDataFrame(
+        [
+            ("a", 2, "ignore", None, None, None), ("a", 1, "resolve", "accept_newer", None, "newer_version"), ("b", 1, "ignore", None, None, None), ("b", 2, "resolve", "keep_old", None, None), ("b", 3, "ignore", None, None, None),
+            ("c", 1, "resolve", "keep_old", "new", None), ("d", 1, "resolve", "manual_override", "other", None), ("e", 1, "resolve", "maybe", None, None), ("e", 2, "resolve", "false_positive", None, "detector_noise"), ("f", 1, "close", None, None, None), ("zz", 1, "ignore", None, None, None),
+        ],
+        "fingerprint string, at long, action string, decision string, authority_fact string, reason_code string",
+    )
+    problems = {(r.fingerprint, r.at): r.problem for r in remember.judged_log(found, log).collect()}
+    assert problems == {("a", 1): None, ("a", 2): "already_resolved", ("b", 1): None, ("b", 2): "already_ignored", ("b", 3): "repeated", ("c", 1): None, ("d", 1): "authority_not_of_finding", ("e", 1): "unknown_decision", ("e", 2): None, ("f", 1): "unknown_action", ("zz", 1): "unknown_finding"}
+    status = {r.fingerprint: (r.status, r.authority_fact) for r in remember.latest_status(found, log).collect()}
+    assert status == {"a": ("resolved", "new"), "b": ("ignored", None), "c": ("resolved", "new"), "d": ("open", None), "e": ("resolved", None), "f": ("open", None), "g": ("open", None)}
+
+
+def test_findings_of_a_document_roll_up(spark):
+    rows = [("f1", "confirmed_stale", "d1", "valid_to_expired", "medium"), ("f2", "confirmed_stale", "d1", "valid_to_expired", "critical"), ("f3", "possibly_stale", "d1", "age_over_threshold", "warning"), ("f4", "confirmed_stale", "d2", remember.SELF_DECLARED, "medium"), ("f5", "possibly_stale", "d2", "age_over_threshold", "warning"), ("f6", "confirmed_stale", "d3", remember.SELF_DECLARED, "high"), ("f7", "conflict", "d1", None, "high"), ("f8", "conflict", "d1", None, "high"), ("f9", "possibly_stale", None, "age_over_threshold", "warning")]
+    found = spark.createDataFrame(rows, "fingerprint string, drift_type string, doc_id string, reason string, severity string").withColumn("effective_at", F.lit(None).cast("timestamp"))
+    groups, alone = remember.roll_up(found)
+    got = {(r.doc_id, r.drift_type, r.head): (r.issues, r.severity, r.fingerprints) for r in groups.collect()}
+    assert got == {("d1", "confirmed_stale", None): (2, "critical", ["f1", "f2"]), ("d2", "confirmed_stale", "f4"): (2, "medium", ["f4", "f5"]), ("d3", "confirmed_stale", "f6"): (1, "high", ["f6"])}
+    assert {r.fingerprint for r in alone.collect()} == {"f3", "f7", "f8", "f9"}
+
+
+def test_every_finding_has_a_story():
+    for kind, reason in report.STORIES:
+        told = report.story(kind, {"reason": reason, "subject": "S"})
+        assert told["title"] and "{" not in told["title"] + told["why"] and set(told["suggested_decisions"]) <= set(DECISIONS)
+    assert {k for k, _ in report.STORIES} == set(DRIFT_TYPES)
+
+
+def test_ways_to_the_newest_edition(spark):
+    steps = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 100)], "doc_id long, new_id long")
+    nodes = spark.createDataFrame([(k,) for k in [*range(1, 42), 100, 101]], "doc_id long")
+    assert {r.doc_id: r.head_id for r in versions.ends(steps, nodes).collect()} == {**{k: 40 for k in range(1, 41)}, 41: 41}
