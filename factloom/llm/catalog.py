@@ -13,42 +13,51 @@ from factloom.session import ship_package, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 512 tokens."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document, and of the bytes that they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, and whether its label could have been learned."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it was read back from the archives: payload, digest, response or revisit."""
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate for a secret with its place, a digest of it, and how the forest judges it."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", F.length("value").alias("length"), F.sha2("secret", 256).alias("secret_sha256"), "probability", "is_secret")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles of every document, and the smallest id that links lead to."""
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark phrases, the items, and whether it is contaminated."""
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document are."""
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share passages of 50 words or more with others, and where."""
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
@@ -62,6 +71,7 @@ URL_RULES = [
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 

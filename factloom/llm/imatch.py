@@ -63,7 +63,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", idf_band: tuple[float, floa
     total = docs.count()
     # the band as counts, so that no logarithm is taken for each term
     most, least = total / math.exp(idf_band[0]), total / math.exp(idf_band[1])
-    kept = stored(counted.where((F.col("n") <= F.lit(most)) & (F.col("n") >= F.lit(least))).select("h"), "lexicon-terms")
+    # few terms, as said above: one file
+    kept = stored(counted.where((F.col("n") <= F.lit(most)) & (F.col("n") >= F.lit(least))).select("h").repartition(1), "lexicon-terms")
     slots = max(1 << 10, 1 << (2 * max(kept.count(), 1) - 1).bit_length())
     held = kept.groupBy(_slot(F.col("h"), slots).alias("s")).agg(F.collect_list("h").alias("hs"))  # bounded, as the lexicon is
     blank = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("s"))

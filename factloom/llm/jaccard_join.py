@@ -27,7 +27,8 @@ each component is spanned, and only spanning links leave a tile.
 Rows are texts: a repeated id does not link its rows by itself. Nulls and texts
 without words have empty sets, and are linked with nothing. A row with a null id
 is returned, and its component is the smallest other id linked with it, else null.
-Further columns are not read; an empty table gives an empty result. Classes are told
+Very long texts are hashed piece by piece and compared whole. Further columns are not
+read; an empty table gives an empty result. Classes are told
 apart by 64-bit digests.
 """
 

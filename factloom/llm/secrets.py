@@ -3,10 +3,13 @@
 DataFrame operations and Spark ML only. A candidate is a value assigned to a name such
 as ``password`` or ``token``, or a bare run of at least 16 key-like characters. The
 forest judges its length, its character transitions, how much of it dictionary words
-cover, whether it looks like a path, and the words beside it. It is trained on labelled
-findings: a table ``(before, value, after, label)``, label 1 for a real secret. Without
-such a table, :func:`labelled_findings` builds one from fixed recipes of real-looking
-keys and of usual false alarms.
+cover, whether it looks like a path, and the words beside it: how often findings beside
+such a word are secrets, among labelled ones. The dictionary is a fixed list and the
+commonest words beside labelled findings. The forest is trained on labelled findings: a
+table ``(before, value, after, label)``, label 1 for a real secret; for a training row,
+rates of words are taken from the half of the table that it is not in. Without such a
+table, :func:`labelled_findings` builds one from fixed recipes of real-looking keys and of
+usual false alarms.
 
 Nulls and texts without candidates give no findings. Rows are scanned one by one, so
 repeated ids and texts repeat their findings. Candidates have any length, and very long
@@ -16,6 +19,8 @@ they are not read; empty tables give empty results.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -44,7 +49,11 @@ DICTIONARY = (
     "users usr utils value version view web welcome width window with word work world www xml xxxx your"
 ).split()
 
-FEATURES = ["n", "assigned", "digit_share", "upper_share", "lower_share", "symbol_share", "changes", "letter_digit", "case_change", "repeats", "hex_only", "distinct_share", "entropy", "covered", "slashes", "dots", "dashes", "known_prefix", "uuid", "sequence", "named_before", "sum_before", "quoted", "word_before", "word_after"]
+FEATURES = ["n", "assigned", "digit_share", "upper_share", "lower_share", "symbol_share", "changes", "letter_digit", "case_change", "repeats", "hex_only", "distinct_share", "entropy", "covered", "slashes", "dots", "dashes", "known_prefix", "uuid", "sequence", "named_before", "sum_before", "quoted", "rate_before", "rate_after"]
+#: Words beside labelled findings that join the dictionary, the commonest first.
+LEARNED_WORDS = 2_000
+#: Weight of the overall rate in the rates of rare words.
+PRIOR = 10.0
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,8 +88,8 @@ def _share(part: Column, n: Column) -> Column:
     return part.cast("double") / F.greatest(n, F.lit(1))
 
 
-def described(found: DataFrame) -> DataFrame:
-    """``found`` (with ``before, value, after``) with ``secret`` (the value without its name) and the features."""
+def described(found: DataFrame, dictionary: list[str] | None = None) -> DataFrame:
+    """``found`` (with ``before, value, after``) with ``secret`` (the value without its name), the words beside it, and the features that need no training."""
     x = found.withColumn("_head", _head(F.col("value")))
     x = x.withColumn("secret", F.substring("value", F.length("_head") + 1, F.length("value")))
     s = F.col("secret")
@@ -91,8 +100,8 @@ def described(found: DataFrame) -> DataFrame:
     chars = F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))
     share = F.transform(chars, lambda c: (n - F.length(F.replace(s, c, F.lit("")))).cast("double") / n)
     words = F.regexp_extract_all(F.lower(F.regexp_replace(s, "([a-z])([A-Z])", "$1 $2")), F.lit("[a-z]{3,}"), F.lit(0))
-    dictionary = F.lit(DICTIONARY)
-    covered = F.aggregate(F.filter(words, lambda w: F.array_contains(dictionary, w)), F.lit(0), lambda a, w: a + F.length(w))
+    listed = F.lit(DICTIONARY if dictionary is None else dictionary)
+    covered = F.aggregate(F.filter(words, lambda w: F.array_contains(listed, w)), F.lit(0), lambda a, w: a + F.length(w))
     uuid = s.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
     real = {
         "n": n.cast("double"),
@@ -118,8 +127,8 @@ def described(found: DataFrame) -> DataFrame:
         "named_before": F.col("before").rlike(rf"(?i){NAMES}[^A-Za-z0-9]{{0,6}}$").cast("double"),
         "sum_before": F.col("before").rlike(r"(?i)(?:commit|sha-?1|sha-?256|md5|checksum|hash|etag|uuid|rev|revision|build|id)[^A-Za-z0-9]{0,4}$").cast("double"),
         "quoted": F.col("after").rlike("^[\"']").cast("double"),
-        "word_before": F.length(F.regexp_extract("before", r"(\w+)\W*$", 1)).cast("double"),
-        "word_after": F.length(F.regexp_extract("after", r"^\W*(\w+)", 1)).cast("double"),
+        "word_before": F.lower(F.regexp_extract("before", r"(\w+)\W*$", 1)),
+        "word_after": F.lower(F.regexp_extract("after", r"^\W*(\w+)", 1)),
     }
     return x.withColumns(real).drop("_head")
 
@@ -144,6 +153,14 @@ def labelled_findings(spark: SparkSession, each: int = 240) -> DataFrame:
         (1, plain, F.concat(F.lit("sk_live_"), F.substring(mixed, 2, 28)), F.lit(" ")),
         (1, plain, F.concat(F.lit("eyJ"), F.substring(mixed, 1, 40)), F.lit(".")),
         (1, F.lit("the token is "), F.substring(h, 1, 40), F.lit(" so")),
+        (1, F.lit("Authorization: Bearer "), F.substring(mixed, 4, 38), F.lit("\n")),
+        (1, plain, F.concat(F.lit("xoxb-"), F.translate(F.substring(h, 1, 24), "abcdef", "123456"), F.lit("-"), F.substring(mixed, 5, 24)), F.lit(" ")),
+        (1, plain, F.concat(F.lit("AIza"), F.substring(mixed, 6, 35)), F.lit(", ")),
+        (1, F.lit("user: admin, "), F.concat(F.lit("pwd: "), F.substring(mixed, 9, 10), F.lit("#"), F.substring(h, 3, 2)), F.lit(" ok")),
+        (0, F.lit("class="), F.concat_ws("-", word(8), word(9), word(10), F.lit("4")), F.lit(" ")),
+        (0, F.lit("see "), F.concat(F.lit("docs/"), word(11), F.lit("/"), word(12), F.lit("-2024"), F.lit("/index")), F.lit(" for")),
+        (0, F.lit("data "), F.rpad(F.lit("iVBORw0KGgo"), 60, "A"), F.lit(" png")),
+        (0, plain, F.concat(F.lit("auth="), word(13), F.lit("_"), word(14)), F.lit(" ")),
         (1, plain, F.concat(F.lit("passwd: "), F.substring(mixed, 7, 12), F.lit("!"), F.substring(h, 1, 3)), F.lit("")),
         (0, plain, F.concat(F.lit("password="), word(1), word(2)), F.lit(" next")),
         (0, plain, F.concat(F.lit("password="), word(1), F.lit("123")), F.lit(" next")),
@@ -172,17 +189,57 @@ def labelled_findings(spark: SparkSession, each: int = 240) -> DataFrame:
     return x.select(rows[F.pmod("k", F.lit(len(recipes))).cast("int")].alias("r")).select("r.*")
 
 
-def fit(labelled: DataFrame, trees: int = 24, depth: int = 9, seed: int = 5) -> RandomForestClassificationModel:
-    """A random forest on labelled findings."""
-    ensure_checkpoint_dir(labelled.sparkSession)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(labelled)).select("features", "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(stored(rows, "labelled-findings").coalesce(2))
+@dataclass
+class SecretModel:
+    """The forest, the dictionary, and how often findings beside a word are secrets, by the side of the word."""
+
+    forest: RandomForestClassificationModel
+    dictionary: list[str]
+    rates: dict[str, DataFrame]
+    overall: float
+
+    def features(self, found: DataFrame) -> DataFrame:
+        """``found`` with all features. Words that no labelled finding has beside it give the overall rate."""
+        x = described(found, self.dictionary)
+        for side, rates in self.rates.items():
+            x = x.join(rates, f"word_{side}", "left").withColumn(f"rate_{side}", F.coalesce(f"rate_{side}", F.lit(self.overall)))
+        return x
+
 
+def _rate(b: str, c: str, overall: float) -> Column:
+    return (F.coalesce(b, F.lit(0.0)) + F.lit(overall * PRIOR)) / (F.coalesce(c, F.lit(0)) + F.lit(PRIOR))
 
-def judged(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+
+def learned_dictionary(labelled: DataFrame, words: int = LEARNED_WORDS) -> list[str]:
+    """The fixed words, and the commonest of three letters or more beside labelled findings; ``words`` at most."""
+    beside = F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit("[a-z]{3,}"), F.lit(0))
+    top = labelled.select(F.explode(beside).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "w").limit(words).collect()
+    return sorted({*DICTIONARY, *(r.w for r in top)})
+
+
+def fit(labelled: DataFrame, trees: int = 24, depth: int = 9, seed: int = 5) -> SecretModel:
+    """A random forest on labelled findings."""
+    ensure_checkpoint_dir(labelled.sparkSession)
+    dictionary = learned_dictionary(labelled)
+    x = described(labelled, dictionary).withColumn("half", F.pmod(F.xxhash64("before", "value", "after"), F.lit(2)).cast("int"))
+    x = stored(x, "described-findings")
+    overall = x.agg(F.avg("label")).first()[0] or 0.0
+    rates, rows = {}, x
+    for side in ("before", "after"):
+        word = f"word_{side}"
+        count = lambda *by: x.groupBy(word, *by).agg(F.sum("label").alias("b"), F.count("*").alias("c"))  # noqa: E731, B023  used at once
+        rates[side] = stored(count().select(word, _rate("b", "c", overall).alias(f"rate_{side}")), f"rates-{side}")
+        other = count("half").withColumn("half", 1 - F.col("half"))
+        rows = rows.join(other, [word, "half"], "left").withColumn(f"rate_{side}", _rate("b", "c", overall)).drop("b", "c")
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(stored(rows, "labelled-findings").coalesce(2))
+    return SecretModel(forest, dictionary, rates, overall)
+
+
+def judged(found: DataFrame, model: SecretModel) -> DataFrame:
     """``found`` with ``secret``, ``probability`` and ``is_secret``."""
-    x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(found))
-    x = model.transform(x).withColumn("p", vector_to_array("probability")[1])
+    x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(model.features(found))
+    x = model.forest.transform(x).withColumn("p", vector_to_array("probability")[1])
     kept = [c for c in found.columns if c not in ("secret", "probability", "is_secret")]
     return x.select(*kept, "secret", F.col("p").alias("probability"), (F.col("p") >= 0.5).alias("is_secret"))
 

@@ -1,16 +1,18 @@
 """URL filter: rules decide what they cover, gradient-boosted trees on lexical features decide the rest.
 
 DataFrame operations and Spark ML only. The trees are trained on labelled URLs: a
-sample, bounded by ``train_rows``, of the URLs that carry a label. Unless other labels
-are given, these are the URLs that the rules decide. Features are lengths, depth,
-digit ratio, entropy, parameter counts, and statistics of the host's suffix and of the
-leading path segment: how common they are among all URLs, and how often they are
-blocked among the training rows.
+sample, bounded by ``train_rows``, of the distinct URLs that carry a label, so that a
+URL which many rows repeat counts once. Unless other labels are given, these are the
+URLs that the rules decide. Features are lengths, depth, digit ratio, entropy, parameter
+counts, and statistics of the host's suffix and of the leading path segment: how common
+they are among all URLs, and how often they are blocked among the training URLs. For a
+training URL these rates are taken from the half of the sample that it is not in.
 
 Nulls and URLs without ``://`` have an empty host and path; no rule fits them. Repeated
-rows are judged separately. If no labelled URL exists, or all have one label, what the
-rules leave open is given ``default``. Further columns are not read; an empty table
-gives an empty result.
+rows are judged separately. Very long URLs are read whole. Labels that contradict each
+other count as their mean, rounded to block. If no labelled URL exists, or all have one
+label, what the rules leave open is given ``default``. Further columns are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,13 +108,32 @@ def lexical(pages: DataFrame, url_col: str, keep: list[str]) -> DataFrame:
     ).drop("u")
 
 
-def _statistics(urls: DataFrame, train: DataFrame, key: str) -> DataFrame:
-    """How common each value of ``key`` is among all URLs, and its smoothed rate of blocked training rows."""
-    overall = F.coalesce(train.agg(F.avg("label")).scalar(), F.lit(0.5))
-    common = urls.groupBy(key).agg(F.log1p(F.count("*").cast("double")).alias(f"{key}_common"))
-    blocked = train.groupBy(key).agg(F.sum("label").alias("b"), F.count("*").alias("c"))
-    rate = (F.coalesce("b", F.lit(0.0)) + overall * PRIOR) / (F.coalesce("c", F.lit(0)) + PRIOR)
-    return stored(common.join(blocked, key, "left").select(key, f"{key}_common", rate.alias(f"{key}_rate")), f"{key}-statistics")
+def _common(urls: DataFrame, key: str) -> DataFrame:
+    """How common each value of ``key`` is among all URLs."""
+    return urls.groupBy(key).agg(F.log1p(F.count("*").cast("double")).alias(f"{key}_common"))
+
+
+def _rates(train: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """The blocked training URLs of each value of ``key``, and all of them."""
+    return train.groupBy(key, *by).agg(F.sum("label").alias("b"), F.count("*").alias("c"))
+
+
+def _smoothed(overall: Column) -> Column:
+    return (F.coalesce("b", F.lit(0.0)) + overall * PRIOR) / (F.coalesce("c", F.lit(0)) + PRIOR)
+
+
+def _statistics(urls: DataFrame, train: DataFrame, key: str, overall: float) -> DataFrame:
+    """How common each value of ``key`` is among all URLs, and its smoothed rate of blocked training URLs."""
+    x = _common(urls, key).join(_rates(train, key, []), key, "left")
+    return stored(x.select(key, f"{key}_common", _smoothed(F.lit(overall)).alias(f"{key}_rate")), f"{key}-statistics")
+
+
+def _crossed(train: DataFrame, statistics: dict[str, DataFrame], overall: float) -> DataFrame:
+    """Training URLs with the statistics of their values; each half has the rates of the other, so no URL tells its own label."""
+    for key, stats in statistics.items():
+        other = _rates(train, key, ["half"]).withColumn("half", 1 - F.col("half"))
+        train = train.join(other, [key, "half"], "left").withColumn(f"{key}_rate", _smoothed(F.lit(overall))).drop("b", "c").join(stats.drop(f"{key}_rate"), key, "left")
+    return train
 
 
 @dataclass
@@ -139,15 +160,22 @@ class UrlModel:
 def fit(urls: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 15, depth: int = 4) -> UrlModel:
     """Fit on a sample of ``labelled`` (lexical rows with ``label`` 1 for block), chosen by hash and bounded by ``train_rows``."""
     spark = urls.sparkSession
-    n, kinds = labelled.agg(F.count("*"), F.count_distinct("label")).first()
+    own = ["host", "path", "suffix", "segment", *[f for f in FEATURES if not f.endswith(("_common", "_rate"))]]
+    # a row for each distinct URL, as far as features tell
+    distinct = labelled.where("label is not null").groupBy(*own).agg((F.avg("label") >= 0.5).cast("double").alias("label"))
+    distinct = stored(distinct, "distinct-urls")
+    n = distinct.count()
     parts = 1_000_000
-    chosen = F.pmod(F.xxhash64("host", "path", "n_url"), F.lit(parts)) < F.lit(min(parts, parts * train_rows // max(n, 1)))
-    train = stored(labelled.where(chosen), "labelled-urls")
-    model = UrlModel({key: _statistics(urls, train, key) for key in ("suffix", "segment")}, None)
-    if kinds < 2 or train.select("label").distinct().count() < 2:
+    drawn = F.xxhash64("host", "path", "n_url", "query_len")
+    chosen = F.pmod(drawn, F.lit(parts)) < F.lit(min(parts, parts * train_rows // max(n, 1)))
+    train = stored(distinct.where(chosen).withColumn("half", F.pmod(F.xxhash64(drawn, F.lit(1)), F.lit(2)).cast("int")), "labelled-urls")
+    found = train.agg(F.avg("label"), F.count_distinct("label")).first()
+    overall = 0.5 if found[0] is None else found[0]
+    model = UrlModel({key: _statistics(urls, train, key, overall) for key in ("suffix", "segment")}, None)
+    if found[1] < 2:
         return model
     ensure_checkpoint_dir(spark)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(model.features(train)).select("features", "label")
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(_crossed(train, model.statistics, overall)).select("features", "label")
     model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1).fit(stored(rows, "url-features").coalesce(4))
     return model
 

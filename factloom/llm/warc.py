@@ -10,9 +10,11 @@ the others are revisits that name it. Payloads below ``min_bytes`` are always
 responses. Each task writes files under names of its own and reports them in a
 manifest; files of lost or repeated attempts are in no manifest and never read.
 
-Nulls are empty payloads, and empty payloads are equal to each other. Repeated rows
-with the smallest page id of a payload are all responses. A row with a null id is a
-revisit if another id holds the payload, else a response. Empty tables give no records.
+Nulls are empty payloads, and empty payloads are equal to each other. Payloads are told
+apart by SHA-256 and size. Very long payloads are whole records, held in memory one at a
+time. Repeated rows with the smallest page id of a payload are all responses. A row with
+a null id is a revisit if another id holds the payload, else a response. Further columns
+are not read. Empty tables give no records.
 """
 
 from __future__ import annotations
@@ -136,7 +138,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Only payloads that occur more than once are joined back; Spark broadcasts them
     when their stored size is below its threshold and shuffles the pages otherwise.
     """
-    x = pages.withColumn("sha", F.sha1(F.encode("payload", "UTF-8"))).withColumn("size", F.octet_length("payload"))
+    x = pages.withColumn("sha", F.sha2(F.encode("payload", "UTF-8"), 256)).withColumn("size", F.octet_length("payload"))
     groups = x.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("id").alias("first"), F.count("*").alias("c"))
     shared = stored(groups.where("c > 1 and first is not null").select("sha", "size", "first"), "shared-payloads")
     x = x.join(shared, ["sha", "size"], "left")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -85,3 +87,47 @@ def test_secrets_are_masked_where_they_stand(spark):
     alone = f"x{key}y" if not secrets.scan(docs).where(F.col("value") == f"x{key}y").where("is_secret").count() else secrets.MASK
     assert got == sorted([f"so {secrets.MASK} end", alone, "nothing", f"{secrets.MASK}, {secrets.MASK}", "", f"é🙂 password={secrets.MASK}, é"]), (got, found)
     assert secrets.redacted(docs.limit(0)).count() == 0
+
+
+def described_by(value: str, before: str, after: str, dictionary: set[str]) -> dict[str, float]:
+    """The features of a candidate, one by one."""
+    head = re.match(rf"((?i:{secrets.NAMES})[\w-]{{0,20}}[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)", value)
+    secret = value[head.end() :] if head else value
+    n = len(secret)
+    kind = ["0" if c in "0123456789" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else c for c in secret]
+    steps = list(zip(kind, kind[1:]))
+    counts = Counter(secret)
+    words = re.findall("[a-z]{3,}", re.sub("([a-z])([A-Z])", r"\1 \2", secret).lower())
+    share = lambda x: x / max(n, 1)
+    return {
+        "n": n, "assigned": bool(head), "digit_share": share(kind.count("0")), "upper_share": share(kind.count("A")), "lower_share": share(kind.count("a")), "symbol_share": share(sum(k not in "0Aa" for k in kind)),
+        "changes": share(sum(x == y for x, y in steps)), "letter_digit": share(sum({x, y} in ({"a", "0"}, {"A", "0"}) for x, y in steps)), "case_change": share(sum({x, y} == {"a", "A"} for x, y in steps)),
+        "repeats": share(sum(x == y for x, y in zip(secret, secret[1:]))), "hex_only": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", secret)), "distinct_share": share(len(counts)),
+        "entropy": -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0, "covered": share(sum(len(w) for w in words if w in dictionary)), "slashes": secret.count("/"), "dots": secret.count("."), "dashes": secret.count("_") + secret.count("-"),
+        "uuid": bool(re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", secret)), "quoted": after[:1] in ("'", '"') and after != "",
+    }
+
+
+def test_features_equal_brute_force(spark):
+    labelled = secrets.labelled_findings(spark, 20)
+    dictionary = secrets.learned_dictionary(labelled)
+    assert set(secrets.DICTIONARY) < set(dictionary) and "authorization" in dictionary
+    odd = spark.createDataFrame([("", "token=", "", 0.0), ("x", "ab/cd.ef_gh-12", "'", 0.0), ("é", "ÄÖÜßéàü1234567890", '"', 0.0), ("", "aaaaaaaaaaaaaaaa1", "", 0.0)], "before string, value string, after string, label double")
+    rows = secrets.described(labelled.unionByName(odd), dictionary).collect()
+    for r in rows:
+        for name, want in described_by(r.value, r.before, r.after, set(dictionary)).items():
+            assert abs(r[name] - float(want)) < 1e-9, (name, r.value, r[name], want)
+
+
+def test_rates_of_words_beside_a_finding(spark):
+    """A word beside secrets speaks for one, a word beside false alarms against; a training row does not see itself."""
+    value = lambda k: f"k{k:04d}zq{k * 7919 % 10007:05d}xw{k:04d}"
+    rows = [("grant ", value(k), " now", 1.0) for k in range(60)] + [("build ", value(1000 + k), " now", 0.0) for k in range(60)] + [(f"only{k} ", value(2000 + k), " now", float(k % 2)) for k in range(40)]
+    labelled = spark.createDataFrame(rows, "before string, value string, after string, label double")
+    model = secrets.fit(labelled)
+    rates = {r.word_before: r.rate_before for r in model.rates["before"].collect()}
+    assert rates["grant"] > 0.85 and rates["build"] < 0.15
+    new = spark.createDataFrame([("we grant ", value(5000), " x"), ("the build ", value(5001), " x"), ("unseen ", value(5002), " x")], "before string, value string, after string")
+    got = {r.before: r for r in secrets.judged(new, model).collect()}
+    assert got["we grant "].probability > 0.65 and got["the build "].probability < 0.35
+    assert {r.rate_before for r in model.features(new.where("before = 'unseen '")).collect()} == {model.overall}
