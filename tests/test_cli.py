@@ -64,7 +64,7 @@ workspace: {name: demo}
 sources:
   - {path: prices, type: pricing, authority: 0.8}
   - {path: gone, type: policy}
-  - {path: "", type: general}
+  - {path: ., type: general}
 rules: {stale_after_days: 30}
 severity: {pricing_change: critical}
 ci: {fail_on: high}
