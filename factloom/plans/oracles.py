@@ -128,6 +128,8 @@ _ODD = "chr(13) || chr(10) || ' ' || chr(12288) || replace(text, chr(10), '  ' |
 _STRIPPED = "regexp_replace(regexp_replace(array_to_string(list_transform(string_split(replace(replace(nfc_normalize({0}), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^" + _SPACE.replace("{", "{{").replace("}", "}}") + "+', ''), '" + _SPACE.replace("{", "{{").replace("}", "}}") + "+$', '')), chr(10)), '^\\n+', ''), '\\n+$', '')"
 _NORMAL = _STRIPPED
 _PARAGRAPHS = "list_filter(string_split_regex(" + _STRIPPED.format("text") + ", '\\n\\n+'), lambda t: t <> '')"
+_FULL = r"[^\n]*[^\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][^\n]*"
+_LINES = f"(?m)^{_FULL}(?:\\n{_FULL})*"
 _FILES = """
 f0 AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'a/' ELSE 'b/' END || 's' || (doc_id // 10000) || '_' || (doc_id % 10000) || '.csv' AS path, 's' || (doc_id // 10000) || '_' || (doc_id % 10000) || '.csv' AS filename, doc_id FROM kdoc),
 fd AS (SELECT path, filename, doc_id FROM f0 UNION ALL SELECT 'c/' || filename, filename, doc_id + 1000000000 FROM f0 WHERE doc_id % 7 = 0),
@@ -257,6 +259,9 @@ ORACLES = {
     "hcr_score": "SELECT lang AS drift_type, count(*) AS reported, count(*) FILTER (quality = 1) AS confirmed, avg((coalesce(quality, 0) = 1)::INT::DOUBLE) AS confirmed_rate, avg((toxic = 0)::INT::DOUBLE) AS actionable_rate, avg((coalesce(quality, 0) = 1)::INT::DOUBLE) > 0.6 AS passed FROM documents JOIN labels USING (doc_id) GROUP BY 1",
     "normalize_text": f"SELECT doc_id, sha256({_NORMAL.format(_ODD)}) AS sha256 FROM documents",
     "paragraphs": f"SELECT doc_id, (i - 1)::INTEGER AS paragraph, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, {_PARAGRAPHS} AS p FROM documents))",
+    "paragraph_places": f"""WITH t AS (SELECT doc_id, ' ' || chr(10) || text AS t FROM documents), p AS (SELECT doc_id, regexp_extract_all(t, '{_LINES}') AS p, string_split_regex(t, '{_LINES}') AS g FROM t),
+      e AS (SELECT doc_id, p, g, unnest(range(1, len(p) + 1)) AS i FROM p), o AS (SELECT *, (list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(p[1:i - 1], lambda x: len(x))), 0))::INTEGER AS b FROM e)
+      SELECT doc_id, (i - 1)::INTEGER AS paragraph, b AS offset_start, (b + len(p[i]))::INTEGER AS offset_end, md5({_STRIPPED.replace("nfc_normalize({0})", "{0}").format("p[i]")}) AS text FROM o""",
     "content_hash": f"SELECT doc_id, sha256(to_json(list_transform({_PARAGRAPHS}, lambda t, i: {{'page': NULL::INT, 'paragraph': i - 1, 'text': t}}))) AS content_hash FROM documents",
     "chunk_greedy": f"""WITH RECURSIVE b AS (SELECT doc_id, {_PARAGRAPHS} AS p FROM documents), l0 AS (SELECT doc_id, bi, unnest(list_filter(string_split(p[bi], chr(10)), lambda x: x <> '')) AS line, generate_subscripts(list_filter(string_split(p[bi], chr(10)), lambda x: x <> ''), 1) AS li FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS bi FROM b)),
       l1 AS (SELECT *, len({_TOKENS.format('line')}) AS n, {_TOKENS.format('line')} AS tok, string_split_regex(line, '{_TOKEN}') AS gap FROM l0),
