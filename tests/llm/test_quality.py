@@ -122,3 +122,30 @@ def test_held_out_accuracy(spark):
     test = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
     right = [np.mean([p == q for q, p in test if q == kind]) for kind in (0, 1)]
     assert len(test) > 500 and min(right) > 0.95, right
+
+
+def score_by_loops(model: quality.MilModel, text: str) -> float:
+    """The score of a text, passage by passage and word by word."""
+    p, sigmoid = model.weights, lambda x: 1 / (1 + np.exp(-x))
+    b = bag(text)
+    encoded, weights = [], []
+    for k in range(len(b)):
+        stop = b.first[k + 1] if k + 1 < len(b) else len(b.words)
+        words = [p["E"][w].astype(float) for w in b.words[b.first[k] : stop]]
+        mean = sum(words) / len(words) if words else np.zeros(quality.HIDDEN)
+        x = np.clip((b.features[k] - model.mean) / model.scale, -6, 6)
+        h = np.tanh(x @ p["W"] + mean + p["b"])
+        encoded.append(h)
+        weights.append(np.exp(sum(w * np.tanh(v) * sigmoid(u) for w, v, u in zip(p["w"], h @ p["V"], h @ p["U"], strict=True))))
+    z = sum(w * h for w, h in zip(weights, encoded, strict=True)) / sum(weights)
+    return float(sigmoid(z @ p["c"] + p["d"][0]))
+
+
+def test_scores_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert abs(r.score - score_by_loops(model, texts[r.doc_id])) < 1e-5
