@@ -3,9 +3,9 @@
 The index is a table of postings of training texts: term, text, position, and the words
 around it. It is built for the terms that the test phrases need: how often every
 test term occurs is counted over all training texts first, and each phrase is then
-looked up by its two rarest terms. Their postings lists, shifted by the terms' offsets
-in the phrase, are intersected, and what survives is compared with the stored
-surroundings, so that matches are exact.
+looked up by its ``LISTS`` rarest terms. Their postings lists, shifted by the terms'
+offsets in the phrase, are intersected from the rarest on, and what survives is compared
+with the stored surroundings, so that matches are exact.
 
 * :func:`phrase_matches` returns exact occurrences of phrases.
 * :func:`proximity_matches` returns places where all terms of a phrase occur near each other, in any order.
@@ -28,6 +28,8 @@ from factloom.llm.sqltext import bitmap, in_bitmap, sized_bits, text_key, withou
 from factloom.session import stored
 
 WINDOW = 13
+#: Rarest terms of a phrase whose postings are stored and intersected.
+LISTS = 3
 #: A text is contaminated if one word in this many is hit.
 SHARE = 20
 
@@ -55,19 +57,23 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
 
 
 def plan_lookups(wanted: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(phrase, terms, t1, o1, t2, o2)``: the two rarest terms of each phrase and their offsets.
+    """``(phrase, terms, t1, o1, t2, o2, ...)``: the ``LISTS`` rarest terms of each phrase and their offsets, the rarest first.
 
-    Phrases with a term that occurs nowhere are left out. A phrase of one word has its term twice.
+    Phrases with a term that occurs nowhere are left out. A phrase of fewer words repeats its last term.
     """
     each = wanted.select("phrase", "terms").distinct().select("phrase", "terms", F.posexplode("terms").alias("o", "term"))
     ranked = each.join(counts, "term", "left").groupBy("phrase").agg(
         F.first("terms").alias("terms"),
         F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "o"))).alias("by"),
     )
-    second = F.when(F.size("by") > 1, F.col("by")[F.least(F.lit(1), F.size("by") - 1)]).otherwise(F.col("by")[0])
-    return ranked.where(F.col("by")[0]["n"] > 0).select(
-        "phrase", "terms", F.col("by")[0]["term"].alias("t1"), F.col("by")[0]["o"].alias("o1"), second["term"].alias("t2"), second["o"].alias("o2")
-    )
+    at = lambda k: F.col("by")[F.least(F.lit(k), F.size("by") - 1)]
+    listed = [c for k in range(LISTS) for c in (at(k)["term"].alias(f"t{k + 1}"), at(k)["o"].alias(f"o{k + 1}"))]
+    return ranked.where(F.col("by")[0]["n"] > 0).select("phrase", "terms", *listed)
+
+
+def looked_up(lookups: DataFrame) -> DataFrame:
+    """``(term)``: the terms that phrases are looked up by, for :func:`build_index`."""
+    return lookups.select(F.explode(F.array(*[f"t{k + 1}" for k in range(LISTS)])).alias("term")).distinct()
 
 
 def build_index(docs: DataFrame, terms: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,11 +99,12 @@ def phrase_matches(index: DataFrame, lookups: DataFrame) -> DataFrame:
     """``(row, phrase, start, length)``: exact occurrences of phrases in the indexed texts."""
     rare = index.join(lookups, F.col("term") == F.col("t1"))
     rare = rare.select("row", "phrase", (F.col("pos") - F.col("o1")).alias("start"), "from", "around", "terms").where("start >= 0")
-    next_ = index.select("row", "term", "pos").join(lookups.select("phrase", "t2", "o2"), F.col("term") == F.col("t2"))
-    next_ = next_.select("row", "phrase", (F.col("pos") - F.col("o2")).alias("start"))
-    both = rare.join(next_, ["row", "phrase", "start"], "left_semi")
+    rare = rare.where(F.col("start") >= F.col("from"))
+    for k in range(1, LISTS):
+        shifted = index.select("row", "term", "pos").join(lookups.select("phrase", F.col(f"t{k + 1}").alias("term"), F.col(f"o{k + 1}").alias("o")), "term")
+        rare = rare.join(shifted.select("row", "phrase", (F.col("pos") - F.col("o")).alias("start")), ["row", "phrase", "start"], "left_semi")
     exact = F.slice("around", F.col("start") - F.col("from") + 1, F.size("terms")) == F.col("terms")
-    return both.where(F.col("start") >= F.col("from")).where(exact).select("row", "phrase", "start", F.size("terms").alias("length"))
+    return rare.where(exact).select("row", "phrase", "start", F.size("terms").alias("length"))
 
 
 def proximity_matches(index: DataFrame, lookups: DataFrame, slop: int) -> DataFrame:
@@ -135,8 +142,7 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_
     vocabulary = wanted.select(F.explode("terms").alias("term")).distinct()
     counts = stored(term_counts(docs, vocabulary, text_col), "term-counts")
     lookups = stored(plan_lookups(wanted, counts), "lookups")
-    rarest = lookups.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
-    index = build_index(docs, rarest, window - 1, id_col, text_col)
+    index = build_index(docs, looked_up(lookups), window - 1, id_col, text_col)
     found = phrase_matches(index, lookups).join(wanted.select("phrase", "item_id"), "phrase")
     # spans and items are each bounded by the words of one text
     hits = found.groupBy("row").agg(

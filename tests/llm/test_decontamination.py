@@ -69,7 +69,7 @@ def test_proximity(spark):
     wanted = dc.phrases(spark.createDataFrame([(9, "red blue green")], "item_id long, text string"))
     terms = wanted.selectExpr("explode(terms) as term").distinct()
     lookups = dc.plan_lookups(wanted, dc.term_counts(docs, terms))
-    index = dc.build_index(docs, lookups.selectExpr("explode(array(t1, t2)) as term").distinct(), 12)
+    index = dc.build_index(docs, dc.looked_up(lookups), 12)
     near = dc.proximity_matches(index, lookups, 5).join(index.where("head").select("row", "id"), "row")
     assert sorted(r.id for r in near.collect()) == [1, 3]
 
