@@ -178,60 +178,74 @@ def _repeated(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["k", "c"])
 
 
-def _sketched(docs: DataFrame, num: int, den: int, width: int, frequent: np.ndarray) -> DataFrame:
-    """A row for each text: its class, size, and where the class is new to the scan task, sketch, keys and ties."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+def _sketched(texts: DataFrame, width: int) -> DataFrame:
+    """A row for each text: its class, size, and where the class is new to the scan task, its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        leader: dict[int, int] = {}
         for batch in batches:
-            size, cids, sketches, keys, ties = [], [], [], [], []
+            size, cids, sketches = [], [], []
             for words in words_of(batch.column(1)):
                 members = shingle_set(words, width)
                 cid = class_of(members) if len(members) else None
                 size.append(len(members))
                 cids.append(cid)
-                if cid is None or cid in seen:
-                    sketches.append(None), keys.append(None), ties.append(None)
+                fresh = cid is not None and cid not in seen
+                sketches.append(folded(members) if fresh else None)
+                if fresh:
+                    seen.add(cid)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cids, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "key", "n", "cid", "sketch"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, key bigint, n bigint, cid bigint, sketch binary")
+
+
+def _offers(texts: DataFrame, num: int, den: int, width: int, frequent: np.ndarray, parts: int) -> DataFrame:
+    """``(p, pack)``: what classes offer, packed for each of ``parts`` targets: class digests, numbers of keys, keys.
+
+    A frequent key leaves the task once; its other holders are tied to the first. Ties are
+    packed alike, as class digests with the digests of their leaders, under negative numbers.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        leader: dict[int, int] = {}
+        for batch in batches:
+            cids, keys, ties = [], [], []
+            for words in words_of(batch.column(0)):
+                members = shingle_set(words, width)
+                if not len(members) or (cid := class_of(members)) in seen:
                     continue
                 seen.add(cid)
                 offer, hot = offered(members, num, den, shared.value)
-                # a frequent key leaves the task once; its other holders are tied to the first
                 heads = [leader.setdefault(k, cid) for k in offer[hot].tolist()]
                 new = np.array([h == cid for h in heads], bool)
-                sketches.append(folded(members))
-                keys.append(np.concatenate((offer[~hot], offer[hot][new])).tobytes())
-                ties.append(np.array(sorted(set(heads) - {cid}), np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cids, pa.int64()), *(pa.array(x, pa.binary()) for x in (sketches, keys, ties))],
-                names=["id", "key", "n", "cid", "sketch", "keys", "ties"],
-            )
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, key bigint, n bigint, cid bigint, sketch binary, keys binary, ties binary")
+                cids.append(cid)
+                keys.append(np.concatenate((offer[~hot], offer[hot][new])))
+                ties.append(np.array(sorted(set(heads) - {cid}), np.int64).view(np.uint64))
+            out = [*_packed(cids, keys, parts), *((-1 - p, pack) for p, pack in _packed(cids, ties, parts))]
+            if out:
+                to, packs = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(packs, pa.binary())], names=["p", "pack"])
 
+    return texts.select("text").mapInArrow(run, "p int, pack binary")
 
-def _packed(parts: int):
-    """Keys of many classes, packed for each of ``parts`` targets: class digests, numbers of keys, keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cid, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            flat = np.frombuffer(b"".join(keys), np.uint64)
-            own = np.repeat(np.arange(len(keys)), [len(k) // 8 for k in keys])
-            to = (flat % _U(parts)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            flat, own, to = flat[order], own[order], to[order]
-            first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
-            rows = []
-            for lo, hi in zip(first, np.append(first[1:], len(to)), strict=True):
-                who, count = np.unique(own[lo:hi], return_counts=True)
-                rows.append(len(who).to_bytes(8, "little") + cid[who].tobytes() + count.astype(np.int32).tobytes() + flat[lo:hi].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(to[first]), pa.array(rows, pa.binary())], names=["p", "pack"])
-
-    return run
+def _packed(cids: list[int], keys: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+    """Keys of many classes by target."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+    if not len(flat):
+        return
+    cid = np.array(cids, np.int64)
+    own = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    to = (flat % _U(parts)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    flat, own, to = flat[order], own[order], to[order]
+    first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+    for lo, hi in zip(first.tolist(), np.append(first[1:], len(to)).tolist(), strict=True):
+        who, count = np.unique(own[lo:hi], return_counts=True)
+        yield int(to[lo]), len(who).to_bytes(8, "little") + cid[who].tobytes() + count.astype(np.int32).tobytes() + flat[lo:hi].tobytes()
 
 
 def _unpacked(pack: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +257,14 @@ def _unpacked(pack: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes that offer the same key, smaller class digest first."""
-    got = [_unpacked(pack) for b in batches for pack in b.column(1).to_pylist()]
+    got = []
+    for batch in batches:
+        for p, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if p >= 0:
+                got.append(_unpacked(pack))
+                continue
+            lead, cid = _unpacked(pack)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(lead, cid)), pa.array(np.maximum(lead, cid)), pa.array(np.ones(len(cid), bool))], names=["a", "b", "tie"])
     if not got:
         return
     key, cid = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -281,13 +302,6 @@ def _near(num: int, den: int):
     return run
 
 
-def _unpack_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cid, ties = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        own = np.repeat(cid, [len(t) // 8 for t in ties])
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.frombuffer(b"".join(ties), np.int64))], names=["src", "dst"])
-
-
 def _members(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
     """``(cid, n, members)`` of the classes in a bitmap, once for each scan task."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -395,12 +409,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, num: int, den: int,
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
     frequent = _frequent(texts.select("text"), num, den, width)
-    sketched = stored(_sketched(texts, num, den, width, frequent), "sketched")
-    held = sketched.where("keys is not null")
-
-    bytes_ = held.agg(F.sum(F.length("keys"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // TASK_KEY_BYTES))
-    packed = held.select("cid", "keys").mapInArrow(_packed(parts), "p int, pack binary").repartitionById(parts, F.col("p"))
+    sketched = stored(_sketched(texts, width), "sketched")
+    held = sketched.where("sketch is not null")
+
+    # keys have 8 bytes, and about a quarter as many as shingles are offered in each of one or two bands
+    shingles = held.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * shingles // TASK_KEY_BYTES))
+    target = F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p"))
+    packed = _offers(texts, num, den, width, frequent, parts).repartitionById(parts, target)
     met = stored(packed.mapInArrow(_meet, "a bigint, b bigint, tie boolean").distinct(), "met")
     sketch = held.select("cid", "n", "sketch").dropDuplicates(["cid"])
     pairs = (
@@ -410,8 +426,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, num: int, den: int,
         .select("a", "b", "na", "nb", "sa", "sb")
         .mapInArrow(_near(num, den), "src bigint, dst bigint")
     )
-    ties = held.where(F.length("ties") > 0).select("cid", "ties").mapInArrow(_unpack_ties, "src bigint, dst bigint")
-    edges = pairs.unionAll(ties).unionAll(met.where("tie").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    edges = pairs.unionAll(met.where("tie").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     families = connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("fam"))
     families = stored(families.join(held.select("cid", "n").distinct(), "cid"), "families")
 
