@@ -49,7 +49,7 @@ def all_findings(spark: SparkSession, folder: str, ctx: RuleContext) -> DataFram
 
 
 def state(spark: SparkSession, root: str) -> DataFrame:
-    """All findings of a state folder with their status; none gives an empty frame."""
+    """All findings of a state folder with their status."""
     known = sinks.stored_rows(spark, root, "findings")
     if known is None:
         raise UserError(f"{root} holds no findings yet")

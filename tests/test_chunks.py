@@ -1,4 +1,4 @@
-"""Chunks against a small brute force of the reference's rule."""
+"""Chunks against a small brute force of the rule."""
 
 from __future__ import annotations
 
