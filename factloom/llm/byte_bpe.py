@@ -28,7 +28,7 @@ from tokenizers.models import BPE
 from factloom.llm.pretokens import Memory, PieceEncoder, Splitter, byte_alphabet, kept, pattern_sources
 
 #: Pre-tokens whose ids a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 SLICE_ROWS = 128
 
 
@@ -60,12 +60,11 @@ class Codec:
     """Encodes and decodes; one for each Python worker."""
 
     def __init__(self, definition: str, sources: tuple[str, str]) -> None:
-        self.tokenizer = Tokenizer.from_str(definition)
         self.pieces = PieceEncoder(definition)
         self.split = Splitter(sources)
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
-        spelled = [b""] * self.tokenizer.get_vocab_size()
-        for shown, token_id in self.tokenizer.get_vocab().items():
+        spelled = [b""] * self.pieces.library.get_vocab_size()
+        for shown, token_id in self.pieces.library.get_vocab().items():
             spelled[token_id] = bytes(map(byte_of.__getitem__, shown))
         self.token_bytes = spelled
         self.memory = Memory(self._learn, REMEMBERED)
@@ -88,7 +87,7 @@ class Codec:
         for block in self.split.blocks(text):
             for piece in block:
                 char_of = [k for k, c in enumerate(piece) for _ in c.encode()]
-                for start, end in self.tokenizer.encode(self.pieces.shown([piece]), add_special_tokens=False).offsets:
+                for start, end in self.pieces.library.encode(self.pieces.shown([piece]), add_special_tokens=False).offsets:
                     out.append((base + char_of[start], base + char_of[end - 1] + 1))
                 base += len(piece)
         return out

@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from factloom.llm.pretokens import Memory, PieceEncoder, Splitter, kept, pattern_sources
 
 #: Pre-tokens that a worker remembers beyond the proven ones, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 OVER_LIMIT = 512
 #: Rows handled at once within an Arrow batch.
 SLICE_ROWS = 256
