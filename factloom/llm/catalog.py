@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, oracles, passages, quality, secrets, token_counts, url_filter, warc
+from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, merkle, oracles, passages, quality, secrets, token_counts, url_filter, warc
 from factloom.session import ship_package, table
 
 
@@ -75,6 +75,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and lookup proof of every document, and whether it verifies as it is checked."""
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     """The query, after this package has been sent to the executors."""
 
@@ -86,5 +91,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op2_quality, op3_warc, op4_secrets, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op9_compact_windows, op10_url_filter)}
-ORACLES = {"op3_warc": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op2_quality, op3_warc, op4_secrets, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op9_compact_windows, op10_url_filter, op13_merkle)}
+ORACLES = {"op3_warc": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6, "op13_merkle": oracles.OP13}

@@ -58,3 +58,42 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM d
 """
+
+_DIGESTS = "string_agg({0}, '' ORDER BY {1})"
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"
+_TREE = """
+{0}n AS (
+  SELECT *, 0 AS level FROM {0}0
+  UNION ALL
+  SELECT tree, idx // 16, sha256(string_agg(node, '' ORDER BY idx)), max(n + 15) // 16, max(level) + 1 FROM {0}n WHERE n > 1 GROUP BY tree, idx // 16
+), {0}r AS (SELECT tree, level, idx // 16 AS run, list(node ORDER BY idx) AS nodes FROM {0}n WHERE n > 1 GROUP BY ALL
+), {0}p AS (
+  SELECT tree, idx AS of, idx, 0 AS level, n, []::VARCHAR[] AS lefts, []::VARCHAR[] AS rights FROM {0}0
+  UNION ALL
+  SELECT p.tree, p.of, p.idx // 16, p.level + 1, (p.n + 15) // 16, list_append(p.lefts, array_to_string(r.nodes[1:p.idx % 16], '')), list_append(p.rights, array_to_string(r.nodes[p.idx % 16 + 2:], ''))
+  FROM {0}p p JOIN {0}r r ON r.tree = p.tree AND r.level = p.level AND r.run = p.idx // 16 WHERE p.n > 1
+), {0}t AS (SELECT tree, node FROM {0}n WHERE n = 1
+), {0}q AS (SELECT tree, of, lefts, rights FROM {0}p WHERE n = 1
+)"""
+
+OP13 = f"""
+WITH RECURSIVE c AS (SELECT {_CRC_TABLE} AS tab
+), d AS (
+  SELECT doc_id, source, {" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head, text,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 5 = 0 AS marked
+  FROM documents, c
+), h AS (
+  SELECT doc_id, source, sha256(head || {_FIELD.format("text")}) AS leaf,
+    CASE WHEN marked THEN sha256(head || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS changed FROM d
+), g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM h
+), own_0 AS (SELECT tree, idx, leaf AS node, n FROM g),{_TREE.format("own_")}, over_0 AS (SELECT 0 AS tree, tree AS idx, node, count(*) OVER () AS n FROM own_t),{_TREE.format("over_")}, w AS (
+  SELECT g.doc_id, g.leaf, own_t.node AS subroot, over_t.node AS root, coalesce(g.changed, g.leaf) AS start, own_q.lefts || over_q.lefts AS lefts, own_q.rights || over_q.rights AS rights
+  FROM g JOIN own_t USING (tree) JOIN own_q ON own_q.tree = g.tree AND own_q.of = g.idx JOIN over_q ON over_q.of = g.tree, over_t
+), f AS (
+  SELECT *, list_reduce(range(1, len(lefts) + 1), lambda x, k: sha256(lefts[k] || x || rights[k]), start) AS folded_root FROM w
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(range(1, len(lefts) + 1), lambda k: lefts[k] || rights[k]), ''), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM f
+"""
