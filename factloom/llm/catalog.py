@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, merkle, oracles, passages, quality, secrets, token_counts, url_filter, warc
+from factloom.llm import byte_bpe, decontamination, imatch, jaccard_join, merkle, oracles, passages, quality, secrets, suffix_tree, token_counts, url_filter, warc, whitening
 from factloom.session import ship_package, table
 
 
@@ -75,6 +75,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by single tokens and by the suffix tree, and whether it was held out."""
+    return suffix_tree.fit_and_score(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 32 leading components, with its exact deviation and the shares that components explain."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and lookup proof of every document, and whether it verifies as it is checked."""
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
@@ -91,5 +101,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op2_quality, op3_warc, op4_secrets, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op9_compact_windows, op10_url_filter, op13_merkle)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_token_counts, op2_quality, op3_warc, op4_secrets, op5_jaccard_join, op6_decontamination, op7_byte_bpe, op8_imatch, op9_compact_windows, op10_url_filter, op11_lm_scoring, op12_whitening, op13_merkle)}
 ORACLES = {"op3_warc": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op6_decontamination": oracles.OP6, "op13_merkle": oracles.OP13}
