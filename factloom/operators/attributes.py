@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from factloom.functions import exprs as X
 from factloom.operators import detect, versions
 from factloom.rules import RuleContext
+from factloom.session import stored
 
 #: When string values are prose rather than an enumeration, samples of a predicate, predicates of a request; fixed values.
 FREE_TEXT_CHARS, FREE_TEXT_VALUES = 20, 8
@@ -127,9 +128,10 @@ def resolve(facts: DataFrame, docs: DataFrame, clusters: DataFrame, texts: DataF
     own = eligible(_whole(facts), docs, source_types)
     known = shard_descriptors(own, docs)
     surface = text_key(F.concat_ws(" ", F.array("predicate"), "samples"))
+    # what is kept is read by every channel, and each step here by several others
     x = clusters.withColumn("pred_fold", X.fold(F.col("alias"))).join(known.select("subject_id", "pred_fold", surface.alias("surface")), ["subject_id", "pred_fold"], "left")
     use = Window.partitionBy("subject_id", "pred_fold").orderBy("cluster", "ord")
-    x = x.withColumn("n", F.when(F.col("surface").isNotNull(), F.row_number().over(use)))
+    x = stored(x.withColumn("n", F.when(F.col("surface").isNotNull(), F.row_number().over(use))), "proposals")
     dropped = x.where("surface is null or n > 1").select("subject_id", "cluster", F.col("alias").alias("what"), F.when(F.col("surface").isNull(), "unknown_predicate").otherwise("used_before").alias("reason"))
     span = text_key(F.coalesce("span", F.lit("")))
     x = x.where("n = 1").withColumn("trusted", (span != "") & F.contains("surface", span)).select("subject_id", "cluster", "canonical_name", "value_kind", "pred_fold", "trusted")
@@ -142,6 +144,7 @@ def resolve(facts: DataFrame, docs: DataFrame, clusters: DataFrame, texts: DataF
     spread = measures.join(dims, ["subject_id", "pred_fold"])
     votes = spread.groupBy("subject_id", "cluster", "dim").agg(F.count("*").alias("votes"))
     chosen = spread.join(votes, ["subject_id", "cluster", "dim"]).groupBy("subject_id", "cluster", "pred_fold").agg(F.min_by("dim", F.struct(-F.col("votes"), "dim")).alias("dimension"), F.count("*").alias("dims"))
+    chosen = stored(chosen, "chosen-units")
     sized = chosen.groupBy("subject_id", "cluster", "dimension").agg(F.count("*").alias("size"))
     biggest = sized.where("size > 1").groupBy("subject_id", "cluster").agg(F.min_by("dimension", F.struct(-F.col("size"), "dimension")).alias("largest"))
     any_unit = votes.select("subject_id", "cluster").distinct().withColumn("any_unit", F.lit(True))
@@ -163,7 +166,7 @@ def resolve(facts: DataFrame, docs: DataFrame, clusters: DataFrame, texts: DataF
     t = texts.where(F.col("value_kind").isin(*TEXT_KINDS)).select("subject_id", "cluster", F.least(text_key(F.col("a")), text_key(F.col("b"))).alias("a"), F.greatest(text_key(F.col("a")), text_key(F.col("b"))).alias("b")).where("a <> '' and b <> '' and a <> b")
     backed = t.join(values.withColumnRenamed("v", "a"), ["subject_id", "a"], "left_semi").join(values.withColumnRenamed("v", "b"), ["subject_id", "b"], "left_semi")
     unbacked = t.join(backed.select("subject_id", "a", "b").distinct(), ["subject_id", "a", "b"], "left_anti").select("subject_id", "cluster", F.concat_ws(" = ", "a", "b").alias("what"), F.lit("value_not_found").alias("reason"))
-    return Resolution(own, bindings, backed.select("subject_id", "a", "b").distinct(), rejected, dropped.unionByName(unbacked))
+    return Resolution(own, stored(bindings, "bindings"), stored(backed.select("subject_id", "a", "b").distinct(), "texts"), stored(rejected, "rejected"), dropped.unionByName(unbacked))
 
 
 def pair_identity(pairs: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -270,7 +273,7 @@ def _items(x: DataFrame, *more: str) -> DataFrame:
 def same_predicate_pairs(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
     """Gated pairs of one predicate with ``c``: what they are once attributes are resolved."""
     f = _whole(facts).join(resolution.facts.select("fact_id", F.lit(True).alias("own")).distinct(), "fact_id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    x = _measured(detect.gated_pairs(f, docs, ctx, True, [*CARRIED, "own"]))
+    x = _measured(detect.gated_pairs(f, docs, ctx, [*CARRIED, "own"]))
     both = F.col("old.own") & F.col("new.own")
     strings = (F.col("old.object_type") == "string") & (F.col("new.object_type") == "string")
     x = texts_equivalent(x, resolution.texts, F.col("old.object_string"), F.col("new.object_string"))
@@ -298,7 +301,7 @@ def merged_channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolut
         bound = bound.join(mixed, ["subject_id", "canonical_key"], "left_anti")
     # an attribute stands in for the predicate, so only its facts meet
     f = bound.withColumn("_literal", F.col("pred_fold")).withColumn("pred_fold", F.col("canonical_key"))
-    x = detect.gated_pairs(f, docs, ctx, True, [*CARRIED, "_literal", "canonical_name", "value_kind", "trusted"]).where("old._literal <> new._literal")
+    x = detect.gated_pairs(f, docs, ctx, [*CARRIED, "_literal", "canonical_name", "value_kind", "trusted"]).where("old._literal <> new._literal")
     x = texts_equivalent(_measured(x), resolution.texts, F.col("old.object_string"), F.col("new.object_string"))
     textual = F.col("old.value_kind").isin(*TEXT_KINDS) & F.col("texts_equivalent")
     c = channel_merged_attribute(F.col("v.verdict"), F.coalesce("v.same_value", F.lit(False)), F.col("equal"), textual, F.col("old.trusted"))
@@ -307,15 +310,23 @@ def merged_channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolut
 
 
 def cross_channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
-    """Review items of number facts of one subject under different predicates that were not merged."""
-    f = _whole(resolution.facts).where("object_type = 'number' and object_number is not null").where(X.normalize_dimension(F.col("measure_unit")).isNotNull())
+    """Review items of number facts of one subject under different predicates that were not merged.
+
+    Facts of one dimension meet by it. Those of two are only of interest where the units
+    have forbidden a merge, so they meet by the predicates of a forbidden merge.
+    """
+    f = _whole(resolution.facts).where("object_type = 'number' and object_number is not null").withColumn("dim", X.normalize_dimension(F.col("measure_unit"))).where("dim is not null")
     bound = resolution.bindings.select("subject_id", "pred_fold", "canonical_key")
     f = f.join(bound, ["subject_id", "pred_fold"], "left")
-    x = detect.gated_pairs(f, docs, ctx, False, [*CARRIED, "canonical_key"]).where("not coalesce(old.canonical_key = new.canonical_key, false)")
-    rejected = resolution.rejected.select("subject_id", F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("split"))
-    x = x.withColumns({"_a": F.least("old.pred_fold", "new.pred_fold"), "_b": F.greatest("old.pred_fold", "new.pred_fold")}).join(rejected, ["subject_id", "_a", "_b"], "left")
-    x = _measured(x).withColumn("c", channel_cross_attribute(F.col("v.verdict"), F.col("v.same_value"), F.coalesce("split", F.lit(False))))
-    return _items(x)
+    kept = [*CARRIED, "canonical_key", "dim"]
+    apart = "not coalesce(old.canonical_key = new.canonical_key, false)"
+    rejected = resolution.rejected.select("subject_id", "a", "b").distinct()
+    near = _measured(detect.gated_pairs_sharing(f, docs, ctx, "dim", kept).where(apart))
+    split = rejected.select("subject_id", F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("split"))
+    near = near.withColumns({"_a": F.least("old.pred_fold", "new.pred_fold"), "_b": F.greatest("old.pred_fold", "new.pred_fold")}).join(split, ["subject_id", "_a", "_b"], "left").drop("_a", "_b")
+    far = _measured(detect.gated_pairs_of(f, docs, ctx, rejected, kept).where(apart).where("old.dim <> new.dim"))
+    x = near.unionByName(far.withColumn("split", F.lit(True)))
+    return _items(x.withColumn("c", channel_cross_attribute(F.col("v.verdict"), F.col("v.same_value"), F.coalesce("split", F.lit(False)))))
 
 
 def channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:

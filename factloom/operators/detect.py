@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
-from factloom.operators import versions
+from factloom.operators import tiles, versions
 from factloom.rules import CONFIDENCE_HEURISTIC, CONFIDENCE_RECALL, CONFIDENCE_STRUCTURAL, INFERRED_ANCHORS, TRUSTED_ANCHORS, RuleContext
 from factloom.session import stored
 
@@ -26,30 +26,48 @@ def live_facts(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame
     return _with_docs(x, docs).where("not superseded")
 
 
-def gated_pairs(facts: DataFrame, docs: DataFrame, ctx: RuleContext, same_predicate: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """``(subject_id, pred_fold, old, new)``: pairs of live facts of one subject with overlapping validity from other documents.
+def _sides(facts: DataFrame, docs: DataFrame, ctx: RuleContext, keep: list[str] | None, also: list[str] | None = None) -> DataFrame:
+    """Live facts as ``subject_id, pred_fold, id`` and a struct ``f`` of what a pair reads; ``also`` names key columns besides."""
+    carried = ["fact_id", "predicate", "pred_fold", "canon_object", "valid_from", "valid_to", X.age_basis(F.col("observed_at"), F.col("valid_from")).alias("basis"), "doc_id", "source_type", "authority", *(keep or [])]
+    return live_facts(facts, docs, ctx).select("subject_id", "pred_fold", F.col("fact_id").alias("id"), *(also or []), F.struct(*carried).alias("f"))
 
-    They have the same predicate, or different ones. Old comes before new: by age basis,
-    undated last, then by id. ``keep`` names further columns that both sides carry.
-    """
-    x = live_facts(facts, docs, ctx).select(
-        "subject_id", "pred_fold", F.struct("fact_id", "predicate", "pred_fold", "canon_object", "valid_from", "valid_to", X.age_basis(F.col("observed_at"), F.col("valid_from")).alias("basis"), "doc_id", "source_type", "authority", *(keep or [])).alias("f")
-    )
-    a, b = x.alias("a"), x.alias("b")
-    same = F.col("a.subject_id") == F.col("b.subject_id")
-    if same_predicate:
-        same = same & (F.col("a.pred_fold") == F.col("b.pred_fold")) & (F.col("a.f.fact_id") < F.col("b.f.fact_id"))
-    else:
-        same = same & (F.col("a.pred_fold") < F.col("b.pred_fold"))
+
+def _gated(a: DataFrame, b: DataFrame, meets: Column) -> DataFrame:
+    """``(subject_id, pred_fold, old, new)`` of the pairs that meet, come from different documents and overlap in validity."""
     apart = ~F.coalesce(F.col("a.f.doc_id") == F.col("b.f.doc_id"), F.lit(False))
     overlap = X.windows_overlap(F.col("a.f.valid_from"), F.col("a.f.valid_to"), F.col("b.f.valid_from"), F.col("b.f.valid_to"))
     far = F.lit(X.FAR).cast("date")
     basis = lambda s: F.struct(F.coalesce(F.col(f"{s}.f.basis"), far), F.col(f"{s}.f.fact_id"))
     a_first = basis("a") <= basis("b")
-    pairs = a.join(b, same & apart & overlap)
-    return pairs.select(
-        F.col("a.subject_id").alias("subject_id"), F.col("a.pred_fold").alias("pred_fold"), F.when(a_first, F.col("a.f")).otherwise(F.col("b.f")).alias("old"), F.when(a_first, F.col("b.f")).otherwise(F.col("a.f")).alias("new")
-    )
+    pairs = a.join(b, meets & apart & overlap)
+    old, new = F.when(a_first, F.col("a.f")).otherwise(F.col("b.f")), F.when(a_first, F.col("b.f")).otherwise(F.col("a.f"))
+    return pairs.select(F.col("a.subject_id").alias("subject_id"), F.least("a.pred_fold", "b.pred_fold").alias("pred_fold"), old.alias("old"), new.alias("new"))
+
+
+def gated_pairs(facts: DataFrame, docs: DataFrame, ctx: RuleContext, keep: list[str] | None = None) -> DataFrame:
+    """``(subject_id, pred_fold, old, new)``: pairs of live facts of one subject and predicate with overlapping validity from other documents.
+
+    Old comes before new: by age basis, undated last, then by id. ``keep`` names further
+    columns that both sides carry. A predicate of a subject with very many facts is spread
+    over tiles.
+    """
+    a, b, same, apart = tiles.within(_sides(facts, docs, ctx, keep), ["subject_id", "pred_fold"], "id")
+    return _gated(a, b, same & ((apart & (F.col("a.id") != F.col("b.id"))) | (~apart & (F.col("a.id") < F.col("b.id")))))
+
+
+def gated_pairs_sharing(facts: DataFrame, docs: DataFrame, ctx: RuleContext, column: str, keep: list[str] | None = None) -> DataFrame:
+    """As :func:`gated_pairs`, of facts under different predicates of one subject that are equal in a column."""
+    a, b, same, apart = tiles.within(_sides(facts, docs, ctx, keep, [column]), ["subject_id", column], "id")
+    differ = F.when(apart, F.col("a.pred_fold") != F.col("b.pred_fold")).otherwise(F.col("a.pred_fold") < F.col("b.pred_fold"))
+    return _gated(a, b, same & differ)
+
+
+def gated_pairs_of(facts: DataFrame, docs: DataFrame, ctx: RuleContext, predicates: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """As :func:`gated_pairs`, of facts under the two predicates of a row of ``predicates (subject_id, a, b)``, each pair of predicates once."""
+    x = _sides(facts, docs, ctx, keep)
+    of = lambda c: x.join(predicates.select("subject_id", F.col(c).alias("pred_fold"), F.struct("a", "b").alias("of")), ["subject_id", "pred_fold"])
+    a, b, same = tiles.between(of("a"), of("b"), ["subject_id", "of"], "id", "id")
+    return _gated(a, b, same)
 
 
 def conflict_pairs(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
@@ -239,24 +257,58 @@ def holders(facts: DataFrame) -> DataFrame:
     return facts.groupBy("pred_fold", "canon_object").agg(F.count_distinct("subject_id").alias("holders"))
 
 
+#: A fact with so many holders or fewer brings them together by itself; more generic ones only in twos.
+RARE = 16
+#: A subject with more generic facts than this is compared by counting, not by combinations of its facts.
+WIDE = 32
+
+
 def shared_fact_pairs(facts: DataFrame) -> DataFrame:
     """``(a, b, shared)``: subjects that share two facts or more, or one that nobody else holds.
 
-    Facts of two holders give pairs by themselves. More generic ones only count in twos,
-    so subjects meet on combinations of two facts, whose groups are far smaller.
+    Facts are ordered by their holders. Pairs that share a rare one meet on it, which gives
+    few pairs a fact. The others share generic facts only, two at least: they meet on
+    combinations of two, whose groups are far smaller. A subject with many generic facts
+    would have too many combinations; its facts are joined with their holders, and counted.
     """
     distinct = facts.select("subject_id", "pred_fold", "canon_object").distinct().join(holders(facts).where("holders > 1"), ["pred_fold", "canon_object"])
-    x = distinct.select("subject_id", "holders", F.xxhash64("pred_fold", "canon_object").alias("k"))
-    rare = x.where("holders = 2")
-    alone = rare.alias("a").join(rare.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.subject_id") < F.col("b.subject_id"))).select(F.col("a.subject_id").alias("a"), F.col("b.subject_id").alias("b"))
-    per = x.groupBy("subject_id").agg(F.array_sort(F.collect_list("k")).alias("ks")).where(F.size("ks") > 1)
+    # read by each of the ways to meet
+    x = stored(distinct.select("subject_id", "holders", F.xxhash64("pred_fold", "canon_object").alias("k")), "held-facts")
+    ordered = F.col("a.subject_id") < F.col("b.subject_id")
+    both = lambda rows: rows.select(F.col("a.subject_id").alias("a"), F.col("b.subject_id").alias("b"))
+    rare = x.where(F.col("holders") <= RARE)
+    met = rare.alias("a").join(rare.alias("b"), (F.col("a.k") == F.col("b.k")) & ordered).select(F.col("a.subject_id").alias("a"), F.col("b.subject_id").alias("b"), (F.col("a.holders") == 2).alias("alone"))
+    generic = x.where(F.col("holders") > RARE)
+    per = generic.groupBy("subject_id").agg(F.count("*").alias("n"))
+    wide = stored(per.where(F.col("n") > WIDE).select("subject_id"), "wide-subjects")
+    some_wide = not wide.isEmpty()
+    narrow = generic.join(wide, "subject_id", "left_anti") if some_wide else generic
+    listed = narrow.groupBy("subject_id").agg(F.array_sort(F.collect_list("k")).alias("ks")).where(F.size("ks") > 1)  # WIDE at most
     twos = F.flatten(F.transform("ks", lambda p, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda q: F.xxhash64(p, q))))
-    y = per.select("subject_id", F.explode(twos).alias("c"))
-    both = y.alias("a").join(y.alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.subject_id") < F.col("b.subject_id"))).select(F.col("a.subject_id").alias("a"), F.col("b.subject_id").alias("b"))
-    pairs = alone.unionAll(both).distinct()
-    keys = x.groupBy("subject_id").agg(F.collect_set("k").alias("ks"))
-    z = pairs.join(keys.select(F.col("subject_id").alias("a"), F.col("ks").alias("ka")), "a").join(keys.select(F.col("subject_id").alias("b"), F.col("ks").alias("kb")), "b")
-    return z.select("a", "b", F.size(F.array_intersect("ka", "kb")).alias("shared"))
+    y = listed.select("subject_id", F.explode(twos).alias("c"))
+    twice = both(y.alias("a").join(y.alias("b"), (F.col("a.c") == F.col("b.c")) & ordered)).distinct()
+    pairs = met.groupBy("a", "b").agg(F.max("alone").alias("alone"))
+    pairs = pairs.unionByName(twice.withColumn("alone", F.lit(False)))
+    if some_wide:
+        of_wide = generic.join(wide, "subject_id", "left_semi").alias("a").join(generic.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.subject_id") != F.col("b.subject_id")))
+        least, most = F.least("a.subject_id", "b.subject_id"), F.greatest("a.subject_id", "b.subject_id")
+        # two wide subjects meet from either side
+        counted = of_wide.groupBy(F.col("a.subject_id").alias("w"), least.alias("a"), most.alias("b")).agg(F.count("*").alias("n")).where("n > 1")
+        pairs = pairs.unionByName(counted.select("a", "b", F.lit(False).alias("alone")))
+    pairs = pairs.groupBy("a", "b").agg(F.max("alone").alias("alone"))
+    if not some_wide:
+        keys = x.groupBy("subject_id").agg(F.collect_set("k").alias("ks"))
+        z = pairs.join(keys.select(F.col("subject_id").alias("a"), F.col("ks").alias("ka")), "a").join(keys.select(F.col("subject_id").alias("b"), F.col("ks").alias("kb")), "b")
+        z = z.select("a", "b", "alone", F.size(F.array_intersect("ka", "kb")).alias("shared"))
+    else:
+        # the facts of the one with fewer are looked up in the other's, so that no long list travels with every pair
+        sizes = x.groupBy("subject_id").agg(F.count("*").alias("n"))
+        sized = pairs.join(sizes.select(F.col("subject_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("subject_id").alias("b"), F.col("n").alias("nb")), "b")
+        fewer = F.col("na") <= F.col("nb")
+        asked = sized.select("a", "b", "alone", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("subject_id"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+        asked = asked.join(x.select("subject_id", "k"), "subject_id").select("a", "b", "alone", F.col("other").alias("subject_id"), "k")
+        z = asked.join(x.select("subject_id", "k"), ["subject_id", "k"], "left_semi").groupBy("a", "b", "alone").agg(F.count("*").cast("int").alias("shared"))
+    return z.where("shared > 1 or alone").select("a", "b", "shared")
 
 
 def _entity_facts(facts: DataFrame) -> DataFrame:
@@ -329,10 +381,11 @@ def duplicates(entities: DataFrame, facts: DataFrame, docs: DataFrame | None = N
     x = recalled(pairs, entities, least_cosine)
     # read twice below
     x = stored(x, "recalled-pairs")
-    s = shared_facts(x, f).join(holders(f), ["pred_fold", "canon_object"])
+    both = stored(shared_facts(x, f).select("a", "b", "recall", "pred_fold", "canon_object", "doc_id_a", "doc_id_b"), "facts-in-common")
+    s = both.join(holders(f), ["pred_fold", "canon_object"])
     s = s.groupBy("a", "b", "recall").agg(F.count("*").alias("shared"), F.min("holders").alias("holders")).where("shared > 1 or holders <= 2")
     if docs is not None:
-        own = shared_facts(x, f).select("a", "b", F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).where("doc_id is not null").distinct()
+        own = both.select("a", "b", F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).where("doc_id is not null").distinct()
         own = own.join(versions.components(docs), "doc_id", "left")
         one = own.groupBy("a", "b").agg(F.count("*").alias("docs"), F.count("chain").alias("known"), F.count_distinct("chain").alias("chains"))
         s = s.join(one.where("docs > 1 and known = docs and chains = 1"), ["a", "b"], "left_anti")

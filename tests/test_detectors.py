@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import date
 
 import pytest
@@ -272,3 +273,42 @@ def test_ways_to_the_newest_edition(spark):
     steps = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 100)], "doc_id long, new_id long")
     nodes = spark.createDataFrame([(k,) for k in [*range(1, 42), 100, 101]], "doc_id long")
     assert {r.doc_id: r.head_id for r in versions.ends(steps, nodes).collect()} == {**{k: 40 for k in range(1, 41)}, 41: 41}
+
+
+def _shared_pairs(facts):
+    """By brute force: pairs of subjects with two shared facts or more, or one of two holders."""
+    held = {}
+    for s, p, o in facts:
+        held.setdefault((p, o), set()).add(s)
+    own = {}
+    for key, subjects in held.items():
+        for s in subjects:
+            own.setdefault(s, set()).add(key)
+    names = sorted(own)
+    out = set()
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            both = own[a] & own[b]
+            if len(both) > 1 or any(len(held[k]) == 2 for k in both):
+                out.add((a, b, len(both)))
+    return out
+
+
+@pytest.mark.parametrize("wide", [2, 4, 1000])
+def test_shared_fact_pairs_by_every_way_to_meet(spark, monkeypatch, wide):
+    pick = random.Random(wide)
+    facts = [(s, f"p{pick.randrange(4)}", str(int(pick.paretovariate(0.6)) % 30)) for s in range(120) for _ in range(pick.choice([1, 2, 3, 12]))]
+    facts += [(500, p, o) for p in ("p0", "p1", "p2", "p3") for o in map(str, range(30))] + [(501, "p0", str(o)) for o in range(25)]
+    monkeypatch.setattr(detect, "RARE", 5)
+    monkeypatch.setattr(detect, "WIDE", wide)
+    got = {tuple(r) for r in detect.shared_fact_pairs(spark.createDataFrame(facts, "subject_id long, pred_fold string, canon_object string")).collect()}
+    want = _shared_pairs(facts)
+    assert got == want and len(want) > 100
+
+
+def test_a_subject_with_5000_shared_facts(spark):
+    wide = spark.range(5_000).selectExpr("0 as subject_id", "'p' as pred_fold", "cast(id as string) as canon_object")
+    others = spark.range(200_000).selectExpr("cast(1 + id % 4000 as int) as subject_id", "'p' as pred_fold", "cast(xxhash64(id) % 5000 as string) as canon_object")
+    got = detect.shared_fact_pairs(wide.unionByName(others).select(F.col("subject_id").cast("long"), "pred_fold", "canon_object"))
+    mine = others.where("canon_object >= '0'").select("subject_id", "canon_object").distinct().groupBy("subject_id").agg(F.count("*").alias("n")).where("n > 1")
+    assert got.where("a = 0").count() == mine.count() > 3000
