@@ -11,15 +11,20 @@ a, b)``, a row for each two values that are said to mean the same.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
 from factloom.operators import detect, versions
+from factloom.ordering import numbered
 from factloom.rules import RuleContext
 from factloom.session import stored
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: When string values are prose rather than an enumeration, samples of a predicate, predicates of a request; fixed values.
 FREE_TEXT_CHARS, FREE_TEXT_VALUES = 20, 8
 SAMPLES, BUDGET = 6, 60
@@ -66,30 +71,51 @@ def shard_descriptors(facts: DataFrame, docs: DataFrame) -> DataFrame:
     return per.join(samples, key).select(*key, "predicate", F.transform("s", lambda v: v["_s"]).alias("samples"), "source_docs", "source_types")
 
 
+#: Subjects of a run whose requests are filled in one task.
+RUN = 20_000
+
+
+def _filler(budget: int):
+    """How requests fill up along a run of subjects, from any filling at its start.
+
+    Returns ``filled(sizes, pieces, start)``: for each filling in ``start``, the filling at
+    the end and the number of requests opened, and the request of each subject counted
+    from those opened before. 0 is no open request.
+    """
+    import numpy as np  # the closures are sent to workers by value
+
+    def filled(sizes, pieces, start):
+        filling, opened = np.array(start), np.zeros(len(start), np.int64)
+        places = np.zeros((len(sizes), len(start)), np.int64)
+        for k, (n, cut) in enumerate(zip(sizes, pieces, strict=True)):
+            if n > budget:
+                places[k] = opened
+                opened = opened + cut
+                filling = np.zeros_like(filling)
+            else:
+                opens = (filling == 0) | (filling + n > budget)
+                opened = opened + opens
+                filling = np.where(opens, n, filling + n)
+                places[k] = opened - 1
+        return filling, opened, places
+
+    return filled
+
+
 def pack_shards(descriptors: DataFrame, names: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``(pack, place, subject_id, pred_fold, split)``: subjects of two predicates or more, in requests of up to ``budget`` predicates.
+    """``(pack, subject_id, pred_fold, split)``: subjects of two predicates or more, in requests of up to ``budget`` predicates, numbered from 0.
 
     Subjects keep together and come in the order of their names; one with more predicates is
-    cut by the first document of its predicates, and has requests of its own. Only a number
-    for each subject is in one sequence, as the filling of requests is.
+    cut by the first document of its predicates, and has requests of its own. How a request
+    fills up depends on all subjects before it, so runs of subjects are worked off for
+    every filling that they may begin with; what each run really begins with follows from
+    these tables, a row of numbers for each run, and its requests from that.
     """
-    per = descriptors.groupBy("subject_id").agg(F.count("*").alias("n")).where("n > 1").join(names.select("subject_id", "name"), "subject_id", "left")
-    order = Window.partitionBy(F.lit(0)).orderBy("name", "subject_id")
-    state = F.struct(F.lit(-1).alias("pack"), F.lit(0).alias("filled"), F.array().cast("array<struct<subject_id:string,pack:int,large:boolean>>").alias("out"))
-
-    def put(acc: Column, s: Column) -> Column:
-        large = s["n"] > budget
-        opens = large | (acc["filled"] == 0) | (acc["filled"] + s["n"] > budget)
-        pack = acc["pack"] + opens.cast("int")
-        return F.struct(pack.alias("pack"), F.when(large, 0).when(opens, s["n"]).otherwise(acc["filled"] + s["n"]).alias("filled"), F.concat(acc["out"], F.array(F.struct(s["id"].alias("subject_id"), pack.alias("pack"), large.alias("large")))).alias("out"))
-
-    # a piece of the sequence for every 1,000 subjects, so that arrays stay short; a new piece opens a new request
-    piece = per.select(F.col("subject_id").cast("string").alias("id"), F.col("n").cast("int").alias("n"), F.floor((F.row_number().over(order) - 1) / 1000).alias("piece"), F.row_number().over(order).alias("r"))
-    lists = piece.groupBy("piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id", "n"))), lambda v: F.struct(v["id"].alias("id"), v["n"].alias("n"))).alias("s"))
-    placed = lists.select("piece", F.explode(F.aggregate("s", state, put, lambda acc: acc["out"])).alias("p")).select("piece", "p.*")
-    rows = descriptors.withColumn("subject_id", F.col("subject_id").cast("string")).join(placed, "subject_id")
     first_doc = F.coalesce(F.get("source_docs", F.lit(0)), F.lit(""))
-    group = rows.where("large").groupBy("piece", "pack", "subject_id", first_doc.alias("doc")).agg(F.count("*").cast("int").alias("n"))
+    rows = stored(descriptors.select(F.col("subject_id").cast("string").alias("subject_id"), "pred_fold", "predicate", first_doc.alias("doc")), "shards")
+    per = rows.groupBy("subject_id").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    # subjects over the budget: their documents in the order of predicates, filled up to the budget
+    docs = rows.join(per.where(F.col("n") > budget), "subject_id").groupBy("subject_id", "doc").agg(F.min("predicate").alias("first"), F.count("*").cast("int").alias("n"))
     filling = F.struct(F.lit(0).alias("part"), F.lit(0).alias("filled"), F.array().cast("array<struct<doc:string,part:int>>").alias("out"))
 
     def fill(acc: Column, g: Column) -> Column:
@@ -97,12 +123,35 @@ def pack_shards(descriptors: DataFrame, names: DataFrame, budget: int = BUDGET)
         part = acc["part"] + opens.cast("int")
         return F.struct(part.alias("part"), F.when(opens, g["n"]).otherwise(acc["filled"] + g["n"]).alias("filled"), F.concat(acc["out"], F.array(F.struct(g["doc"].alias("doc"), part.alias("part")))).alias("out"))
 
-    cuts = group.groupBy("piece", "pack", "subject_id").agg(F.array_sort(F.collect_list(F.struct("doc", "n"))).alias("g"))
-    cuts = cuts.select("piece", "pack", "subject_id", F.explode(F.aggregate("g", filling, fill, lambda acc: acc["out"])).alias("c")).select("piece", "pack", "subject_id", "c.doc", "c.part")
-    small = rows.where("not large").withColumn("part", F.lit(0))
-    large = rows.where("large").withColumn("doc", first_doc).join(cuts, ["piece", "pack", "subject_id", "doc"]).drop("doc")
-    out = small.unionByName(large)
-    return out.select(F.concat_ws("-", "piece", "pack", "part").alias("pack"), "subject_id", "pred_fold", F.col("large").alias("split"))
+    listed = docs.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("first", "doc", "n"))).alias("g"))  # the documents of one subject
+    cuts = stored(listed.select("subject_id", F.explode(F.aggregate("g", filling, fill, lambda acc: acc["out"])).alias("c")).select("subject_id", "c.doc", "c.part"), "cuts")
+    pieces = cuts.groupBy("subject_id").agg((F.max("part") + 1).alias("pieces"))
+    order = per.join(pieces, "subject_id", "left").join(names.select(F.col("subject_id").cast("string").alias("subject_id"), "name"), "subject_id", "left")
+    order = numbered(order.withColumn("pieces", F.coalesce("pieces", F.lit(1))), [F.col("name").asc_nulls_first(), F.col("subject_id").asc()], "at", "shard-order")
+    runs = stored(order.select("subject_id", "n", "pieces", "at", F.floor(F.col("at") / RUN).alias("run")), "shard-runs")
+    filled, states = _filler(budget), list(range(budget + 1))
+
+    def ends(run: "pd.DataFrame") -> "pd.DataFrame":
+        import pandas as pd
+
+        run = run.sort_values("at")
+        filling, opened, _ = filled(run["n"], run["pieces"], states)
+        return pd.DataFrame({"run": [run["run"].iloc[0]], "filling": [filling.tolist()], "opened": [opened.tolist()]})
+
+    start, first, begins = 0, 0, []
+    for r in sorted(runs.groupBy("run").applyInPandas(ends, "run bigint, filling array<bigint>, opened array<bigint>").collect()):  # budget numbers for RUN subjects
+        begins.append((r.run, start, first))
+        start, first = r.filling[start], first + r.opened[start]
+
+    def places(run: "pd.DataFrame") -> "pd.DataFrame":
+        run = run.sort_values("at")
+        _, _, at = filled(run["n"], run["pieces"], [run["filling"].iloc[0]])
+        return run.assign(pack=run["first"] + at[:, 0])[["subject_id", "n", "pack"]]
+
+    known = descriptors.sparkSession.createDataFrame(begins, "run bigint, filling int, first bigint")
+    placed = runs.join(known, "run").groupBy("run").applyInPandas(places, "subject_id string, n int, pack bigint")
+    out = rows.join(placed, "subject_id").join(cuts, ["subject_id", "doc"], "left")
+    return out.select((F.col("pack") + F.coalesce("part", F.lit(0))).alias("pack"), "subject_id", "pred_fold", (F.col("n") > budget).alias("split"))
 
 
 @dataclass

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +16,13 @@ from factloom.rules import DECISIONS, DRIFT_STATUS, DRIFT_TYPES, FAIL_ON_RANK, R
 
 def new_findings(found: DataFrame, known: DataFrame) -> DataFrame:
     """Findings whose fingerprint is not known, whatever its status, once for each fingerprint."""
-    fresh = found.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
-    return fresh.dropDuplicates(["fingerprint"])
+    return first_findings(found.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti"))
+
+
+def first_findings(found: DataFrame) -> DataFrame:
+    """Each fingerprint once: of several rows the first by all that they say, so that a scan that runs again keeps the same one."""
+    row = F.struct(*found.columns)
+    return found.groupBy(F.col("fingerprint").alias("_fp")).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
 
 
 def suppressed_findings(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -126,18 +135,24 @@ def fact_records(facts: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def knowledge_hash(records: DataFrame) -> DataFrame:
-    """One hash of the records of :func:`fact_records`, in any order: SHA-256 of the sorted records, a line each. For up to about a million facts."""
-    lines = F.array_sort(F.collect_list("record"))
-    text = F.when(F.size(lines) == 0, "").otherwise(F.concat(F.array_join(lines, "\n"), F.lit("\n")))
-    return records.agg(F.sha2(text, 256).alias("knowledge_hash"), F.count("*").alias("facts"))
+    """One hash of the records of :func:`fact_records`, in any order: SHA-256 of the sorted records, a line each.
 
+    The definition is one sequence of bytes, so one task reads the sorted lines; it holds a
+    batch of them at a time, and Spark's sort spills. Only the lines are sent to it.
+    """
 
-def knowledge_hash_by_bucket(records: DataFrame, bits: int = 12) -> DataFrame:
-    """A hash for any number of records: of the sorted hashes of the sorted records of each hash bucket."""
-    record = records.select(F.sha2("record", 256).alias("r"))
-    bucket = F.substring("r", 1, bits // 4).alias("bucket")
-    per = record.groupBy(bucket).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("r")), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    return per.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", "h"))), "\n"), 256).alias("knowledge_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("facts"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, n = hashlib.sha256(), 0
+        for batch in batches:
+            for line in batch.column(0):
+                hashed.update(line.as_py().encode() + b"\n")
+            n += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"hash": [hashed.hexdigest()], "n": [n]})
+
+    lines = records.select("record").repartition(1).sortWithinPartitions("record")
+    # no rows may mean no task
+    one = lines.mapInArrow(run, "hash string, n bigint").agg(F.max("hash").alias("h"), F.sum("n").alias("n"))
+    return one.select(F.coalesce("h", F.lit(hashlib.sha256(b"").hexdigest())).alias("knowledge_hash"), F.coalesce("n", F.lit(0)).alias("facts"))
 
 
 def snapshot_membership(facts: DataFrame) -> DataFrame:
@@ -145,6 +160,14 @@ def snapshot_membership(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count_distinct("fact_id").alias("facts"), F.count_distinct("subject_id").alias("entities"))
 
 
+def snapshot_entities(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(entity_id)``: the entities that a snapshot holds, those that a fact is about or names as its object."""
+    about = facts.select(F.col("subject_id").cast("string").alias("entity_id"))
+    if "object_entity_id" in facts.columns:
+        about = about.unionAll(facts.select(F.col("object_entity_id").cast("string")))
+    return entities.select(F.col("entity_id").cast("string").alias("entity_id")).join(about, "entity_id", "left_semi").distinct()
+
+
 #: Findings that are rolled up by document, and how many make a group; fixed values.
 GROUPED_TYPES, GROUP_LEAST = ("confirmed_stale", "possibly_stale"), 2
 SELF_DECLARED = "document_self_declared_expired"

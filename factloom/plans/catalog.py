@@ -345,6 +345,14 @@ def shard_descriptors(s, d):
     return x.select("subject_id", "pred_fold", "predicate", F.array_join("samples", "; ").alias("samples"), F.size("source_docs").alias("docs"))
 
 
+@query
+def pack_shards(s, d):
+    """Requests of up to seven predicates."""
+    docs = P.documents(s, d)
+    x = attributes.shard_descriptors(attributes.eligible(P.facts(s, d), docs), docs)
+    return attributes.pack_shards(x, P.entities(s, d).select(F.col("entity_id").alias("subject_id"), "name"), 7)
+
+
 _ITEM = ["subject_id", "fact_a", "fact_b", "kind", "reason"]
 
 

@@ -225,6 +225,10 @@ ORACLES = {
     "shard_descriptors": f"""{_with(_EDITIONS, _FACTS, _OWN)}, v AS (SELECT subject_id, pred_fold, split_part(canon, '|', 3) || ' ' || CASE dim WHEN 'box' THEN 'Box' ELSE dim END AS v, min(fact_id) AS first_id FROM own GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY subject_id, pred_fold ORDER BY first_id) AS n FROM v), g AS (SELECT subject_id, pred_fold, string_agg(v, '; ' ORDER BY n) AS samples FROM r WHERE n <= 6 GROUP BY 1, 2)
       SELECT g.subject_id, g.pred_fold, min(predicate) AS predicate, min(samples) AS samples, count(DISTINCT doc_id)::INTEGER AS docs FROM g JOIN own USING (subject_id, pred_fold) GROUP BY 1, 2""",
+    "pack_shards": f"""{_with(_EDITIONS, _FACTS, _OWN).replace("WITH ", "WITH RECURSIVE ", 1)}, s AS (SELECT subject_id, count(DISTINCT pred_fold) AS n FROM own GROUP BY 1 HAVING count(DISTINCT pred_fold) > 1),
+      o AS (SELECT subject_id, n, row_number() OVER (ORDER BY p_name NULLS FIRST, subject_id::VARCHAR) AS i FROM s LEFT JOIN part ON p_partkey = subject_id),
+      p AS (SELECT i, n AS filled, 0 AS pack FROM o WHERE i = 1 UNION ALL SELECT o.i, CASE WHEN filled + n > 7 THEN n ELSE filled + n END, pack + CASE WHEN filled + n > 7 THEN 1 ELSE 0 END FROM p JOIN o ON o.i = p.i + 1)
+      SELECT DISTINCT pack::BIGINT AS pack, subject_id::VARCHAR AS subject_id, pred_fold, false AS split FROM p JOIN o USING (i) JOIN own USING (subject_id)""",
     "conflict_channels_identity_a": f"""{_BASE}, {_GATED.format(predicate='a.pred_fold = b.pred_fold AND a.fact_id < b.fact_id')}, c AS (SELECT *, o.source_type = 'pricing' AND n.source_type = 'pricing' AS own FROM pair)
       SELECT o.subject_id, o.fact_id AS fact_a, n.fact_id AS fact_b, CASE WHEN own AND o.dim <> n.dim THEN 'cross_attribute_review' ELSE 'conflict' END AS kind, CASE WHEN own AND o.dim <> n.dim THEN 'measure_anchor_conflict' END AS reason
       FROM c WHERE CASE WHEN own THEN o.dim <> n.dim OR o.num <> n.num ELSE o.num <> n.num END""",

@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.remember import fact_records, knowledge_hash_by_bucket, new_findings
+from factloom.operators.remember import fact_records, first_findings, knowledge_hash, new_findings, snapshot_entities
 
 MANIFEST = "scan_id string, table string, folder string, at bigint, rows bigint, entities bigint, knowledge_hash string, parent string"
 AUDIT = "scan_id string, status string, at bigint, findings bigint, suppressed bigint, error string"
@@ -66,7 +66,7 @@ def append_findings(found: DataFrame, root: str, scan_id: str) -> DataFrame:
     """Append the findings that no other published scan knows, and return them as stored."""
     spark = found.sparkSession
     known = stored_rows(spark, root, "findings", without=scan_id)
-    fresh = new_findings(found, known) if known is not None else found.dropDuplicates(["fingerprint"])
+    fresh = new_findings(found, known) if known is not None else first_findings(found)
     folder = _fresh(root, "findings")
     fresh.write.parquet(folder)
     out = spark.read.parquet(folder)
@@ -78,11 +78,13 @@ def append_snapshot(facts: DataFrame, entities: DataFrame, root: str, scan_id: s
     """Append the membership of a snapshot, with its counts, time, hash and the snapshot before it; returns the hash."""
     spark = facts.sparkSession
     before = latest_snapshot(spark, root, without=scan_id)
-    folder = _fresh(root, "snapshot_facts")
+    folder, things = _fresh(root, "snapshot_facts"), _fresh(root, "snapshot_entities")
     facts.select("fact_id", "subject_id").write.parquet(folder)
-    row = knowledge_hash_by_bucket(fact_records(facts, entities)).first()
-    entities = spark.read.parquet(folder).agg(F.count_distinct("subject_id")).first()[0]
-    _publish(spark, root, {"scan_id": scan_id, "table": "snapshot_facts", "folder": folder, "rows": row.facts, "entities": entities, "knowledge_hash": row.knowledge_hash, "parent": before.scan_id if before else None})
+    snapshot_entities(facts, entities).write.parquet(things)
+    row = knowledge_hash(fact_records(facts, entities)).first()
+    held = spark.read.parquet(folder).agg(F.count_distinct("subject_id")).first()[0]
+    _publish(spark, root, {"scan_id": scan_id, "table": "snapshot_entities", "folder": things, "rows": spark.read.parquet(things).count()})
+    _publish(spark, root, {"scan_id": scan_id, "table": "snapshot_facts", "folder": folder, "rows": row.facts, "entities": held, "knowledge_hash": row.knowledge_hash, "parent": before.scan_id if before else None})
     return row.knowledge_hash
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
+import random
+
 import pytest
 
 from factloom.operators import attributes, detect
@@ -165,3 +167,53 @@ def test_requests_hold_up_to_a_budget(make, spark):
     sizes = sorted((sorted({s for s, _, _ in v}), len(v)) for v in packs.values())
     assert sizes == [(["1", "2"], 5), (["4"], 4), (["4"], 5), (["5"], 2)]
     assert all(split == (s == "4") for v in packs.values() for s, _, split in v)
+
+
+def loop(subjects, budget):
+    """Requests by one loop over ``(subject, name, [(predicate, first document)])``."""
+    packs, current = [], []
+    for subject, _, predicates in sorted(subjects, key=lambda s: (s[1], str(s[0]))):
+        if len(predicates) < 2:
+            continue
+        if len(predicates) > budget:
+            packs += [current] if current else []
+            current = []
+            groups: dict = {}
+            for p, doc in sorted(predicates):
+                groups.setdefault(doc, []).append(p)
+            piece: list = []
+            for ps in groups.values():
+                if piece and len(piece) + len(ps) > budget:
+                    packs.append(piece)
+                    piece = []
+                piece = piece + [(subject, p, True) for p in ps]
+            packs.append(piece)
+            continue
+        if len(current) + len(predicates) > budget:
+            packs.append(current)
+            current = []
+        current = current + [(subject, p, False) for p, _ in predicates]
+    return packs + ([current] if current else [])
+
+
+@pytest.mark.parametrize(("n", "run", "budget"), [(10_000, 20_000, 60), (3_000, 500, 60), (1_500, 7, 9), (1_500, 20_000, 60)])
+def test_requests_equal_a_loop(spark, monkeypatch, n, run, budget):
+    pick = random.Random(n + run)
+    subjects = []
+    for s in range(n):
+        size = pick.choice([1, 2, 2, 3, 5, 9, 30]) if pick.random() < 0.99 else budget + pick.randrange(1, 50)
+        subjects.append((str(s), f"n{pick.randrange(n // 2)}", [(f"p{k:03d}", f"d{pick.randrange(4)}") for k in range(size)]))
+    monkeypatch.setattr(attributes, "RUN", run)
+    rows = [(s, p, p, [doc]) for s, _, ps in subjects for p, doc in ps]
+    d = spark.createDataFrame(rows, "subject_id string, pred_fold string, predicate string, source_docs array<string>").repartition(4)
+    names = spark.createDataFrame([(s, name) for s, name, _ in subjects], "subject_id string, name string")
+    got: dict = {}
+    for x in attributes.pack_shards(d, names, budget).collect():
+        got.setdefault(x.pack, set()).add((x.subject_id, x.pred_fold, x.split))
+    want = loop(subjects, budget)
+    assert [got.get(k) for k in range(len(want))] == [set(p) for p in want] and len(got) == len(want)
+
+
+def test_no_subject_to_pack(spark):
+    d = spark.createDataFrame([], "subject_id string, pred_fold string, predicate string, source_docs array<string>")
+    assert attributes.pack_shards(d, spark.createDataFrame([], "subject_id string, name string")).collect() == []
