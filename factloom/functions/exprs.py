@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions.unicode import narrowed
-from factloom.rules import SEVERITY_RANK, RuleContext
+from factloom.rules import SEVERITY_RANK
 
 FAR = "9999-12-31"
 
@@ -48,14 +48,6 @@ def fold(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
-def severity_override(source_type: Column, ctx: RuleContext) -> Column:
-    """The configured severity for a change in a source of this type; null if none."""
-    out = F.lit(None).cast("string")
-    for key, severity in ctx.severity.items():
-        out = F.when(source_type == key.removesuffix("_change"), severity).otherwise(out)
-    return out
-
-
 def severity_rank(severity: Column) -> Column:
     out = F.lit(0)
     for name, rank in SEVERITY_RANK.items():

@@ -20,15 +20,13 @@ def _with_docs(facts: DataFrame, docs: DataFrame) -> DataFrame:
 
 def live_facts(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
     """Facts that can be in conflict: not expired, not in a replaced document, of single-valued predicates."""
-    x = facts.where(~X.expired_before(F.col("valid_to"), F.lit(ctx.as_of)))
-    if ctx.multi_valued:
-        x = x.where(~F.col("pred_fold").isin(*sorted(ctx.multi_valued)))
+    x = facts.where(~X.expired_before(F.col("valid_to"), ctx.today()) & ~F.coalesce(ctx.is_multi_valued(F.col("pred_fold")), F.lit(False)))
     return _with_docs(x, docs).where("not superseded")
 
 
 def _sides(facts: DataFrame, docs: DataFrame, ctx: RuleContext, keep: list[str] | None, also: list[str] | None = None) -> DataFrame:
     """Live facts as ``subject_id, pred_fold, id`` and a struct ``f`` of what a pair reads; ``also`` names key columns besides."""
-    carried = ["fact_id", "predicate", "pred_fold", "canon_object", "valid_from", "valid_to", X.age_basis(F.col("observed_at"), F.col("valid_from")).alias("basis"), "doc_id", "source_type", "authority", *(keep or [])]
+    carried = ["fact_id", "predicate", "pred_fold", "canon_object", "valid_from", "valid_to", X.age_basis(F.col("observed_at"), F.col("valid_from")).alias("basis"), "doc_id", "source_type", "authority", *ctx.columns, *(keep or [])]
     return live_facts(facts, docs, ctx).select("subject_id", "pred_fold", F.col("fact_id").alias("id"), *(also or []), F.struct(*carried).alias("f"))
 
 
@@ -80,7 +78,7 @@ def conflicts(facts: DataFrame, docs: DataFrame, ctx: RuleContext, pairs: DataFr
 
     ``pairs`` stand in for :func:`conflict_pairs` where attributes have been resolved.
     """
-    rank = lambda side: F.coalesce(X.severity_rank(X.severity_override(F.col(f"{side}.source_type"), ctx)), F.lit(0))
+    rank = lambda side: F.coalesce(X.severity_rank(ctx.severity_of(F.col(f"{side}.source_type"), f"{side}.")), F.lit(0))
     severity = X.severity_name(F.greatest(F.lit(3), rank("old"), rank("new")))
     ids = F.array_sort(F.array("old.fact_id", "new.fact_id"))
     return (conflict_pairs(facts, docs, ctx) if pairs is None else pairs).select(
@@ -104,7 +102,7 @@ def conflicts(facts: DataFrame, docs: DataFrame, ctx: RuleContext, pairs: DataFr
 def superseded(docs: DataFrame, ctx: RuleContext) -> DataFrame:
     """A finding for each document with a declared successor."""
     x = docs.join(versions.successors(docs), "doc_id")
-    severity = F.coalesce(X.severity_override(F.col("source_type"), ctx), F.lit("medium"))
+    severity = F.coalesce(ctx.severity_of(F.col("source_type")), F.lit("medium"))
     return x.select(
         F.lit("superseded").alias("drift_type"),
         F.col("doc_id").alias("old_document_id"),
@@ -124,9 +122,9 @@ def _trusted(anchor: Column) -> Column:
 def _age(x: DataFrame, ctx: RuleContext) -> DataFrame:
     """Facts with documents and their ``days``, whether they are ``over`` the limit, and what silences that: ``quiet``."""
     pricing = F.coalesce(F.col("source_type") == "pricing", F.lit(False))
-    days = F.datediff(F.lit(ctx.as_of), X.age_basis(F.col("observed_at"), F.col("valid_from")))
-    over = F.coalesce(days > F.when(pricing, ctx.pricing_days).otherwise(ctx.stale_after_days), F.lit(False))
-    annual = pricing & F.coalesce((F.year("valid_from") == ctx.as_of.year) & (F.month("valid_from") == 1) & (F.dayofmonth("valid_from") == 1), F.lit(False))
+    days = F.datediff(ctx.today(), X.age_basis(F.col("observed_at"), F.col("valid_from")))
+    over = F.coalesce(days > ctx.age_limit(pricing), F.lit(False))
+    annual = pricing & F.coalesce((F.year("valid_from") == F.year(ctx.today())) & (F.month("valid_from") == 1) & (F.dayofmonth("valid_from") == 1), F.lit(False))
     current = F.col("group_id").isNotNull() & ~F.col("superseded")
     quiet = F.when(F.col("valid_to").isNull(), F.when(current, "current_edition").when(annual, "annual_rate"))
     return x.withColumns({"days": days, "over": over, "quiet": quiet})
@@ -143,9 +141,8 @@ def stale(facts: DataFrame, docs: DataFrame, ctx: RuleContext, restated: DataFra
     Metadata that stays true of its document and a document's statement of its own end give
     none; nor do facts in ``restated`` ``(fact_id)`` that are only replaced, not expired.
     """
-    as_of = F.lit(ctx.as_of)
-    x = facts if not ctx.immutable else facts.where(~F.col("pred_fold").isin(*sorted(ctx.immutable)))
-    x = x.where(~is_statement(ctx))
+    as_of = ctx.today()
+    x = facts.where(~F.coalesce(ctx.is_immutable(F.col("pred_fold")), F.lit(False))).where(~is_statement(ctx))
     x = _with_docs(x, docs).join(versions.successors(docs).select("doc_id", "new_id", "new_parsed_at"), "doc_id", "left")
     x = _age(x, ctx)
     expired = X.expired_before(F.col("valid_to"), as_of)
@@ -158,7 +155,7 @@ def stale(facts: DataFrame, docs: DataFrame, ctx: RuleContext, restated: DataFra
     kind = F.when(trusted | replaced, "confirmed_stale").when(inferred | aged, "possibly_stale")
     signals = F.concat_ws("+", F.when(trusted, "valid_to_expired"), F.when(replaced, "superseding_source"))
     reason = F.when(trusted | replaced, signals).when(inferred, "inferred_validity_expired").when(aged, "age_over_threshold")
-    severity = F.when(kind == "confirmed_stale", F.coalesce(X.severity_override(F.col("source_type"), ctx), F.lit("medium"))).otherwise("warning")
+    severity = F.when(kind == "confirmed_stale", F.coalesce(ctx.severity_of(F.col("source_type")), F.lit("medium"))).otherwise("warning")
     effective = F.when(expired, X.at_midday(F.col("valid_to"))).when(replaced, X.at_midday(F.col("new_parsed_at")))
     return x.where(kind.isNotNull()).select(
         kind.alias("drift_type"),
@@ -184,7 +181,8 @@ def is_statement(ctx: RuleContext) -> Column:
     for prefix in ctx.statement_prefixes:
         named = named | F.col("pred_fold").startswith(prefix)
     ends = F.coalesce(F.regexp_extract("canon_object", r"^scalar\|(?:date|string)\|(\d{4}-\d{2}-\d{2})$", 1) == F.date_format("valid_to", "yyyy-MM-dd"), F.lit(False))
-    return F.coalesce(named, F.lit(False)) & ends & X.expired_before(F.col("valid_to"), F.lit(ctx.as_of)) & _trusted(F.col("valid_to_anchor"))
+    # few facts are named so, and only these are looked at further
+    return F.when(F.coalesce(named, F.lit(False)), ends & X.expired_before(F.col("valid_to"), ctx.today()) & _trusted(F.col("valid_to_anchor"))).otherwise(F.lit(False))
 
 
 def statement_documents(facts: DataFrame, ctx: RuleContext) -> DataFrame:
@@ -195,8 +193,8 @@ def statement_documents(facts: DataFrame, ctx: RuleContext) -> DataFrame:
 def expired_documents(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFrame:
     """Documents that declare their own expiry and have no successor: one card each, for the first statement by id."""
     x = _with_docs(facts.where(is_statement(ctx)), docs).where("doc_id is not null and not superseded")
-    severity = F.coalesce(X.severity_override(F.col("source_type"), ctx), F.lit("medium"))
-    first = F.min_by(F.struct("fact_id", "subject_id", "predicate", "valid_to", "valid_to_anchor", "source_type"), "fact_id").alias("s")
+    severity = F.coalesce(ctx.severity_of(F.col("source_type")), F.lit("medium"))
+    first = F.min_by(F.struct("fact_id", "subject_id", "predicate", "valid_to", "valid_to_anchor", "source_type", *ctx.columns), "fact_id").alias("s")
     return x.groupBy("doc_id").agg(first).select("doc_id", "s.*").select(
         F.lit("confirmed_stale").alias("drift_type"),
         "doc_id",
@@ -220,7 +218,7 @@ def reused_values(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFr
     """
     x = _with_docs(facts, docs).withColumn("dim", X.normalize_dimension(F.col("measure_unit")))
     x = x.where((F.col("object_type") == "number") & F.col("dim").isNotNull())
-    current = x.where(~F.col("superseded") & X.window_is_current(F.col("valid_from"), F.col("valid_to"), F.lit(ctx.as_of)) & F.col("doc_id").isNotNull())
+    current = x.where(~F.col("superseded") & X.window_is_current(F.col("valid_from"), F.col("valid_to"), ctx.today()) & F.col("doc_id").isNotNull())
     current = current.join(statement_documents(facts, ctx), "doc_id", "left_anti")
     dead = x.where("superseded and group_id is not null").join(versions.heads(docs), "group_id")
     steps = versions.distances(docs)
@@ -230,9 +228,9 @@ def reused_values(facts: DataFrame, docs: DataFrame, ctx: RuleContext) -> DataFr
     dead = dead.join(restated, ["head_id", "subject_id", "dim"])
     same = head.select("head_id", "subject_id", "dim", F.col("head_number").alias("object_number"))
     dead = dead.join(same, ["head_id", "subject_id", "dim", "object_number"], "left_anti")
-    hit = current.select("fact_id", "subject_id", "predicate", "measure_unit", "object_number", "dim", "doc_id", "source_type", "valid_from").join(dead, ["subject_id", "object_number", "dim"]).where("doc_id <> old_doc")
+    hit = current.select("fact_id", "subject_id", "predicate", "measure_unit", "object_number", "dim", "doc_id", "source_type", "valid_from", *ctx.columns).join(dead, ["subject_id", "object_number", "dim"]).where("doc_id <> old_doc")
     best = hit.groupBy("fact_id").agg(F.min_by(F.struct("*"), F.struct("distance", "old_fact")).alias("b")).select("b.*")
-    severity = F.coalesce(X.severity_override(F.col("source_type"), ctx), F.lit("high"))
+    severity = F.coalesce(ctx.severity_of(F.col("source_type")), F.lit("high"))
     return best.select(
         F.lit("reused_stale_value").alias("drift_type"),
         "fact_id",

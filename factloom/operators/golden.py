@@ -1,13 +1,12 @@
 """Golden scenarios: small worlds with expected findings, all run through the detectors in one batch.
 
 Cases come from YAML files with a list ``cases``, or are given as such dictionaries. Ids
-inside a case are its own; they become numbers that no other case has. Cases with equal
-rules share one run of the detectors.
+inside a case are its own; they become numbers that no other case has. All cases share one
+run of the detectors, whatever their rules.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 from datetime import date
 from pathlib import Path
@@ -19,7 +18,7 @@ from factloom.config import RULES, ConfigError, context, list_of, mapping, one_o
 from factloom.functions import exprs as X
 from factloom.operators import evaluate
 from factloom.operators.findings import detect_all, with_context
-from factloom.rules import DRIFT_TYPES, INFERRED_ANCHORS, SEVERITY_RANK, TRUSTED_ANCHORS, RuleContext
+from factloom.rules import DRIFT_TYPES, INFERRED_ANCHORS, SEVERITY_RANK, TRUSTED_ANCHORS, RowRules, RuleContext
 from factloom.session import stored
 
 CATEGORIES = ("positive", "negative", "ambiguous_negative")
@@ -124,10 +123,6 @@ def _context(case: dict) -> RuleContext:
     return context(rules, rules.get("severity"), case["as_of"])
 
 
-def _key(ctx: RuleContext) -> tuple:
-    return (ctx.as_of, ctx.stale_after_days, ctx.pricing_stale_days, tuple(sorted(ctx.severity.items())), ctx.multi_valued, ctx.immutable)
-
-
 def _row(f: dict, fact_id: str, subject: int, doc: int | None, entity: str | None) -> tuple:
     kind, value = f["value_type"], f["value"]
     if kind == "date" and isinstance(value, str):
@@ -138,46 +133,47 @@ def _row(f: dict, fact_id: str, subject: int, doc: int | None, entity: str | Non
 
 
 def findings(spark: SparkSession, cases: list[dict]) -> DataFrame:
-    """``FOUND``: the findings of all cases, with the ids that their case uses and the names of files."""
-    groups: dict[tuple, list[dict]] = defaultdict(list)
-    for case in check_cases(cases):
-        groups[_key(_context(case))].append(case)
-    number, names, out = 0, [], None
-    for members in groups.values():
-        docs, raw, things = [], [], []
-        for case in members:
-            ids: dict[tuple[str, str | None], int | None] = {("d", None): None, ("g", None): None}
-            for kind, local in [*(("d", d["id"]) for d in case["documents"]), *(("e", e["id"]) for e in case["entities"]), *(("g", d["group"]) for d in case["documents"])]:
-                if (kind, local) not in ids:
-                    number += 1
-                    ids[kind, local] = number
-                    names.append((case["id"], str(number), local))
-            for d in case["documents"]:
-                docs.append((ids["d", d["id"]], ids["g", d["group"]], ids["d", d["previous_version_of"]], d["filename"], d["source_type"] or "general", 0.9 if d["authority"] is None else d["authority"], d["parsed_at"]))
-            for e in case["entities"]:
-                things.append((ids["e", e["id"]], e["name"], e["embedding"]))
-            for f in case["facts"]:
-                entity = str(ids["e", f["object_entity"]]) if f["object_entity"] else None
-                raw.append(_row(f, f"{case['id']}|{f['id']}", ids["e", f["subject"]], ids["d", f["source"]], entity))
-        # stored, so that the plan does not grow with the number of rule sets
-        found = stored(_detect(spark, docs, raw, things, _context(members[0])), "golden")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    """``FOUND``: the findings of all cases, with the ids that their case uses and the names of files.
+
+    The rules of a case are a row of a relation that its facts and documents are joined
+    with, so one run of the detectors serves all rule sets.
+    """
+    number, names, docs, raw, things, rules = 0, [], [], [], [], []
+    for k, case in enumerate(check_cases(cases)):
+        rules.append((k, RowRules.row(_context(case))))
+        ids: dict[tuple[str, str | None], int | None] = {("d", None): None, ("g", None): None}
+        for kind, local in [*(("d", d["id"]) for d in case["documents"]), *(("e", e["id"]) for e in case["entities"]), *(("g", d["group"]) for d in case["documents"])]:
+            if (kind, local) not in ids:
+                number += 1
+                ids[kind, local] = number
+                names.append((case["id"], str(number), local))
+        for d in case["documents"]:
+            docs.append((k, ids["d", d["id"]], ids["g", d["group"]], ids["d", d["previous_version_of"]], d["filename"], d["source_type"] or "general", 0.9 if d["authority"] is None else d["authority"], d["parsed_at"]))
+        for e in case["entities"]:
+            things.append((ids["e", e["id"]], e["name"], e["embedding"]))
+        for f in case["facts"]:
+            entity = str(ids["e", f["object_entity"]]) if f["object_entity"] else None
+            raw.append((k, *_row(f, f"{case['id']}|{f['id']}", ids["e", f["subject"]], ids["d", f["source"]], entity)))
+    if not rules:
         return spark.createDataFrame([], FOUND)
+    out = _detect(spark, docs, raw, things, rules)
     named = spark.createDataFrame(names, "case_id string, n string, local string")
     x = out.withColumn("n", F.coalesce("subject_id", "old_document_id")).join(named.select("case_id", "n"), "n").drop("n")
     x = x.join(named.select(F.col("n").alias("subject_id"), F.col("local").alias("subject")), "subject_id", "left")
     return x.select("case_id", F.col("fingerprint").alias("finding_id"), "drift_type", F.col("subject").alias("subject_id"), "predicate", "severity", "old_source", "new_source", "target")
 
 
-def _detect(spark: SparkSession, docs: list, raw: list, things: list, ctx: RuleContext) -> DataFrame:
-    d = spark.createDataFrame(docs, DOCS)
+def _detect(spark: SparkSession, docs: list, raw: list, things: list, rules: list) -> DataFrame:
+    own = spark.createDataFrame(rules, f"case_no int, rules {RowRules.SCHEMA}")
+    # read by every detector
+    d = stored(spark.createDataFrame(docs, f"case_no int, {DOCS}").join(own, "case_no").drop("case_no"), "golden-documents")
     typed = [F.col(c) for c in ("object_type", "object_string", "object_number", "object_date", "object_bool", "object_entity_id")]
-    f = spark.createDataFrame(raw, RAW).withColumns({"pred_fold": X.fold(F.col("predicate")), "canon_object": X.canonical_object(*typed)})
+    f = spark.createDataFrame(raw, f"case_no int, {RAW}").withColumns({"pred_fold": X.fold(F.col("predicate")), "canon_object": X.canonical_object(*typed)})
+    f = stored(f.join(own, "case_no").drop("case_no"), "golden-facts")
     e = spark.createDataFrame(things, ENTITIES)
     # the same fact in two cases is not shared
     scope = F.concat(F.substring_index("fact_id", "|", 1), F.lit("|"))
-    found = detect_all(f, d, e, ctx, f.withColumn("pred_fold", F.concat(scope, "pred_fold")))
+    found = detect_all(f, d, e, RowRules(), f.withColumn("pred_fold", F.concat(scope, "pred_fold")))
     found = found.withColumn("predicate", F.when(F.col("drift_type") == "duplicate", F.substring_index("predicate", "|", -1)).otherwise(F.col("predicate")))
     x = with_context(found, d, e)
     return x.select("drift_type", "severity", "fingerprint", "subject_id", "predicate", "old_document_id", F.coalesce("old_source", "source").alias("old_source"), "new_source", F.col("target_type").alias("target"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 SEVERITY_RANK = {"warning": 1, "medium": 2, "high": 3, "critical": 4}
 FAIL_ON_RANK = {"none": 0, **SEVERITY_RANK}
 DRIFT_TYPES = ("conflict", "possibly_stale", "confirmed_stale", "reused_stale_value", "superseded", "duplicate")
@@ -56,3 +59,56 @@ class RuleContext:
     @property
     def pricing_days(self) -> int:
         return self.stale_after_days if self.pricing_stale_days is None else self.pricing_stale_days
+
+    #: Columns that rows must carry for :class:`RowRules`.
+    columns = ()
+
+    def today(self, row: str = "") -> Column:
+        """The day that is judged on. ``row`` is where the rules of a row are, for those that have their own."""
+        return F.lit(self.as_of)
+
+    def age_limit(self, pricing: Column) -> Column:
+        return F.when(pricing, self.pricing_days).otherwise(self.stale_after_days)
+
+    def is_multi_valued(self, predicate: Column) -> Column:
+        return predicate.isin(*sorted(self.multi_valued)) if self.multi_valued else F.lit(False)
+
+    def is_immutable(self, predicate: Column) -> Column:
+        return predicate.isin(*sorted(self.immutable)) if self.immutable else F.lit(False)
+
+    def severity_of(self, source_type: Column, row: str = "") -> Column:
+        """The configured severity for a change in a source of this type; null if none."""
+        out = F.lit(None).cast("string")
+        for key, severity in self.severity.items():
+            out = F.when(source_type == key.removesuffix("_change"), severity).otherwise(out)
+        return out
+
+
+@dataclass(frozen=True)
+class RowRules(RuleContext):
+    """Rules that each row has itself, in a struct ``rules`` of facts and documents: many rule sets in one plan."""
+
+    as_of: date = date.min
+
+    columns = ("rules",)
+    SCHEMA = "struct<as_of:date,stale_days:int,pricing_days:int,severity:map<string,string>,multi_valued:array<string>,immutable:array<string>>"
+
+    @staticmethod
+    def row(ctx: RuleContext) -> tuple:
+        severity = {k.removesuffix("_change"): v for k, v in ctx.severity.items()}
+        return (ctx.as_of, ctx.stale_after_days, ctx.pricing_days, severity, sorted(ctx.multi_valued), sorted(ctx.immutable))
+
+    def today(self, row: str = "") -> Column:
+        return F.col(f"{row}rules.as_of")
+
+    def age_limit(self, pricing: Column) -> Column:
+        return F.when(pricing, F.col("rules.pricing_days")).otherwise(F.col("rules.stale_days"))
+
+    def is_multi_valued(self, predicate: Column) -> Column:
+        return F.coalesce(F.array_contains("rules.multi_valued", predicate), F.lit(False))
+
+    def is_immutable(self, predicate: Column) -> Column:
+        return F.coalesce(F.array_contains("rules.immutable", predicate), F.lit(False))
+
+    def severity_of(self, source_type: Column, row: str = "") -> Column:
+        return F.element_at(F.col(f"{row}rules.severity"), F.coalesce(source_type, F.lit("")))
