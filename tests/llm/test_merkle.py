@@ -5,7 +5,6 @@ import random
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from factloom.llm import catalog, merkle, oracles
 from tests.oracle import assert_same
@@ -99,11 +98,5 @@ def test_upper_runs_by_shuffle_and_by_broadcast(spark, monkeypatch):
     check(spark, list(rows))
 
 
-def test_equal_rows_fill_several_ranges(spark):
-    rows = spark.range(4000).selectExpr("'a' as k").repartition(4)
-    got = sorted(r.place for r in merkle.numbered(rows, [F.col("k").asc()], "place", "test").collect())
-    assert got == list(range(4000))
-
-
 def test_query_equals_sql(spark):
     assert assert_same(catalog.op13_merkle(spark, SMALL), SMALL, oracles.OP13) == 200
