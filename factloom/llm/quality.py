@@ -7,13 +7,13 @@ the passages; the weighted sum of their encodings gives the score. Only labels o
 texts are needed: the attention learns which passages decide.
 
 The model is fitted on a bounded sample of labelled texts: ``TRAIN_DOCS`` at most in
-expectation, chosen by a hash of the id, with all their passages. Scoring reads every
-passage of every text.
+expectation, and ``TRAIN_BYTES`` of text, chosen by a hash of the id, with all their
+passages. Scoring reads every passage of every text.
 
 Nulls are empty texts; a text without words is one empty passage, and is scored like
 any other. Very long texts are hashed piece by piece, cut at white space, and described
 as one. Labels that contradict each other, labels without a text and null labels are not
-learned from; of rows that repeat a labelled id one is. Repeated rows are scored
+learned from; of rows that repeat a labelled id the one whose text has the least SHA-256 is. Repeated rows are scored
 separately. Ids, language and source are not inputs of a score; further columns are not
 read. An empty table gives an empty result; without labels of both kinds every score is
 0.5.
@@ -33,6 +33,8 @@ from factloom.llm.shingles import _SPACE, _hash_words, cut_at_space, mix, shingl
 
 PASSAGE = 64
 TRAIN_DOCS = 8_000
+#: UTF-8 bytes of the texts that are learned from, in expectation: their passages are gathered on the driver.
+TRAIN_BYTES = 256 << 20
 HIDDEN, GATE = 16, 8
 #: Vectors that words are hashed to.
 BUCKETS = 1 << 12
@@ -256,9 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).where("label = most").select("id", "label")
     n = known.count()
     parts = 1_000_000
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < F.lit(min(parts, parts * train_docs // max(n, 1))))
+    share = min(parts, parts * train_docs // max(n, 1))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # broadcast: train_docs rows of two numbers
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    drawn = lambda share: texts.join(F.broadcast(known.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < F.lit(share))), "id")
+    size = drawn(share).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # of equal ids, one text, the same one in each run
+    sample = drawn(min(share, share * TRAIN_BYTES // max(size, 1))).groupBy("id", "label").agg(F.min_by("text", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "label": batch.column("label").cast(pa.float64()), **bags})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sample.dropDuplicates(["id"]).select("id", "label", "text").mapInArrow(run, f"id {kind}, label double, features binary, words binary, first binary").collect()
+    rows = sample.select("id", "label", "text").mapInArrow(run, f"id {kind}, label double, features binary, words binary, first binary").collect()
     rows = sorted(rows, key=lambda r: (r.id, bytes(r.features)))
     target = np.array([r.label for r in rows])
     if len(set(target.tolist())) < 2:

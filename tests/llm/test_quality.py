@@ -149,3 +149,24 @@ def test_scores_equal_brute_force(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert abs(r.score - score_by_loops(model, texts[r.doc_id])) < 1e-5
+
+
+def test_long_texts_do_not_fill_the_driver(spark, monkeypatch):
+    """Texts are drawn until the bytes are spent, so the bags gathered stay small; each is whole."""
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 200_000)
+    gathered = []
+    monkeypatch.setattr(quality.MilModel, "fit", classmethod(lambda cls, bags, labels: gathered.append(bags)))
+    docs = spark.range(600).selectExpr("id", "concat(repeat(concat('good words ', id, ' '), 400), id % 2) as text")
+    labels = spark.range(600).selectExpr("id", "cast(id % 2 as int) as quality")
+    quality.fit(docs, labels, "id")
+    sizes = [len(b.words) for b in gathered[0]]
+    assert 5 < len(sizes) < 60 and min(sizes) > 1_000
+
+
+def test_of_rows_with_one_id_the_same_text_is_learned_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.MilModel, "fit", classmethod(lambda cls, bags, labels: seen.append([b.words.tobytes() for b in bags])))
+    rows = [(i, f"text {i} {k}") for i in range(40) for k in range(5)]
+    for order in (rows, rows[::-1]):
+        quality.fit(spark.createDataFrame(order, "id int, text string").repartition(3), spark.createDataFrame([(i, i % 2) for i in range(40)], "id int, quality int"), "id")
+    assert seen[0] == seen[1] and len(seen[0]) > 20
