@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import config, projection
-from factloom.operators import findings, golden, remember, report
+from factloom.operators import attributes, findings, golden, remember, report
 from factloom.rules import DECISIONS, DRIFT_STATUS, DRIFT_TYPES, FAIL_ON_RANK, REASON_CODES, RuleContext
 from factloom.session import build_session, stored
 from factloom.sources import ingest, sinks
@@ -42,10 +42,15 @@ def frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     return projection.facts(spark, folder), projection.documents(spark, folder), projection.entities(spark, folder), known
 
 
-def all_findings(spark: SparkSession, folder: str, ctx: RuleContext) -> DataFrame:
+def all_findings(spark: SparkSession, folder: str, ctx: RuleContext, resolution: attributes.Resolution | None = None) -> DataFrame:
     """Findings of all detectors with their names, files and detail."""
     f, d, e, known = frames(spark, folder)
-    return findings.with_detail(findings.with_context(findings.detect_all(f, d, e, ctx, known), d, e))
+    return findings.with_detail(findings.with_context(findings.detect_all(f, d, e, ctx, known, resolution=resolution), d, e))
+
+
+def proposals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Proposed clusters of predicates and equivalent texts, ``clusters.parquet`` and ``texts.parquet`` of a folder."""
+    return spark.read.parquet(f"{folder}/clusters.parquet"), spark.read.parquet(f"{folder}/texts.parquet")
 
 
 def state(spark: SparkSession, root: str) -> DataFrame:
@@ -81,13 +86,10 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
     path = Path(args.workspace)
     settings = config.load(path / CONFIG if path.is_dir() else path)
     base = str(path if path.is_dir() else path.parent)
-    known = None
-    if args.state and Path(args.state, "documents").exists():
-        known = stored(spark.read.schema(ingest.DOCUMENT).parquet(f"{args.state}/documents"), "known-documents")
-    done = ingest.run(spark, base, settings, known)
+    before = sinks.ingested(spark, args.state) if args.state else None
+    done = ingest.run(spark, base, settings, *((before[0], before[2]) if before else ()))
     if args.state:
-        done.documents.write.mode("overwrite").parquet(f"{args.state}/documents")
-        done.chunks.write.mode("append").parquet(f"{args.state}/chunks")
+        sinks.publish_ingest(spark, args.state, done.documents, done.chunks, done.files)
     print(f"{settings.workspace}: " + ", ".join(f"{n} {k}" for k, n in done.counts.items()))
     for r in done.warnings.collect():
         print(f"warning: {r.path}: {r.warning}")
@@ -111,17 +113,27 @@ def scan(spark: SparkSession, args: argparse.Namespace) -> int:
         ctx = RuleContext(**{**projection.RULES.__dict__, **({"as_of": day} if day else {})})
     fail_on = args.fail_on or (settings.fail_on if settings else "critical")
     with sinks.audited(spark, args.state, args.scan_id) as counts:
-        facts, _, entities, _ = frames(spark, args.tables)
-        found = stored(all_findings(spark, args.tables, ctx).withColumn("scan_id", F.lit(args.scan_id)), "scan-findings")
+        facts, docs, entities, _ = frames(spark, args.tables)
+        resolution = attributes.resolve(facts, docs, *proposals(spark, args.proposals)) if args.proposals else None
+        channels = stored(attributes.channels(facts, docs, ctx, resolution), "channels") if resolution else None
+        found = stored(all_findings(spark, args.tables, ctx, resolution).withColumn("scan_id", F.lit(args.scan_id)), "scan-findings")
         fresh = sinks.append_findings(found.drop("scan_id"), args.state, args.scan_id)
         counts["findings"] = fresh.count()
         counts["suppressed"] = found.select("fingerprint").distinct().count() - counts["findings"]
         sinks.append_snapshot(facts, entities, args.state, args.scan_id)
-        made = report.build(state(spark, args.state).withColumn("doc_id", F.coalesce("old_document_id", "new_document_id")), fail_on, totals={**counts}, fresh=fresh.select("fingerprint"))
+        known = state(spark, args.state).withColumn("doc_id", F.coalesce("old_document_id", "new_document_id"))
+        made = report.build(known, fail_on, files=docs, totals={**counts}, fresh=fresh.select("fingerprint"), channels=channels)
         by_type = {r.drift_type: r.n for r in remember.counts_by(fresh, "drift_type").collect()}
     if args.out:
         _write(f"{args.out}/report.json", report.render_json(made))
         _write(f"{args.out}/report.html", report.render_html(made))
+        pages = report.write_whole(known, f"{args.out}/pages", log=sinks.decisions(spark, args.state), channels=channels, files=docs)
+        artifacts = {"drifts": found, "facts": facts, **({"channels": channels} if channels is not None else {})}
+        for name, rows in artifacts.items():
+            sinks.write_jsonl(rows, f"{args.out}/{name}")
+        head = sinks.latest_snapshot(spark, args.state)
+        said = {"scan_id": args.scan_id, "as_of": ctx.as_of.isoformat(), "fail_on": fail_on, "counts": counts, "pages": pages, "artifacts": sorted(artifacts), "facts": head.rows, "entities": head.entities, "knowledge_hash": head.knowledge_hash}
+        _write(f"{args.out}/manifest.json", json.dumps(said, sort_keys=True, indent=2, ensure_ascii=False))
     print(f"{counts['findings']} new findings, {counts['suppressed']} known, {made['gate']['blocking']} blocking")
     print(", ".join(f"{n} {t}" for t, n in by_type.items() if n))
     return int(made["gate"]["failed"])
@@ -203,6 +215,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--as-of")
     p.add_argument("--fail-on", choices=list(FAIL_ON_RANK))
     p.add_argument("--out")
+    p.add_argument("--proposals", help="folder of proposed attribute clusters")
     p = command("eval", evaluate, help="run golden cases")
     p.add_argument("--cases", required=True)
     p.add_argument("--output")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
-from factloom.operators import detect
+from factloom.operators import attributes, detect
 from factloom.rules import CONFIDENCE_STRUCTURAL, RuleContext
 
 #: Columns of a finding; ids are text.
@@ -44,12 +44,18 @@ def _extra(**values: Column) -> Column:
     return F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v.cast("string"))])
 
 
-def detect_all(facts: DataFrame, docs: DataFrame, entities: DataFrame, ctx: RuleContext, entity_facts: DataFrame | None = None, least_cosine: float = 0.85) -> DataFrame:
+def detect_all(facts: DataFrame, docs: DataFrame, entities: DataFrame, ctx: RuleContext, entity_facts: DataFrame | None = None, least_cosine: float = 0.85, resolution: attributes.Resolution | None = None) -> DataFrame:
     """The findings of all detectors in the columns of ``COLUMNS``.
 
     ``entity_facts`` are the facts that duplicates are looked for in, by default all of them.
+    With a ``resolution`` of attributes, pairs that it clears are no conflicts, and facts
+    that the newest edition states in other words are not stale for being replaced.
     """
-    conflict, stale = detect.conflicts(facts, docs, ctx), detect.stale(facts, docs, ctx)
+    if resolution is None:
+        conflict, stale = detect.conflicts(facts, docs, ctx), detect.stale(facts, docs, ctx)
+    else:
+        conflict = attributes.conflicts(facts, docs, ctx, resolution)
+        stale = detect.stale(facts, docs, ctx, attributes.restated_synonyms(facts, docs, resolution))
     cards, reused, replaced = detect.expired_documents(facts, docs, ctx), detect.reused_values(facts, docs, ctx), detect.superseded(docs, ctx)
     twins = detect.duplicate_facts(entities, facts if entity_facts is None else entity_facts, docs, least_cosine)
     fact, document = F.lit("fact"), F.lit("document")

@@ -1,4 +1,4 @@
-"""Reports: a bounded page of findings with groups, counts, gate and review items, as JSON and as one HTML file; and reports of golden runs."""
+"""Reports: the first page of findings with groups, counts, gate and review items, as JSON and as one HTML file; all of them in pages; and reports of golden runs."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import remember
+from factloom.ordering import numbered
 from factloom.rules import CHANNELS, DRIFT_STATUS
 
 
@@ -108,6 +109,52 @@ def build(found: DataFrame, fail_on: str = "critical", page: int = 200, files: D
     }
 
 
+#: Rows of a page.
+PAGE = 1_000
+
+
+def write_pages(rows: DataFrame, order: list, path: str, page: int = PAGE) -> int:
+    """Write all ``rows`` as JSON lines in pages, ``page=0`` and on, each in its ``place``; returns how many rows there are.
+
+    Executors write the pages, so nothing is left out however many rows there are.
+    """
+    x = numbered(rows, order, "place", "report-pages").withColumn("page", F.floor(F.col("place") / page))
+    x = x.repartitionByRange("page", "place").sortWithinPartitions("page", "place")
+    x.write.mode("overwrite").partitionBy("page").option("ignoreNullFields", "false").json(path)
+    return rows.sparkSession.read.json(path, schema="place bigint").count()
+
+
+def write_whole(found: DataFrame, path: str, evidence: DataFrame | None = None, log: DataFrame | None = None, channels: DataFrame | None = None, files: DataFrame | None = None, page: int = PAGE) -> dict:
+    """The whole report as pages in the folders ``findings``, ``groups`` and ``review`` of ``path``; returns what each holds.
+
+    Every finding is in some page with what it says, its ``evidence`` quotes ``(fact_id,
+    quote, filename)``, old before new and each once, and its decisions ``(fingerprint, at,
+    action, decision, reason)`` in their order. Groups name their findings. ``found`` is as
+    :func:`build` takes it.
+    """
+    null = F.lit(None).cast("string")
+    lacks = {c: F.lit("open") if c == "status" else null for c in ("status", "doc_id", "reason", "detail", "old_fact_id", "new_fact_id") if c not in found.columns}
+    found = found.withColumns(lacks) if lacks else found
+    x = found.select("*")
+    if evidence is not None:
+        asked = x.select("fingerprint", F.posexplode(F.array("old_fact_id", "new_fact_id")).alias("side", "fact_id")).where("fact_id is not null")
+        quotes = asked.join(evidence.select("fact_id", "quote", "filename"), "fact_id").groupBy("fingerprint", "quote", "filename").agg(F.min("side").alias("side"))
+        quotes = quotes.groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("side", "filename", "quote"))).alias("evidence"))  # of two facts
+        x = x.join(quotes, "fingerprint", "left")
+    if log is not None:
+        known = [c for c in ("at", "action", "decision", "reason", "by") if c in log.columns]
+        x = x.join(log.groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct(*known))).alias("decisions")), "fingerprint", "left")  # of one finding
+    ranked = [remember.X.severity_rank(F.col("severity")).desc(), F.col("effective_at").asc_nulls_first(), F.col("fingerprint").asc()]
+    held = {"findings": write_pages(x, ranked, f"{path}/findings", page)}
+    groups, _ = remember.roll_up(found.where("status = 'open'").withColumn("doc_id", F.col("doc_id").cast("string")))
+    if files is not None:
+        groups = groups.join(files.select(F.col("doc_id").cast("string").alias("doc_id"), "filename"), "doc_id", "left")
+    held["groups"] = write_pages(groups, [remember.X.severity_rank(F.col("severity")).desc(), F.col("first_effective_at").asc_nulls_first(), F.col("doc_id").asc(), F.col("drift_type").asc()], f"{path}/groups", page)
+    if channels is not None:
+        held["review"] = write_pages(channels, [F.col(c).asc_nulls_first() for c in ("kind", "subject_id", "fact_a", "fact_b")], f"{path}/review", page)
+    return {"page": page, "rows": held}
+
+
 def _plain(value):
     return value.isoformat() if isinstance(value, (date, datetime)) else str(value)
 

@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import paragraph_spans
 from factloom.functions.unicode import normalized
-from factloom.session import ship_package
+from factloom.session import ship_package, stored
 
 TEXT_TYPES = ("txt", "md", "markdown")
 TABLE_TYPES = ("csv",)
@@ -69,9 +70,10 @@ def is_ignored(path: Column, patterns: list[str]) -> Column:
 
 
 def listed(spark: SparkSession, base: str, sources: list[dict], ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """All files under the sources, and warnings ``(path, warning)``: sources that are not there, types that no parser takes.
+    """All files under the sources ``(path, source_type, authority, extension, url, size, modified)``, and warnings ``(path, warning)``: sources that are not there, types that no parser takes.
 
-    The first source that holds a path wins. Ignored files are in neither.
+    The first source that holds a path wins. Ignored files are in neither. Nothing is read
+    of the files: the listing knows their sizes and times.
     """
     if not sources:
         raise ValueError("at least one source is needed")
@@ -83,11 +85,11 @@ def listed(spark: SparkSession, base: str, sources: list[dict], ignore: list[str
             missing.append((source["path"], "missing_source"))
             continue
         x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where)
-        x = x.select("path", "content", F.lit(ord_).alias("ord"), F.lit(source.get("type", "document")).alias("source_type"), F.lit(float(source.get("authority", 0.9))).alias("authority"))
+        x = x.select("path", F.col("path").alias("url"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(ord_).alias("ord"), F.lit(source.get("type", "document")).alias("source_type"), F.lit(float(source.get("authority", 0.9))).alias("authority"))
         found = x if found is None else found.unionAll(x)
     warnings = spark.createDataFrame(missing, "path string, warning string")
     if found is None:
-        return spark.createDataFrame([], "path string, content binary, source_type string, authority double, extension string, file_hash string"), warnings
+        return spark.createDataFrame([], LISTED), warnings
     root = re.escape(base.rstrip("/").split("://")[-1])
     x = found.withColumn("path", F.regexp_replace("path", f"^[a-z]+:/*{root}/|^{root}/", "")).withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     x = x.where(~is_ignored(F.col("path"), ignore or []))
@@ -95,12 +97,35 @@ def listed(spark: SparkSession, base: str, sources: list[dict], ignore: list[str
     x = x.withColumn("n", first).where("n = 1")
     known = F.col("extension").isin(*SUPPORTED)
     warnings = warnings.unionAll(x.where(~known).select("path", F.lit("unsupported_type")))
-    return x.where(known).select("path", "source_type", "authority", "extension", "content", F.sha2("content", 256).alias("file_hash")), warnings
+    return x.where(known).select(*[c.split()[0] for c in LISTED.split(", ")]), warnings
+
+
+LISTED = "path string, source_type string, authority double, extension string, url string, size bigint, modified timestamp"
+
+
+def with_content(spark: SparkSession, listing: DataFrame) -> DataFrame:
+    """Files of a listing with ``content`` and ``file_hash``; only these files are read.
+
+    Their paths pass through the driver, as all paths do that Spark reads.
+    """
+    listing = stored(listing, "files-to-read")
+    urls = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.url) for r in listing.select("url").collect()]
+    if not urls:
+        return listing.withColumns({"content": F.lit(None).cast("binary"), "file_hash": F.lit(None).cast("string")}).drop("url")
+    read = spark.read.format("binaryFile").load(urls).select(F.col("path").alias("url"), "content", F.sha2("content", 256).alias("file_hash"))
+    return listing.join(read, "url").drop("url")
+
+
+def unchanged(listing: DataFrame, seen: DataFrame, known: DataFrame) -> DataFrame:
+    """``(path, size, modified, file_hash)`` of the files that an earlier listing ``seen`` had with the same size and time, and whose content is parsed."""
+    parsed_ = known.where("status = 'parsed'").select("file_hash").distinct()
+    same = listing.select("path", "size", "modified").join(seen.select("path", "size", "modified", "file_hash"), ["path", "size", "modified"])
+    return same.join(parsed_, "file_hash", "left_semi").select("path", "size", "modified", "file_hash")
 
 
 def discover(spark: SparkSession, base: str, sources: list[dict], ignore: list[str] | None = None) -> DataFrame:
     """``(path, source_type, authority, extension, content, file_hash)`` of supported files under the sources; see :func:`listed` for the others."""
-    return listed(spark, base, sources, ignore)[0]
+    return with_content(spark, listed(spark, base, sources, ignore)[0]).select("path", "source_type", "authority", "extension", "content", "file_hash")
 
 
 def _decoded(content: pd.Series) -> pd.Series:
@@ -155,7 +180,50 @@ _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def _cell(value: str | None, kind: str | None, shared: list[str]) -> str:
+#: Built-in number formats that show a date or a time, and those that show a duration; what such a format is made of. Fixed values.
+DATE_FORMATS, DURATION_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 47), (46,)
+_NO_LETTERS = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!hh?\]|mm?\]|ss?\])[^\]]*\]', re.I)
+_DURATION = re.compile(r"\[(hh?|mm?|ss?)\]", re.I)
+#: Day 0 of the two calendars; the older one has a 29 February 1900 that never was.
+EPOCH_1900, EPOCH_1904, LEAP_1900 = datetime(1899, 12, 30), datetime(1904, 1, 1), 60
+
+
+def number_kinds(styles: bytes | None) -> list[str | None]:
+    """What the number format of each cell style shows: ``date``, ``duration``, or None for a number."""
+    if styles is None:
+        return []
+    root = ElementTree.fromstring(styles)
+    codes = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{_MAIN}numFmt")}
+
+    def kind(number: int) -> str | None:
+        if number not in codes:
+            return "date" if number in DATE_FORMATS else "duration" if number in DURATION_FORMATS else None
+        code = _NO_LETTERS.sub("", codes[number].split(";")[0])
+        if _DURATION.search(code):
+            return "duration"
+        return "date" if re.search("[dmhys]", code, re.I) else None
+
+    cells = root.find(f"{_MAIN}cellXfs")
+    return [kind(int(xf.get("numFmtId") or 0)) for xf in cells] if cells is not None else []
+
+
+def serial_text(value: float, kind: str, epoch: datetime) -> str | None:
+    """A serial number as the date and time, the time or the duration that it stands for; None beyond the calendar."""
+    day, part = divmod(value, 1)
+    rest = timedelta(milliseconds=round(part * 86_400_000))
+    try:
+        if kind == "duration":
+            return str(timedelta(days=day) + rest)
+        if 0 <= value < 1 and rest.days == 0:
+            return str((datetime.min + rest).time())
+        if 0 < value < LEAP_1900 and epoch == EPOCH_1900:
+            day += 1
+        return str(epoch + timedelta(days=day) + rest)
+    except OverflowError:
+        return None
+
+
+def _cell(value: str | None, kind: str | None, shared: list[str], shows: str | None = None, epoch: datetime = EPOCH_1900) -> str:
     if value is None:
         return ""
     if kind == "s":
@@ -165,6 +233,8 @@ def _cell(value: str | None, kind: str | None, shared: list[str]) -> str:
     if kind in ("str", "inlineStr", "e", "d"):
         return value.strip()
     number = float(value)
+    if shows and (shown := serial_text(number, shows, epoch)) is not None:
+        return shown
     return str(int(number)) if number.is_integer() else repr(number)
 
 
@@ -183,8 +253,12 @@ def xlsx_sheets(data: bytes) -> list[tuple[str, list[tuple[int, list[str]]]]]:
         text = lambda node: "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
         shared = [text(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        kinds = number_kinds(book.read("xl/styles.xml") if "xl/styles.xml" in names else None)
+        whole = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        settings = whole.find(f"{_MAIN}workbookPr")
+        epoch = EPOCH_1904 if settings is not None and settings.get("date1904") in ("1", "true") else EPOCH_1900
         out = []
-        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+        for sheet in whole.iter(f"{_MAIN}sheet"):
             target = targets[sheet.get(f"{_REL}id")].lstrip("/")
             part = target if target.startswith("xl/") else f"xl/{target}"
             rows, number = [], 0
@@ -194,7 +268,9 @@ def xlsx_sheets(data: bytes) -> list[tuple[str, list[tuple[int, list[str]]]]]:
                 for at, c in enumerate(row.iter(f"{_MAIN}c")):
                     inline, value = c.find(f"{_MAIN}is"), c.find(f"{_MAIN}v")
                     place = _column(c.get("r")) if c.get("r") else at
-                    cells[place] = text(inline).strip() if inline is not None else _cell(value.text if value is not None else None, c.get("t"), shared)
+                    style = int(c.get("s") or 0)
+                    shows = kinds[style] if style < len(kinds) else None
+                    cells[place] = text(inline).strip() if inline is not None else _cell(value.text if value is not None else None, c.get("t"), shared, shows, epoch)
                 rows.append((number, [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]))
             out.append((sheet.get("name"), rows))
         return out

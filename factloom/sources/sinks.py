@@ -94,6 +94,27 @@ def latest_snapshot(spark: SparkSession, root: str, without: str | None = None):
     return (rows.where(F.col("scan_id") != without) if without is not None else rows).orderBy(F.col("at").desc(), F.col("scan_id").desc()).first()
 
 
+def publish_ingest(spark: SparkSession, root: str, documents: DataFrame, chunks: DataFrame, files: DataFrame) -> None:
+    """Publish what a check of a workspace has parsed: its documents, their chunks and the listing of its files, by one manifest row.
+
+    A check that stops before that row leaves nothing behind that is read, so no file
+    counts as parsed whose chunks were never stored.
+    """
+    folder = _fresh(root, "ingest")
+    documents.write.parquet(f"{folder}/documents")
+    chunks.write.parquet(f"{folder}/chunks")
+    files.write.parquet(f"{folder}/files")
+    _publish(spark, root, {"scan_id": folder.rsplit("/", 1)[-1], "table": "ingest", "folder": folder, "rows": spark.read.parquet(f"{folder}/documents").count()})
+
+
+def ingested(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """All documents as the last published check left them, the chunks of all checks, and the last listing of files; None before the first."""
+    folders = [r.folder for r in manifest(spark, root, "ingest").orderBy("at", "scan_id").collect()]
+    if not folders:
+        return None
+    return spark.read.parquet(f"{folders[-1]}/documents"), spark.read.parquet(*[f"{f}/chunks" for f in folders]), spark.read.parquet(f"{folders[-1]}/files")
+
+
 def append_decision(spark: SparkSession, root: str, decision: dict) -> None:
     """Append one entry of the decision log."""
     names = [p.split()[0] for p in DECISIONS_SCHEMA.split(", ")]

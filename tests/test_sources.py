@@ -133,3 +133,27 @@ def test_links_are_applied(spark):
     edges = spark.createDataFrame([("g", "old", "1", None), ("g", "new", "2", "1")], "group string, label string, doc_id string, prev_id string")
     got = {r.doc_id: r for r in files.apply_links(docs, edges).collect()}
     assert (got["1"].version_label, got["2"].version_label, got["2"].prev_id, got["3"].group_id) == ("old", "new", "1", None) and got["1"].group_id == got["2"].group_id
+
+
+def dated_workbook(cells: list[tuple[float, int]], formats: list[tuple[int, str | None]], old_calendar: bool) -> bytes:
+    """A workbook of one column: serial numbers with a style each; styles are number formats, own ones with a code."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        body = "".join(f'<row r="{n}"><c r="A{n}" s="{style}"><v>{value!r}</v></c></row>' for n, (value, style) in enumerate(cells, 1))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><workbookPr date1904="{int(old_calendar)}"/><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        own = "".join(f'<numFmt numFmtId="{k}" formatCode="{code.replace(chr(34), "&quot;")}"/>' for k, code in formats if code)
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts>{own}</numFmts><cellXfs>' + "".join(f'<xf numFmtId="{k}"/>' for k, _ in formats) + "</cellXfs></styleSheet>")
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("old_calendar", [False, True])
+def test_numbers_with_a_date_format_are_dates(old_calendar):
+    formats = [(0, None), (14, None), (164, 'yyyy"年"m"月"d"日"'), (165, '0.00" days"'), (166, "[h]:mm:ss"), (167, "[Red]#,##0.00_d"), (168, "[$-804]yyyy-mm-dd;@"), (20, None), (46, None), (31, None)]
+    cells = [(45292.0, 0), (45292.0, 1), (45292.5, 2), (3.0, 3), (1.25, 4), (1234.5, 5), (45292.0, 6), (0.75, 7), (0.5, 8), (45292.0, 9), (59.0, 1), (1e12, 1)]
+    got = [r[0] for _, r in files.xlsx_sheets(dated_workbook(cells, formats, old_calendar))[0][1]]
+    day = "2028-01-02" if old_calendar else "2024-01-01"
+    low = "1904-02-29 00:00:00" if old_calendar else "1900-02-28 00:00:00"
+    assert got == ["45292", f"{day} 00:00:00", f"{day} 12:00:00", "3", "1 day, 6:00:00", "1234.5", f"{day} 00:00:00", "18:00:00", "12:00:00", "45292", low, "1000000000000"]
