@@ -24,3 +24,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_lines_that_differ_in_other_columns_are_judged_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    x = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    x.unionAll(x.withColumn("l_suppkey", F.col("l_suppkey") + 1)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert catalog.QUERIES["fact_validation"](spark, str(tmp_path)).count() == x.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity").distinct().count()
