@@ -312,3 +312,14 @@ def test_a_subject_with_5000_shared_facts(spark):
     got = detect.shared_fact_pairs(wide.unionByName(others).select(F.col("subject_id").cast("long"), "pred_fold", "canon_object"))
     mine = others.where("canon_object >= '0'").select("subject_id", "canon_object").distinct().groupBy("subject_id").agg(F.count("*").alias("n")).where("n > 1")
     assert got.where("a = 0").count() == mine.count() > 3000
+
+
+def test_no_pair_is_sent_anywhere(spark):
+    facts = spark.createDataFrame([(s, p, v) for s in range(40) for p, v in (("p", str(s % 2)), ("q", str(s % 3)), ("r", str(s % 5)))], "subject_id long, pred_fold string, canon_object string")
+    entities = spark.createDataFrame([(s, f"Name {s % 4}", [1.0, float(s)]) for s in range(40)], "entity_id long, name string, embedding array<double>")
+    for got in (detect.shared_fact_pairs(facts), detect.shared_fact_pairs(facts, entities), detect.duplicates(entities, facts)):
+        above = got._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+        assert "Exchange" not in above and "Aggregate" not in above
+        assert got.count() == got.select("a", "b").distinct().count() > 0
+    pairs = detect.shared_fact_pairs(facts)
+    assert sorted(detect.recalled(pairs, entities).collect()) == sorted(detect.shared_fact_pairs(facts, entities).collect())
