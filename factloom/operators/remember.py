@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,22 +136,54 @@ def fact_records(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return x.withColumn("record", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))).drop("_s", "_sn", "_st", "_o", "_on", "_ot")
 
 
+#: Bytes of lines that are packed as one.
+PACK_BYTES = 4 << 20
+#: Times that a line is written out at once.
+REPEATS = 1_000
+
+
 def knowledge_hash(records: DataFrame) -> DataFrame:
     """One hash of the records of :func:`fact_records`, in any order: SHA-256 of the sorted records, a line each.
 
-    The definition is one sequence of bytes, so one task reads the sorted lines; it holds a
-    batch of them at a time, and Spark's sort spills. Only the lines are sent to it.
+    The definition is one sequence of bytes, so one task hashes the sorted lines. They are
+    counted, sorted and packed before, by many tasks: equal lines are sent once with their
+    number, and neighbours, which begin alike, are compressed together.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, n = hashlib.sha256(), 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, lines, numbers, size, at = TaskContext.get().partitionId(), [], [], 0, 0
+
+        def packed() -> pa.RecordBatch:
+            blob = zlib.compress(b"\n".join(lines))
+            return pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "at": pa.array([at], pa.int64()), "lines": [blob], "numbers": pa.array([numbers], pa.list_(pa.int64()))})
+
         for batch in batches:
-            for line in batch.column(0):
-                hashed.update(line.as_py().encode() + b"\n")
-            n += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"hash": [hashed.hexdigest()], "n": [n]})
+            for line, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines.append(line.encode())
+                numbers.append(n)
+                size += len(lines[-1])
+                if size >= PACK_BYTES:
+                    yield packed()
+                    lines, numbers, size, at = [], [], 0, at + 1
+        if lines:
+            yield packed()
 
-    lines = records.select("record").repartition(1).sortWithinPartitions("record")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, total = hashlib.sha256(), 0
+        for batch in batches:
+            for blob, numbers in zip(batch.column(0), batch.column(1), strict=True):
+                # JSON escapes line ends, so none is within a record
+                for line, n in zip(zlib.decompress(blob.as_py()).split(b"\n"), numbers.as_py(), strict=True):
+                    line += b"\n"
+                    while n > 0:
+                        hashed.update(line * min(n, REPEATS))
+                        n -= REPEATS
+                total += sum(numbers.as_py())
+        yield pa.RecordBatch.from_pydict({"hash": [hashed.hexdigest()], "n": [total]})
+
+    counted = records.groupBy("record").agg(F.count("*").alias("n")).repartitionByRange("record").sortWithinPartitions("record")
+    packs = counted.mapInArrow(pack, "task int, at bigint, lines binary, numbers array<bigint>")
+    lines = packs.repartition(1).sortWithinPartitions("task", "at").select("lines", "numbers")
     # no rows may mean no task
     one = lines.mapInArrow(run, "hash string, n bigint").agg(F.max("hash").alias("h"), F.sum("n").alias("n"))
     return one.select(F.coalesce("h", F.lit(hashlib.sha256(b"").hexdigest())).alias("knowledge_hash"), F.coalesce("n", F.lit(0)).alias("facts"))

@@ -323,3 +323,16 @@ def test_no_pair_is_sent_anywhere(spark):
         assert got.count() == got.select("a", "b").distinct().count() > 0
     pairs = detect.shared_fact_pairs(facts)
     assert sorted(detect.recalled(pairs, entities).collect()) == sorted(detect.shared_fact_pairs(facts, entities).collect())
+
+
+def test_equal_lines_are_hashed_as_often_as_they_come(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(remember, "PACK_BYTES", 500)
+    monkeypatch.setattr(remember, "REPEATS", 3)
+    records = spark.range(2_000).selectExpr("concat('{\"n\":', id % 150, '}') as record").repartition(7)
+    lines = sorted(f'{{"n":{i % 150}}}\n' for i in range(2_000))
+    got = remember.knowledge_hash(records)
+    assert (got.first().knowledge_hash, got.first().facts) == (hashlib.sha256("".join(lines).encode()).hexdigest(), 2_000)
+    # what the one task reads is counted and packed before
+    assert "HashAggregate(keys=[record" in got._jdf.queryExecution().executedPlan().toString()
