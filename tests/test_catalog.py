@@ -32,3 +32,8 @@ def test_lines_that_differ_in_other_columns_are_judged_once(spark, tmp_path):
     x = spark.read.parquet(f"{SMALL}/lineitem.parquet")
     x.unionAll(x.withColumn("l_suppkey", F.col("l_suppkey") + 1)).write.parquet(str(tmp_path / "lineitem.parquet"))
     assert catalog.QUERIES["fact_validation"](spark, str(tmp_path)).count() == x.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity").distinct().count()
+
+
+def test_measures_are_in_normal_form_before_they_meet(spark):
+    above, below = catalog.QUERIES["measure_compare"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert "regexp_replace" not in above and "translate" not in above and "regexp_replace" in below
