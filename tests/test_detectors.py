@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import cli, projection
+from factloom.functions import exprs as X
 from factloom.operators import detect, remember, report, versions
 from factloom.rules import DECISIONS, DRIFT_TYPES, RuleContext
 from factloom.sources import sinks
@@ -336,3 +337,31 @@ def test_equal_lines_are_hashed_as_often_as_they_come(spark, monkeypatch):
     assert (got.first().knowledge_hash, got.first().facts) == (hashlib.sha256("".join(lines).encode()).hexdigest(), 2_000)
     # what the one task reads is counted and packed before
     assert "HashAggregate(keys=[record" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_travel_as_bytes(spark):
+    ids = ["00ff", "00fF", "abc", "0abc", "", "é", "zz", None, "a" * 64]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").select("id", X.packed(F.col("id")).alias("p")).select("id", "p", X.unpacked(F.col("p")).alias("back")).collect()
+    assert [r.back for r in rows] == ids
+    assert len({bytes(r.p) for r in rows if r.p is not None}) == len(ids) - 1
+    assert len(rows[-1].p) == 33
+
+
+def test_facts_meet_their_documents_once(make):
+    docs, facts = make
+    d = docs((1, None, None, "general", 0.9), (4, 7, None, "general", 0.9), (5, 7, 4, "general", 0.9))
+    spark = d.sparkSession
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan = detect.stale(facts({"id": "ab", "doc": 4}), d, CTX)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # after facts and documents have met, nothing is sent again
+    top = plan.splitlines()
+    sends = [len(line) - len(line.lstrip(" :+-|")) for line in top if "Exchange hashpartitioning" in line]
+    joins = [len(line) - len(line.lstrip(" :+-|")) for line in top if "SortMergeJoin" in line]
+    assert min(joins) < min(sends) and sum(j < min(sends) for j in joins) == 1
