@@ -37,7 +37,8 @@ TEXT_KINDS = ("text", "enumeration")
 
 def eligible(facts: DataFrame, docs: DataFrame, source_types: tuple[str, ...] = SOURCE_TYPES) -> DataFrame:
     """Facts of documents of the types that attributes are resolved for."""
-    return facts.join(docs.where(F.col("source_type").isin(*source_types)).select("doc_id"), "doc_id", "left_semi")
+    ids = docs.where(F.col("source_type").isin(*source_types)).select("doc_id").distinct()
+    return X.with_unpacked(X.with_packed(facts, "fact_id").join(ids, "doc_id"), "fact_id").select(*facts.columns)
 
 
 def text_key(text: Column) -> Column:
@@ -61,14 +62,22 @@ def shard_descriptors(facts: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``predicate`` is its first written form, ``samples`` its first distinct objects.
     """
-    x = facts.withColumn("_s", rendered(facts)).join(docs.select("doc_id", "filename", "source_type"), "doc_id", "left")
+    return _descriptors(facts, docs.select("doc_id", "filename", "source_type"), "left").drop("units")
+
+
+def _descriptors(facts: DataFrame, docs: DataFrame, how: str) -> DataFrame:
+    """:func:`shard_descriptors` of facts that are joined with ``docs``, with the ``units`` of each predicate. Facts are sent to their documents, then to their predicates, and nowhere else."""
+    unit = X.normalize_dimension(F.col("measure_unit")) if "measure_unit" in facts.columns else F.lit(None).cast("string")
+    x = X.with_packed(facts.select("subject_id", "pred_fold", "predicate", "fact_id", "doc_id", rendered(facts).alias("_s"), unit.alias("_u")), "fact_id")
     key = ["subject_id", "pred_fold"]
-    # one row a distinct object, pruned to the first few before they are gathered
-    first = x.groupBy(*key, "_s").agg(F.min(F.struct("predicate", "fact_id")).alias("at"))
-    order = Window.partitionBy(*key).orderBy("at")
-    samples = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLES).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "_s"))).alias("s"))
-    per = x.groupBy(*key).agg(F.min("predicate").alias("predicate"), F.array_sort(F.collect_set("filename")).alias("source_docs"), F.array_sort(F.collect_set("source_type")).alias("source_types"))
-    return per.join(samples, key).select(*key, "predicate", F.transform("s", lambda v: v["_s"]).alias("samples"), "source_docs", "source_types")
+    x = x.join(docs, "doc_id", how).drop("doc_id").repartition(*key)
+    # one row a distinct object, of which only the first few are gathered
+    sets = {"source_docs": "filename", "source_types": "source_type", "units": "_u"}
+    first = X.with_unpacked(x, "fact_id").groupBy(*key, "_s").agg(F.min(F.struct("predicate", "fact_id")).alias("at"), F.min("predicate").alias("predicate"), *[F.collect_set(c).alias(s) for s, c in sets.items()])
+    n = F.row_number().over(Window.partitionBy(*key).orderBy("at"))
+    sample = F.when(F.col("n") <= SAMPLES, F.struct("n", "_s"))
+    per = first.withColumn("n", n).groupBy(*key).agg(F.min("predicate").alias("predicate"), F.array_sort(F.collect_list(sample)).alias("s"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(s)))).alias(s) for s in sets])
+    return per.select(*key, "predicate", F.transform("s", lambda v: v["_s"]).alias("samples"), *sets)
 
 
 #: Subjects of a run whose requests are filled in one task.
@@ -158,9 +167,10 @@ def pack_shards(descriptors: DataFrame, names: DataFrame, budget: int = BUDGET)
 class Resolution:
     """What is kept of the proposals: ``bindings (subject_id, pred_fold, canonical_key, canonical_name, value_kind, dimension, trusted)``,
     ``texts (subject_id, a, b)`` as text keys with a before b, ``rejected (subject_id, a, b)`` predicates whose merge the
-    units forbid, the ``facts`` that take part, and ``discarded (subject_id, cluster, what, reason)``."""
+    units forbid, the ``facts`` that take part, which are those of documents of ``source_types``, and ``discarded (subject_id, cluster, what, reason)``."""
 
     facts: DataFrame
+    source_types: tuple[str, ...]
     bindings: DataFrame
     texts: DataFrame
     rejected: DataFrame
@@ -175,22 +185,21 @@ def resolve(facts: DataFrame, docs: DataFrame, clusters: DataFrame, texts: DataF
     unit; predicates without units join the largest group, untrusted.
     """
     own = eligible(_whole(facts), docs, source_types)
-    known = shard_descriptors(own, docs)
+    known = _descriptors(_whole(facts), docs.where(F.col("source_type").isin(*source_types)).select("doc_id", "filename", "source_type"), "inner")
     surface = text_key(F.concat_ws(" ", F.array("predicate"), "samples"))
     # what is kept is read by every channel, and each step here by several others
-    x = clusters.withColumn("pred_fold", X.fold(F.col("alias"))).join(known.select("subject_id", "pred_fold", surface.alias("surface")), ["subject_id", "pred_fold"], "left")
+    x = clusters.withColumn("pred_fold", X.fold(F.col("alias"))).join(known.select("subject_id", "pred_fold", surface.alias("surface"), "units"), ["subject_id", "pred_fold"], "left")
     use = Window.partitionBy("subject_id", "pred_fold").orderBy("cluster", "ord")
     x = stored(x.withColumn("n", F.when(F.col("surface").isNotNull(), F.row_number().over(use))), "proposals")
     dropped = x.where("surface is null or n > 1").select("subject_id", "cluster", F.col("alias").alias("what"), F.when(F.col("surface").isNull(), "unknown_predicate").otherwise("used_before").alias("reason"))
     span = text_key(F.coalesce("span", F.lit("")))
-    x = x.where("n = 1").withColumn("trusted", (span != "") & F.contains("surface", span)).select("subject_id", "cluster", "canonical_name", "value_kind", "pred_fold", "trusted")
+    x = x.where("n = 1").withColumn("trusted", (span != "") & F.contains("surface", span)).select("subject_id", "cluster", "canonical_name", "value_kind", "pred_fold", "trusted", "units")
     several = x.groupBy("subject_id", "cluster").agg(F.count("*").alias("aliases")).where("aliases > 1").select("subject_id", "cluster")
     x = x.join(several, ["subject_id", "cluster"], "left_semi")
 
     # units: an alias takes the one that most aliases of its cluster have, the first by name if several do
-    dims = own.select("subject_id", "pred_fold", X.normalize_dimension(F.col("measure_unit")).alias("dim")).where("dim is not null").distinct()
     measures = x.where("value_kind = 'measure'")
-    spread = measures.join(dims, ["subject_id", "pred_fold"])
+    spread = measures.select("subject_id", "cluster", "pred_fold", F.explode("units").alias("dim"))
     votes = spread.groupBy("subject_id", "cluster", "dim").agg(F.count("*").alias("votes"))
     chosen = spread.join(votes, ["subject_id", "cluster", "dim"]).groupBy("subject_id", "cluster", "pred_fold").agg(F.min_by("dim", F.struct(-F.col("votes"), "dim")).alias("dimension"), F.count("*").alias("dims"))
     chosen = stored(chosen, "chosen-units")
@@ -215,7 +224,7 @@ def resolve(facts: DataFrame, docs: DataFrame, clusters: DataFrame, texts: DataF
     t = texts.where(F.col("value_kind").isin(*TEXT_KINDS)).select("subject_id", "cluster", F.least(text_key(F.col("a")), text_key(F.col("b"))).alias("a"), F.greatest(text_key(F.col("a")), text_key(F.col("b"))).alias("b")).where("a <> '' and b <> '' and a <> b")
     backed = t.join(values.withColumnRenamed("v", "a"), ["subject_id", "a"], "left_semi").join(values.withColumnRenamed("v", "b"), ["subject_id", "b"], "left_semi")
     unbacked = t.join(backed.select("subject_id", "a", "b").distinct(), ["subject_id", "a", "b"], "left_anti").select("subject_id", "cluster", F.concat_ws(" = ", "a", "b").alias("what"), F.lit("value_not_found").alias("reason"))
-    return Resolution(own, stored(bindings, "bindings"), stored(backed.select("subject_id", "a", "b").distinct(), "texts"), stored(rejected, "rejected"), dropped.unionByName(unbacked))
+    return Resolution(own, source_types, stored(bindings, "bindings"), stored(backed.select("subject_id", "a", "b").distinct(), "texts"), stored(rejected, "rejected"), dropped.unionByName(unbacked))
 
 
 def pair_identity(pairs: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -321,14 +330,16 @@ def _items(x: DataFrame, *more: str) -> DataFrame:
 
 def same_predicate_pairs(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
     """Gated pairs of one predicate with ``c``: what they are once attributes are resolved."""
-    f = _whole(facts).join(resolution.facts.select("fact_id", F.lit(True).alias("own")).distinct(), "fact_id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    x = _measured(detect.gated_pairs(f, docs, ctx, [*CARRIED, "own"]))
-    both = F.col("old.own") & F.col("new.own")
+    f = _whole(facts)
+    prose = free_text_predicates(f).withColumn("prose", F.lit(True))
+    # whether a predicate is prose is told to facts, as pairs are far more
+    live = detect.live_facts(f, docs, ctx).join(prose, ["subject_id", "pred_fold"], "left")
+    x = _measured(detect.gated_pairs(live, None, ctx, [*CARRIED, "prose"]))
+    own = lambda s: F.coalesce(F.col(f"{s}.source_type").isin(*resolution.source_types), F.lit(False))
+    both = own("old") & own("new")
     strings = (F.col("old.object_type") == "string") & (F.col("new.object_type") == "string")
     x = texts_equivalent(x, resolution.texts, F.col("old.object_string"), F.col("new.object_string"))
-    prose = free_text_predicates(f).withColumn("prose", F.lit(True))
-    x = x.join(prose, ["subject_id", "pred_fold"], "left")
-    c = channel_same_attribute(F.col("v.verdict"), F.coalesce("v.same_value", F.lit(False)), F.col("equal"), both, F.coalesce(strings, F.lit(False)) & F.col("texts_equivalent"), F.coalesce("prose", F.lit(False)))
+    c = channel_same_attribute(F.col("v.verdict"), F.coalesce("v.same_value", F.lit(False)), F.col("equal"), both, F.coalesce(strings, F.lit(False)) & F.col("texts_equivalent"), F.coalesce("old.prose", F.lit(False)))
     return x.withColumn("c", c)
 
 
@@ -342,15 +353,20 @@ def same_predicate_channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext,
     return _items(same_predicate_pairs(facts, docs, ctx, resolution).where("c.kind <> 'conflict'"))
 
 
+def live_own(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
+    """Live facts of those that take part; they meet their documents once, before all else."""
+    return detect.live_facts(_whole(facts), docs, ctx).where(F.col("source_type").isin(*resolution.source_types))
+
+
 def merged_channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resolution: Resolution) -> DataFrame:
     """Review items of pairs under different predicates that were merged into one attribute; attributes with a multi-valued predicate have none."""
-    bound = _whole(resolution.facts).join(resolution.bindings, ["subject_id", "pred_fold"])
+    bound = live_own(facts, docs, ctx, resolution).join(resolution.bindings, ["subject_id", "pred_fold"])
     if ctx.multi_valued:
-        mixed = bound.where(F.col("pred_fold").isin(*sorted(ctx.multi_valued))).select("subject_id", "canonical_key").distinct()
+        mixed = resolution.bindings.where(F.col("pred_fold").isin(*sorted(ctx.multi_valued))).select("subject_id", "canonical_key").distinct()
         bound = bound.join(mixed, ["subject_id", "canonical_key"], "left_anti")
     # an attribute stands in for the predicate, so only its facts meet
     f = bound.withColumn("_literal", F.col("pred_fold")).withColumn("pred_fold", F.col("canonical_key"))
-    x = detect.gated_pairs(f, docs, ctx, [*CARRIED, "_literal", "canonical_name", "value_kind", "trusted"]).where("old._literal <> new._literal")
+    x = detect.gated_pairs(f, None, ctx, [*CARRIED, "_literal", "canonical_name", "value_kind", "trusted"]).where("old._literal <> new._literal")
     x = texts_equivalent(_measured(x), resolution.texts, F.col("old.object_string"), F.col("new.object_string"))
     textual = F.col("old.value_kind").isin(*TEXT_KINDS) & F.col("texts_equivalent")
     c = channel_merged_attribute(F.col("v.verdict"), F.coalesce("v.same_value", F.lit(False)), F.col("equal"), textual, F.col("old.trusted"))
@@ -364,16 +380,16 @@ def cross_channels(facts: DataFrame, docs: DataFrame, ctx: RuleContext, resoluti
     Facts of one dimension meet by it. Those of two are only of interest where the units
     have forbidden a merge, so they meet by the predicates of a forbidden merge.
     """
-    f = _whole(resolution.facts).where("object_type = 'number' and object_number is not null").withColumn("dim", X.normalize_dimension(F.col("measure_unit"))).where("dim is not null")
+    f = live_own(facts.where("object_type = 'number' and object_number is not null"), docs, ctx, resolution).withColumn("dim", X.normalize_dimension(F.col("measure_unit"))).where("dim is not null")
     bound = resolution.bindings.select("subject_id", "pred_fold", "canonical_key")
     f = f.join(bound, ["subject_id", "pred_fold"], "left")
     kept = [*CARRIED, "canonical_key", "dim"]
     apart = "not coalesce(old.canonical_key = new.canonical_key, false)"
     rejected = resolution.rejected.select("subject_id", "a", "b").distinct()
-    near = _measured(detect.gated_pairs_sharing(f, docs, ctx, "dim", kept).where(apart))
+    near = _measured(detect.gated_pairs_sharing(f, None, ctx, "dim", kept).where(apart))
     split = rejected.select("subject_id", F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("split"))
     near = near.withColumns({"_a": F.least("old.pred_fold", "new.pred_fold"), "_b": F.greatest("old.pred_fold", "new.pred_fold")}).join(split, ["subject_id", "_a", "_b"], "left").drop("_a", "_b")
-    far = _measured(detect.gated_pairs_of(f, docs, ctx, rejected, kept).where(apart).where("old.dim <> new.dim"))
+    far = _measured(detect.gated_pairs_of(f, None, ctx, rejected, kept).where(apart).where("old.dim <> new.dim"))
     x = near.unionByName(far.withColumn("split", F.lit(True)))
     return _items(x.withColumn("c", channel_cross_attribute(F.col("v.verdict"), F.col("v.same_value"), F.coalesce("split", F.lit(False)))))
 

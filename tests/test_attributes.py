@@ -217,3 +217,10 @@ def test_requests_equal_a_loop(spark, monkeypatch, n, run, budget):
 def test_no_subject_to_pack(spark):
     d = spark.createDataFrame([], "subject_id string, pred_fold string, predicate string, source_docs array<string>")
     assert attributes.pack_shards(d, spark.createDataFrame([], "subject_id string, name string")).collect() == []
+
+
+def test_descriptors_are_sent_once(make):
+    docs, facts, _, _ = make
+    d = attributes.shard_descriptors(facts({"id": "a", "p": "p", "value": 5}), docs)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [subject_id") == 1 and plan.count("Join ") == 1
