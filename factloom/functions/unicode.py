@@ -5,9 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import bound_batches
+
 #: Full-width forms of ASCII and the wide space, by the rule that they lie 0xFEE0 above.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
@@ -23,6 +25,9 @@ def normalized(text: Column, form: str = "NFC") -> Column:
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"{form} is no normal form")
 
+    # whole texts travel in the batches
+    bound_batches(SparkSession.active())
+
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
 

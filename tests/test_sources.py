@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import unicode
+from factloom.session import ARROW_ROWS
 from factloom.sources import files, sinks
 
 
@@ -157,3 +158,14 @@ def test_numbers_with_a_date_format_are_dates(old_calendar):
     day = "2028-01-02" if old_calendar else "2024-01-01"
     low = "1904-02-29 00:00:00" if old_calendar else "1900-02-28 00:00:00"
     assert got == ["45292", f"{day} 00:00:00", f"{day} 12:00:00", "3", "1 day, 6:00:00", "1234.5", f"{day} 00:00:00", "18:00:00", "12:00:00", "45292", low, "1000000000000"]
+
+
+def test_normal_forms_get_bounded_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        unicode.normalized(F.lit("x"))
+        assert spark.conf.get(name) == str(ARROW_ROWS)
+    finally:
+        spark.conf.set(name, before)
