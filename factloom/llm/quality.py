@@ -39,6 +39,8 @@ HIDDEN, GATE = 16, 8
 #: Vectors that words are hashed to.
 BUCKETS = 1 << 12
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.01, 1e-4
+#: Passages whose word vectors are held at once.
+TOGETHER = 1 << 9
 #: Decay of the word vectors: a word that few texts have should say little.
 WORD_DECAY = 2e-3
 
@@ -163,8 +165,13 @@ class _Batch:
         """The mean vector of the words of each passage; 0 without words."""
         out = np.zeros((len(self.size), vectors.shape[1]), vectors.dtype)
         some = self.size > 0
-        if some.any():
-            out[some] = np.add.reduceat(vectors[self.words], self.first[some]) / self.size[some, None]
+        first, stop = self.first[some], (self.first + self.size)[some]
+        means = np.empty((len(first), vectors.shape[1]), vectors.dtype)
+        for s in range(0, len(first), TOGETHER):
+            part = slice(s, s + TOGETHER)
+            words = self.words[first[s] : stop[part][-1]]
+            means[part] = np.add.reduceat(vectors[words], first[part] - first[s]) / (stop - first)[part, None]
+        out[some] = means
         return out
 
 
@@ -238,8 +245,8 @@ def _gradients(p: dict, batch: _Batch, labels: np.ndarray, weight: np.ndarray) -
     dh = a[:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T
     dx = dh * (1 - h * h)
     # a passage's gradient goes to the vectors of its words in equal shares
-    share = (dx / np.maximum(batch.size, 1)[:, None])[batch.passage_of_word()]
-    dE = np.stack([np.bincount(batch.words, share[:, j], BUCKETS) for j in range(HIDDEN)], axis=1)
+    share, of = dx / np.maximum(batch.size, 1)[:, None], batch.passage_of_word()
+    dE = np.stack([np.bincount(batch.words, share[of, j], BUCKETS) for j in range(HIDDEN)], axis=1)
     return {"E": dE, "W": batch.x.T @ dx, "b": dx.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ ds, "d": np.array([ds.sum()])}
 
 

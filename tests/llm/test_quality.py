@@ -170,3 +170,19 @@ def test_of_rows_with_one_id_the_same_text_is_learned_from(spark, monkeypatch):
     for order in (rows, rows[::-1]):
         quality.fit(spark.createDataFrame(order, "id int, text string").repartition(3), spark.createDataFrame([(i, i % 2) for i in range(40)], "id int, quality int"), "id")
     assert seen[0] == seen[1] and len(seen[0]) > 20
+
+
+def test_fitting_holds_word_vectors_of_few_passages_at_once(monkeypatch):
+    import tracemalloc
+
+    rng, bags = np.random.default_rng(1), []
+    for n in rng.integers(0, 6000, 256):
+        first = np.arange(0, max(n, 1), quality.PASSAGE).astype(np.int32)
+        bags.append(quality.Bag(rng.random((len(first), quality.N_FEATURES)).astype(np.float32), rng.integers(0, quality.BUCKETS, n).astype(np.uint16), first))
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    tracemalloc.start()
+    quality.MilModel.fit(bags, np.arange(256) % 2.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a vector of 16 numbers for each word would be 128 bytes; what is held for a word is its passage and its share of one number
+    assert peak < 64 * sum(len(b.words) for b in bags)
