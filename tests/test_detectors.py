@@ -402,3 +402,26 @@ def test_equal_subjects_are_compared_once(spark, monkeypatch):
     assert sorted(named.collect()) == sorted(detect.recalled(pairs, entities, 0.5).collect())
     equal = detect.shared_fact_pairs(facts, entities, 0.5, exact=True)
     assert sorted(equal.collect()) == sorted(named.where("recall = 'exact_normalized_name'").collect())
+
+
+def test_vectors_of_a_tile_are_compared_at_once(spark, monkeypatch):
+    """Parts of three vectors meet in tiles; of what meets there only near pairs go on, and odd vectors are judged as ever."""
+    monkeypatch.setattr(detect, "VECTORS", 3)
+    rng = random.Random(5)
+    odd = [None, [], [0.0, 0.0], [1.0], [float("nan"), 1.0], [None, 1.0]]
+    subjects = [(i, [("f", str(i % 2)), ("g", str(i % 3)), ("h", str(i % 5))], rng.choice(["a b", "c d", f"n{i}"]), odd[i] if i < len(odd) else [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for i in range(70)]
+    facts = spark.createDataFrame([(i, p, o) for i, fs, _, _ in subjects for p, o in fs], "subject_id long, pred_fold string, canon_object string")
+    entities = spark.createDataFrame([(i, n, e) for i, _, n, e in subjects], "entity_id long, name string, embedding array<double>")
+    pairs = detect.shared_fact_pairs(facts)
+    seen, paired = [], detect._paired
+
+    def counted(x, *args):
+        seen.append((x.count(), x.columns))
+        return paired(x, *args)
+
+    monkeypatch.setattr(detect, "_paired", counted)
+    got = detect.shared_fact_pairs(facts, entities, 0.9)
+    want = detect.recalled(pairs, entities, 0.9)
+    assert sorted(got.collect()) == sorted(want.collect()) and want.where("recall = 'embedding_similarity'").count() > 20
+    # those that only cannot be told are few
+    assert seen[-1][1] == ["a", "b"] and seen[-1][0] < pairs.count() / 2
